@@ -1 +1 @@
-
+"""Column functions: paths, source text, comments, redaction."""

@@ -1 +1 @@
-
+"""Operators on DataFrames of files, imports, commits and documents."""

@@ -1,0 +1,53 @@
+"""Import statements of JavaScript-like and Python files, as rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A statement start, or any sign before it that isn't part of a name; the specifier is group 1.
+_HEAD = r"(?:^|[^A-Za-z0-9_.])"
+_FORMS = r"(?:(?:import|export)\s+[\s\S]{0,2000}?\sfrom\s*|import\s*|require\s*\(\s*|import\s*\(\s*)"
+JS_IMPORT = _HEAD + _FORMS + r"['\"]([^'\"]+)['\"]"
+PY_FROM = r"(?m)^[ \t]*from[ \t]+(\.*)[ \t]*([A-Za-z_][A-Za-z0-9_.]*)?[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)"
+PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([A-Za-z_][^\n#;]*)"
+
+
+def js_imports(files: DataFrame) -> DataFrame:
+    """``(path, spec, is_type, is_lazy)`` for every import, export-from, require and dynamic import of ``(path, nocomment)`` rows.
+
+    Type-only if the statement says ``import type`` or ``export type``; lazy if it is a call of ``import``.
+    """
+    whole = F.regexp_extract_all("nocomment", F.lit(JS_IMPORT), F.lit(0))
+    spec = F.regexp_extract_all("nocomment", F.lit(JS_IMPORT), F.lit(1))
+    rows = files.select("path", F.explode(F.arrays_zip(whole.alias("whole"), spec.alias("spec"))).alias("x"))
+    text = F.col("x.whole")
+    return rows.select("path", F.col("x.spec").alias("spec"), text.rlike(r"(?:import|export)\s+type(?![A-Za-z0-9_])").alias("is_type"), text.rlike(r"import\s*\(").alias("is_lazy"))
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    """``(path, level, module, names)``: relative level by dots, dotted module (may be empty), imported names without aliases."""
+    take = lambda pattern, group: F.regexp_extract_all("nocomment", F.lit(pattern), F.lit(group))
+    first = files.select("path", F.explode(F.arrays_zip(take(PY_FROM, 1).alias("dots"), take(PY_FROM, 2).alias("module"), take(PY_FROM, 3).alias("names"))).alias("x"))
+    first = first.select("path", F.length("x.dots").alias("level"), F.coalesce("x.module", F.lit("")).alias("module"), import_names(F.col("x.names")).alias("names"))
+    plain = files.select("path", F.explode(take(PY_IMPORT, 1)).alias("list")).select("path", F.explode(import_names(F.col("list"))).alias("module"))
+    return first.unionByName(plain.select("path", F.lit(0).alias("level"), "module", F.array().cast("array<string>").alias("names")))
+
+
+def import_names(listed: Column) -> Column:
+    """Names of a comma-separated import list, without brackets, aliases and the star."""
+    parts = F.split(F.translate(listed, "()\n\r\\", "     "), ",")
+    names = F.transform(parts, lambda x: F.regexp_extract(F.trim(x), r"^([A-Za-z_][A-Za-z0-9_.]*)", 1))
+    return F.filter(names, lambda x: x != "")
+
+
+def package_key(spec: Column) -> Column:
+    """The package a bare specifier names: two segments if scoped, else one; null for built-in modules."""
+    scoped = F.substring_index(spec, "/", 2)
+    return F.when(~spec.startswith("node:"), F.when(spec.startswith("@"), scoped).otherwise(F.substring_index(spec, "/", 1)))
+
+
+def external_counts(specs: DataFrame, most: int = 25) -> DataFrame:
+    """``(package, n)``: the most imported packages of unresolved ``(spec)`` rows."""
+    keyed = specs.select(package_key(F.col("spec")).alias("package")).where("package IS NOT NULL")
+    return keyed.groupBy("package").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "package").limit(most)

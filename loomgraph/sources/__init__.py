@@ -1 +1 @@
-
+"""Sources: Parquet tables, git repositories, manifests and configurations."""

@@ -1 +1 @@
-
+"""Structured Streaming: history that arrives in pieces."""
