@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,10 +14,23 @@ from pyspark.sql import DataFrame
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_letters() -> list[str]:
+    """How byte-level models write bytes: printable Latin-1 as itself, the others in turn from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
+_PLAIN_ENDS = ".,!?;:%&*#$|"
+
+
 class WordCache(dict):
     """Token ids of white-space separated chunks as little-endian unsigned 32-bit bytes; forgets all beyond ``limit`` chunks.
 
-    The tokenizer drops white space before it merges anything, so the ids of a text are those of its chunks in turn.
+    The tokenizer drops white space before it merges anything, so the ids of a text are those of its chunks in turn. It also
+    lowers letters and merges runs of letters and of signs apart, so a chunk of Latin-1 letters with signs behind gets the ids of its
+    lower-case letters and of the signs, which are kept as well; any other chunk goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -24,11 +38,28 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+
+    def _plain(self, piece: str) -> bytes:
+        """Ids of one run of lower-case letters or of signs: the merges alone, on its bytes as the model writes them."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.limit:
+                self.pieces.clear()
+            text = "".join(map(_BYTES.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        return ids
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        letters = chunk.rstrip(_PLAIN_ENDS)
+        if letters.isalpha() and max(letters) < "\u0100":
+            signs = chunk[len(letters) :]
+            ids = self[chunk] = self._plain(letters.lower()) + (self._plain(signs) if signs else b"")
+        else:
+            ids = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -49,7 +80,8 @@ class SumOfSquaresPacker:
 
     def __init__(self, size: int, first_id: int, most_open: int = 256):
         self.size, self.next_id, self.most_open = size, first_id, most_open
-        self.count = np.zeros(size + 1, np.int64)
+        self.count = [0] * (size + 1)
+        self.filled: list[int] = []  # levels with open windows, in order
         self.level: list[list[list]] = [[] for _ in range(size + 1)]
         self.open = 0
 
@@ -64,6 +96,8 @@ class SumOfSquaresPacker:
         if filled == self.size:
             yield from self._close(window)
             return
+        if not self.count[filled]:
+            bisect.insort(self.filled, filled)
         self.level[filled].append(window)
         self.count[filled] += 1
         self.open += 1
@@ -71,6 +105,8 @@ class SumOfSquaresPacker:
     def _take(self, h: int) -> list:
         self.count[h] -= 1
         self.open -= 1
+        if not self.count[h]:
+            self.filled.remove(h)
         return self.level[h].pop()
 
     def add(self, doc, ids: bytes) -> Iterator[tuple]:
@@ -80,7 +116,7 @@ class SumOfSquaresPacker:
             start += step
         while (s := total - start) > 0:
             if self.open >= self.most_open:
-                h = int(np.flatnonzero(self.count)[-1])
+                h = self.filled[-1]
                 cut = min(s, step - h)
             else:
                 h, cut = self._best(s), s
@@ -90,14 +126,12 @@ class SumOfSquaresPacker:
             start += cut
 
     def _best(self, s: int) -> int:
-        n = self.count
-        here = np.flatnonzero(n[: self.size - s + 1])[::-1]  # levels with an open window that still has room
-        here = here[here > 0]
-        cost = 2 * (n[here + s] - n[here]) + 2
-        if len(here) and here[0] + s == self.size:
-            cost[0] = 1 - 2 * n[here[0]]
-        new = 2 * n[s] + 1
-        return int(here[i]) if len(here) and cost[i := int(np.argmin(cost))] <= new else 0
+        n, best, least = self.count, 0, 2 * self.count[s] + 1
+        for h in self.filled[: bisect.bisect_right(self.filled, self.size - s)]:  # open windows that still have room
+            cost = 1 - 2 * n[h] if h + s == self.size else 2 * (n[h + s] - n[h]) + 2
+            if cost <= least:
+                best, least = h, cost
+        return best
 
     def finish(self) -> Iterator[tuple]:
         pieces = [p for h in range(self.size, 0, -1) for w in self.level[h] for p in w]
@@ -115,8 +149,8 @@ class SumOfSquaresPacker:
                 if not room:
                     yield from self._close(window)
                     window = []
-        self.level, self.open = [[] for _ in range(self.size + 1)], 0
-        self.count[:] = 0
+        self.level, self.open, self.filled = [[] for _ in range(self.size + 1)], 0, []
+        self.count = [0] * (self.size + 1)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2) -> DataFrame:
