@@ -148,17 +148,34 @@ def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.Data
         yield rest
 
 
+def _short_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(c, items)``: the set of each text as sorted 32-bit hash values."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for b in batches:
+            yield pd.DataFrame({"c": b["c"], "items": [np.unique((shingler(t) >> _FOLD).astype(np.uint32)).tobytes() for t in b["text"]]})
+
+    return texts.mapInPandas(run, "c long, items binary")
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
 def _compared(rows: DataFrame, sketch: SetSketch, threshold: float, nearest: int | None, tile: int = 768) -> DataFrame:
     """Pairs ``(a, b)`` of a bucket's classes that may reach the threshold and have different roots.
 
-    ``rows(bucket, size, c, n, registers, root)``. Buckets of more than ``tile`` classes are cut into blocks, and each pair of blocks is
+    ``rows(bucket, size, c, n, registers, root, items)``. Buckets of more than ``tile`` classes are cut into blocks, and each pair of blocks is
     a task's unit of work, compared by matrix operations; only surviving pairs come out. With ``nearest`` each class keeps just so many
-    partners, those with most equal registers; otherwise every pair comes out in the first band it shares.
+    partners, those with most equal registers. Otherwise every pair is looked at in the first band it shares, and if registers
+    allow it, its sets of 32-bit hash values, which must reach the threshold but for what colliding values can hide.
     """
     blocks = F.ceil(F.col("size") / tile).cast("int")
     cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = cut.select("*", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "n", "registers", "root", "block")
+    units = cut.select("*", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "n", "registers", "root", "block", "items")
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = units.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "c")
 
@@ -167,6 +184,7 @@ def _compared(rows: DataFrame, sketch: SetSketch, threshold: float, nearest: int
         regs = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), -1)
         i, j = g["i"].iloc[0], g["j"].iloc[0]
         left, right = (np.arange(len(g)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+        items = None if nearest is not None else [np.frombuffer(x, np.uint32) for x in g["items"]]
         found_a, found_b, found_same = [], [], []
         step = max(1, (1 << 22) // max(1, len(right) * sketch.size))
         for at in range(0, len(left), step):
@@ -188,6 +206,12 @@ def _compared(rows: DataFrame, sketch: SetSketch, threshold: float, nearest: int
                     keep &= values[np.arange(len(x)), whole.argmax(1)] == g["bucket"].iloc[0]
                 x, y, same = x[keep], y[keep], same[keep].sum(1)
                 may = sketch.may_reach(regs[x], regs[y], n[x].astype(float), n[y].astype(float), threshold) if len(x) else np.zeros(0, bool)
+                if items is not None:
+                    for at_pair in np.flatnonzero(may):
+                        one, two = int(x[at_pair]), int(y[at_pair])
+                        lost = int(n[one] + n[two]) - len(items[one]) - len(items[two])  # by colliding values
+                        common = _overlap(items[one], items[two]) + lost
+                        may[at_pair] = common >= threshold * (n[one] + n[two] - common) - 1e-9
                 found_a.append(x[may])
                 found_b.append(y[may])
                 found_same.append(same[may])
@@ -249,7 +273,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
     32 bands of 5 registers find a pair at 0.85 with a probability of more than 1 - 1e-8. Inside a band value's bucket
     classes are compared by registers: first every class gives its few nearest partners, whose links join nearly all of
     a group of near copies, so such a group costs a few verifications for each member; then every pair that is still in different
-    components and may reach the threshold by the joint likelihood follows. All are settled on full sets.
+    components and may reach the threshold by the joint likelihood is compared where it lies, on short hash sets, so that only
+    links leave a task. All are settled on full sets.
     Texts of classes in shared buckets are fetched once, by a broadcast of their keys if those are at most ``broadcast_rows``, else by
     a shuffle. All tables are written to the shared folder; the driver gathers nothing.
     """
@@ -267,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
     wanted = written(shared.select("c").distinct().join(classes.select("c", "row_key"), "c"), "wanted")
     keys = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = written(docs.select(row_key(), "text").join(keys, "row_key").dropDuplicates(["c"]).select("c", "text"), "texts")
-    near = written(_compared(shared.withColumn("root", F.col("c")), sketch, threshold, nearest=2), "pairs")
+    near = written(_compared(shared.withColumn("root", F.col("c")).withColumn("items", F.lit(None).cast("binary")), sketch, threshold, nearest=2), "pairs")
     links = written(_verified(near, texts, percent, words), "links")
     roots = components(links)
 
@@ -276,7 +301,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
 
     placed = rooted(shared.select("bucket", "c"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    cross = _compared(rooted(shared.join(written(mixed, "mixed"), "bucket")), sketch, threshold, nearest=None).join(near, ["a", "b"], "left_anti")
+    mixed = written(rooted(shared.join(written(mixed, "mixed"), "bucket")), "mixed")
+    sets = written(_short_sets(texts.join(mixed.select("c").distinct(), "c", "left_semi"), words), "sets")
+    cross = _compared(mixed.join(sets, "c"), sketch, threshold, nearest=None).join(near, ["a", "b"], "left_anti")
     more = written(_verified(cross, texts, percent, words), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
