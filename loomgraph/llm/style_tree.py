@@ -176,7 +176,7 @@ def _features(root: Node) -> Iterator[tuple[int, int, int]]:
                 yield n.path, 1, xxhash.xxh64_intdigest(c.text) - (1 << 63)
 
 
-def site_trees(pages: DataFrame, least_pages: int = 5, noisy_below: float = 0.5) -> DataFrame:
+def site_trees(pages: DataFrame, least_pages: int = 8, noisy_below: float = 0.5) -> DataFrame:
     """``(host, styles, noise)``: presentation importance by path, and blocks of low importance, for hosts with something to say.
 
     Counts are taken over distinct pages' features, combined in each task before they are shuffled. A feature that only
@@ -213,21 +213,25 @@ def site_trees(pages: DataFrame, least_pages: int = 5, noisy_below: float = 0.5)
     return repeated.select("host", "styles", "noise")
 
 
-def importance(node: Node, styles: dict, noise: set, decay: float = 0.9) -> float:
-    """Composite importance of a node; marks elements below 0.25 as noise on the way."""
+def importance(node: Node, styles: dict, noise: set, main: bool = False, decay: float = 0.9) -> tuple[float, float]:
+    """Composite importance of a node, and the largest at or below it; marks elements as noise where even that is under 0.25.
+
+    Text inside an element declared as main content has importance 1: a passage that many articles share is content there.
+    """
     if node.text is not None:
-        return 0.0 if node.path ^ (xxhash.xxh64_intdigest(node.text) - (1 << 63)) in noise else 1.0
+        own = 1.0 if main or node.path ^ (xxhash.xxh64_intdigest(node.text) - (1 << 63)) not in noise else 0.0
+        return own, own
     if node.noise:
-        return 0.0
-    below = [importance(c, styles, noise, decay) for c in node.children]
+        return 0.0, 0.0
+    below = [importance(c, styles, noise, main or node.main, decay) for c in node.children]
     if not below:
-        return 1.0
-    mean = sum(below) / len(below)
+        return 1.0, 1.0
     own, kinds = styles.get(node.path, (1.0, 1))
     share = decay**kinds
-    total = (1 - share) * own + share * mean
-    node.noise = total < 0.25 and mean < 0.25
-    return total
+    total = (1 - share) * own + share * sum(b for b, _ in below) / len(below)
+    peak = max(total, *(p for _, p in below))
+    node.noise = peak < 0.25
+    return total, peak
 
 
 def main_text(source: str, styles: dict | None = None, noise: set | None = None) -> str:
@@ -242,7 +246,7 @@ def main_text(source: str, styles: dict | None = None, noise: set | None = None)
     while todo:
         n, main = todo.pop()
         if n.text is not None:
-            if not noise or n.path ^ (xxhash.xxh64_intdigest(n.text) - (1 << 63)) not in noise:
+            if main or not noise or n.path ^ (xxhash.xxh64_intdigest(n.text) - (1 << 63)) not in noise:
                 everywhere.append(n.text)
                 if main:
                     inside.append(n.text)
