@@ -15,28 +15,33 @@ def fan(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full").select("id", F.coalesce("fan_out", F.lit(0)).alias("fan_out"), F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("imported_by", F.array().cast(into.schema["imported_by"].dataType)).alias("imported_by"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, write_every: int = 3) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30) -> DataFrame:
     """``(id, rank)``: fixed iterations from 1/n; dangling mass is spread evenly; edges from or to unknown nodes are ignored.
 
-    Edges carry their source's out-degree and stay partitioned by source for all rounds; a round is one join and one aggregation
-    with map-side combining. The dangling mass is one value, broadcast. Two places read the ranks of a round, which
-    are cached for that; every few rounds they are written, which cuts lineage and keeps plans small.
+    Each iteration is linear in the ranks, and what it adds to all nodes alike is one number. So only the powers of the
+    link matrix applied to ones are computed, a join and a map-side combined aggregation each over nodes that are still
+    reached; their totals give the coefficients of every power on the driver, and one last aggregation adds them up.
     """
     ids = nodes.select("id").distinct()
+    n = ids.count()
     known = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = known.join(degree, "src").repartition("src").persist()
-    base = ids.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("degree").isNull().alias("dangling")).repartition("id").persist()
-    n = base.count()
-    ranks = base.select("id", "dangling", F.lit(1.0 / max(1, n)).alias("rank"))
+    power = ids.withColumn("x", F.lit(1.0))
+    every = power.withColumn("power", F.lit(0))
     for k in range(1, iterations + 1):
-        sent = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = base.join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", ((1 - damping) / max(1, n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(1, n))).alias("rank"))
-        ranks = written(ranks, "ranks") if k % write_every == 0 or k == iterations else ranks.persist()
+        sent = links.join(power.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") / F.col("degree")).alias("x"))
+        power = written(sent, "power")
+        every = every.unionByName(power.withColumn("power", F.lit(k)))
+    total = {r["power"]: r["s"] for r in every.groupBy("power").agg(F.sum("x").alias("s")).collect()}
+    share = [1.0 / max(1, n)]
+    for _ in range(iterations):
+        lost = 1 - sum(a * total.get(k + 1, 0.0) for k, a in enumerate(share))
+        share = [(1 - damping + damping * lost) / max(1, n), *(damping * a for a in share)]
+    of_power = F.element_at(F.array(*[F.lit(a) for a in share]), F.col("power") + 1)
+    ranks = written(every.groupBy("id").agg(F.sum(of_power * F.col("x")).alias("rank")), "ranks")
     links.unpersist()
-    base.unpersist()
-    return ranks.select("id", "rank")
+    return ranks
 
 
 def hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_seeds: int = 3) -> DataFrame:
