@@ -29,6 +29,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 RAW = frozenset("script style noscript template iframe textarea select svg math object canvas noembed noframes xmp title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
+DEEPEST = 400
 DROPPED = frozenset("nav footer aside form button dialog menu head fieldset".split())
 CLOSES = {t: frozenset(x.split()) for t, x in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}.items()}
 HOLDS = {"li": frozenset(("ul", "ol")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "tbody": frozenset(("table",)), "thead": frozenset(("table",)), "tfoot": frozenset(("table",))}
@@ -37,6 +38,8 @@ NOISE_WORDS = frozenset(
     "notice notification alert popup modal overlay newsletter subscribe subscription signup login signin register search comment comments disqus reply replies respond discussion share sharing social follow related recommended recommendations "
     "pagination pager widget toolbar skip copyright legal disclaimer hidden paywall teaser outbrain taboola".split()
 )
+NOISE_STARTS = tuple("comment cookie advert sidebar breadcrumb newsletter sponsor navbar navigation disqus subscri recommend".split())
+NOISE_ENDS = tuple("nav menu footer sidebar banner comments advert navbar".split())
 CONTENT_WORDS = frozenset("article post entry content story main body text".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -63,7 +66,7 @@ def _declared(tag: str, raw: str, in_main: bool) -> tuple[str, bool, bool]:
     words = {w.lower() for w in words}
     role = a.get("role", "").lower()
     noise = tag in DROPPED or tag == "header" and not in_main or "hidden" in a or a.get("aria-hidden") == "true" or role in NOISE_ROLES
-    noise = noise or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)) or bool(words & NOISE_WORDS)
+    noise = noise or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)) or bool(words & NOISE_WORDS) or any(w.startswith(NOISE_STARTS) or w.endswith(NOISE_ENDS) for w in words)
     noise = noise or ("header" in words and not words & CONTENT_WORDS and not in_main)
     main = not noise and (tag in ("article", "main") or role in ("main", "article") or a.get("itemprop") == "articleBody")
     return f"{tag}.{'.'.join(sorted(a.get('class', '').split()))}", noise, main
@@ -74,6 +77,7 @@ def parse(source: str) -> Node:
     root = Node("", 0)
     stack: list[tuple[str, Node, bool]] = [("", root, False)]
     parts: list[str] = []
+    skipped: Counter = Counter()
 
     def flush() -> None:
         if parts:
@@ -130,13 +134,19 @@ def parse(source: str) -> Node:
                 key, noise, main = _declared(tag, m[2] or m[5] or "", stack[-1][2])
                 if tag == "hr":
                     continue
+                if len(stack) > DEEPEST:  # deeper elements end blocks but have no node
+                    skipped[tag] += 1
+                    continue
                 top = stack[-1][1]
                 node = Node(key, xxhash.xxh64_intdigest(f"{top.path}/{key}") - (1 << 63), noise, main)
                 top.children.append(node)
                 stack.append((tag, node, stack[-1][2] or main))
         elif m[3]:
             tag = m[3].lower()
-            if tag not in INLINE and tag not in VOID and tag not in RAW:
+            if skipped[tag]:
+                skipped[tag] -= 1
+                flush()
+            elif tag not in INLINE and tag not in VOID and tag not in RAW:
                 for n in range(len(stack) - 1, 0, -1):
                     if stack[n][0] == tag:
                         pop(n)

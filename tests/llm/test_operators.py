@@ -83,6 +83,16 @@ def test_html(spark):
     assert style_tree.extract(df.limit(0)).count() == 0
 
 
+def test_odd_markup():
+    text = style_tree.main_text
+    assert text("<div>" * 20_000 + "x" + "</div>" * 20_000 + "y") == "x\ny"
+    assert text('<p>a&nbsp;b &#8364; &lt;i&gt;</p><!-- x --><p>c<!-- y > -->d</p><script>if(a<b){"</p>"}</script><p title="a>b">e') == "a b € <i>\ncd\ne"
+    assert text('<div id="cookieBanner">c</div><div class="mainnav">m</div><ol class="commentlist"><li>x</ol><div class="post-content"><p>keep</p></div>') == "keep"
+    assert [text(t) for t in ("", "<", "<p", "plain < 5 & 6", "<!--", "<p x='")] == ["", "<", "", "plain < 5 & 6", "", ""]
+    tree = {"noise": {1}, "styles": {}}
+    assert text("<div>" * 5000 + "x", **tree) == "x"
+
+
 def test_warc(spark, monkeypatch):
     long, longer = "é" * 600, "y" * 5000
     data = [(1, "http://a", long), (2, "http://b", long), (3, None, "short"), (4, "http://d d", "short"), (5, "u", None), (6, "u", longer), (None, "n", long), (7, "http://c", long)]
