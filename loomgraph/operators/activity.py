@@ -45,9 +45,13 @@ def mine_top(churned: DataFrame, most: int = 15) -> DataFrame:
     return churned.where(F.col("my_churn") > 0).orderBy(F.desc("my_churn"), "path").limit(most)
 
 
+# What tools leave in a working tree without anyone's doing.
+NOISE = tuple("node_modules/ dist/ build/ .next/ package-lock.json yarn.lock pnpm-lock.yaml .DS_Store".split())
+
+
 def without_noise(status: DataFrame) -> DataFrame:
-    """Working-tree rows without the droppings of tools."""
-    return status.where(~F.col("path").rlike(r"(?:^|/)(?:\.begin|\.claude|\.cursor|\.idea|\.vscode|\.DS_Store|node_modules|__pycache__)(?:/|$)|\.(?:log|tmp|swp)$"))
+    """Working-tree rows without lock files and build output."""
+    return status.where(~F.col("path").rlike("|".join(n.replace(".", r"\.") for n in NOISE)))
 
 
 def newest_per_key(rows: DataFrame, key: str, at: str, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the form of a section's stamp in a document.
 STAMP = r"<!--\s*begin:section\s+([^>]*?)-->"
 
 
@@ -94,3 +95,15 @@ def caps(rows: DataFrame, order: str, most: int) -> DataFrame:
     """The first rows by ``order`` with the number of those left out."""
     n = F.count(F.lit(1)).over(Window.partitionBy())
     return rows.orderBy(order).limit(most).withColumn("shown", n)
+
+
+def added_since(uncovered_paths: DataFrame, added: DataFrame, since: DataFrame) -> DataFrame:
+    """Uncovered paths that were added after the oldest stamp: ``added(path, ord)``, ``since`` the one row of ``oldest_stamp``."""
+    later = added.crossJoin(F.broadcast(since.select(F.col("ord").alias("oldest")))).where("ord < oldest").select("path")
+    return uncovered_paths.join(later, "path", "left_semi")
+
+
+def missing_files(merged: DataFrame, paths: DataFrame, newest: int = 3) -> DataFrame:
+    """``(id, path)``: files of the newest merged requests ``merged(id, at, path)`` that the working tree lacks."""
+    last = merged.groupBy("id").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "id").limit(newest).select("id")
+    return merged.join(F.broadcast(last), "id").select("id", "path").distinct().join(paths.select("path"), "path", "left_anti")

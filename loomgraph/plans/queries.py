@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import comments, paths
 from ..functions.redaction import redact as redacted
 from ..operators import activity, files, graph, imports, report, resolve, scoring, staleness, surfaces
+from ..sources import manifests
 from ..sources.tables import table
 from . import views
 from .storage import written
@@ -492,7 +493,7 @@ def docs_headings(spark: SparkSession, sf: str) -> DataFrame:
 @registered("SELECT event_id FROM events WHERE event_id % 4 <> 0 AND event_type <> 'error'")
 def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    path = F.when(F.col("event_id") % 4 == 0, ".vscode/settings.json").when(F.col("event_type") == "error", "logs/x.log").otherwise("src/x.ts")
+    path = F.when(F.col("event_id") % 4 == 0, "app/package-lock.json").when(F.col("event_type") == "error", "web/dist/x.js").otherwise("src/x.ts")
     return activity.without_noise(e.withColumn("path", path)).select("event_id")
 
 
@@ -517,3 +518,33 @@ def section_stamps(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("intro <!-- begin:section grid=\"7\" "), name, F.lit('sha="sha'), k, F.lit('" files="src/x.ts, lib/**, " --> body'))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("content"))
     return staleness.sections(d).select(F.col("doc").alias("doc_id"), "id", "sha", F.array_join("files", "|").alias("files"))
+
+
+@registered("SELECT 'd' || doc_id AS path, k AS script, v AS command FROM (SELECT doc_id, unnest(['build', 'lint', 'test']) AS k, unnest(['make ' || lang, 'lint ' || source, 'run ' || doc_id]) AS v FROM documents)")
+def package_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id").cast("string")
+    scripts = F.create_map(F.lit("test"), F.concat(F.lit("run "), k), F.lit("build"), F.concat(F.lit("make "), "lang"), F.lit("lint"), F.concat(F.lit("lint "), "source"))
+    return manifests.package_scripts(d.select(F.concat(F.lit("d"), k).alias("path"), F.to_json(F.struct(scripts.alias("scripts"))).alias("content")))
+
+
+@registered(
+    """WITH l AS (SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 3)
+SELECT DISTINCT l_orderkey AS id, l_partkey AS path FROM lineitem WHERE l_orderkey IN (SELECT id FROM l) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)"""
+)
+def missing_files(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    merged = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("path")).join(o, "id", "right")
+    return staleness.missing_files(merged, table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("path"))).where("path IS NOT NULL")
+
+
+@registered(
+    """WITH u AS (SELECT DISTINCT user_id AS path FROM events WHERE user_id % 3 <> 0), o AS (SELECT max(event_id) AS oldest FROM events WHERE event_id % 97 = 0),
+a AS (SELECT user_id AS path, min(event_id) AS ord FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT path FROM u WHERE path IN (SELECT path FROM a, o WHERE ord < oldest)"""
+)
+def added_since(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("sha"))
+    stamps = e.where("ord % 97 = 0").select(F.lit("s").alias("id"), "sha")
+    oldest = staleness.oldest_stamp(stamps, e.select("ord", "sha"))
+    first = e.where("path % 2 = 0").groupBy("path").agg(F.min("ord").alias("ord"))
+    return staleness.added_since(e.where("path % 3 <> 0").select("path").distinct(), first, oldest)

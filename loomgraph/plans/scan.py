@@ -48,7 +48,7 @@ class Scan:
     warnings: DataFrame
 
 
-def scan_tables(spark: SparkSession, texts: DataFrame, commits: DataFrame, commit_files: DataFrame, config: ScanConfig, small: dict[str, str] | None = None, declared: DataFrame | None = None, shallow: bool = False, truncated: int = 0) -> Scan:
+def scan_tables(spark: SparkSession, texts: DataFrame, commits: DataFrame, commit_files: DataFrame, config: ScanConfig, small: dict[str, str] | None = None, declared: DataFrame | None = None, shallow: bool = False, tracked: int = 0, truncated: int = 0, excluded: int = 0) -> Scan:
     """The scan of ``texts(ord, path, bytes, content, partial)`` and history; ``small`` holds package and compiler configurations by path."""
     small = small or {}
     f = written(files.features(texts), "features")
@@ -63,6 +63,9 @@ def scan_tables(spark: SparkSession, texts: DataFrame, commits: DataFrame, commi
     py_edges = py.join(py_hit, "id").select(F.col("path").alias("src"), "dst", F.lit(False).alias("is_type"), F.lit(False).alias("is_lazy"))
     e = written(resolve.edges(js_edges.unionByName(py_edges)), "edges")
     missing = js.join(js_hit, "id", "left_anti")
+    py_out = py.where("level = 0").join(py_hit, "id", "left_anti").select(F.substring_index("module", ".", 1).alias("spec"))
+    py_out = py_out.join(spark.createDataFrame([(n,) for n in resolve.PY_STDLIB], "spec string"), "spec", "left_anti")
+    outside = missing.where(~F.col("spec").startswith(".")).select("spec").unionByName(py_out)
     nodes = f.select(F.col("path").alias("id"))
     rank = graph.pagerank(nodes, e.where("is_value"))
     parts = graph.strong_components(e.where("is_static"))
@@ -77,17 +80,24 @@ def scan_tables(spark: SparkSession, texts: DataFrame, commits: DataFrame, commi
     into = e.groupBy(F.col("src").alias("path")).agg(F.sort_array(F.collect_list("dst")).alias("imports"), F.sort_array(F.collect_list(F.when(F.col("is_lazy"), F.col("dst")))).alias("lazy_imports"))
     as_of = F.lit(config.as_of) if config.as_of is not None else F.unix_timestamp(F.current_timestamp())
     scored = written(scoring.hotspots(joined.join(into, "path", "left"), as_of), "scored")
-    counts = scored.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("generated").isNotNull()).alias("generated"), F.count_if("partial").alias("partial"), F.count_if(F.col("hops").isNull()).alias("unreachable"), F.sum("loc").alias("loc"))
+    shown = F.col("surface")
+    counts = scored.agg(
+        F.lit(tracked).alias("tracked_files"), F.count(F.lit(1)).alias("scanned_files"), F.count_if(shown.isNotNull() & (shown != "test")).alias("surfaces"), F.count_if(shown == "test").alias("test_files"),
+        F.count_if((F.col("loc") > 0) & F.col("generated").isNull()).alias("code_files"), F.lit(truncated).alias("not_scanned"), F.lit(excluded).alias("excluded"),
+        F.count_if(F.col("generated").isNotNull()).alias("generated"), F.count_if("partial").alias("partial"), F.count_if(F.col("hops").isNull() & ~shown.eqNullSafe("test")).alias("unreachable"),
+    )
+    counts = counts.crossJoin(e.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(parts.agg(F.count_distinct("component").alias("cycles")))
     health = commits.agg(F.count(F.lit(1)).alias("commits")).crossJoin(js_hit.agg(F.count(F.lit(1)).alias("resolved"))).crossJoin(missing.agg(F.count_if(F.col("spec").startswith(".")).alias("unresolved")))
     health = health.select(F.lit(truncated).alias("truncated"), F.lit(shallow).alias("shallow"), "commits", "resolved", "unresolved")
     said_about = report.warnings(health, report.by_extension(f, e))
-    return Scan(scored, e, files.rankable(scored).orderBy(F.desc("score"), "ord"), scored.where("loc = 0").orderBy(F.desc("churn"), "ord").limit(40), parts, found, imports.external_counts(missing.where(~F.col("spec").startswith("."))), counts.crossJoin(health), said_about)
+    return Scan(scored, e, files.rankable(scored).orderBy(F.desc("score"), "ord"), scored.where("loc = 0").orderBy(F.desc("churn"), "ord").limit(40), parts, found, imports.external_counts(outside), counts.crossJoin(health), said_about)
 
 
 def scan_repository(spark: SparkSession, config: ScanConfig) -> Scan:
     """The scan of a git repository on a file system that the driver sees."""
     tracked = written(git.read(spark, config.root, "tracked"), "tracked")
-    wanted = files.scannable(tracked, config.exclude).where("NOT excluded")
+    code = files.scannable(tracked, config.exclude)
+    wanted, left_out = code.where("NOT excluded"), code.where("excluded").count()
     kept = written(files.capped(wanted), "kept")
     n = max(0, wanted.count() - files.MOST_FILES)
 
@@ -113,7 +123,7 @@ def scan_repository(spark: SparkSession, config: ScanConfig) -> Scan:
     extra = written(load(tracked.where(F.col("path").rlike(r"(?:^|/)(?:package\.json|[tj]sconfig[^/]*\.json|requirements[^/]*|constraints\.txt|pyproject\.toml|Pipfile|setup\.cfg)$|(?:^|/)requirements/[^/]+$"))), "extra")
     small = {r["path"]: r["content"] for r in extra.where(F.col("path").endswith(".json")).select("path", "content").toLocalIterator()}
     state = git.probe(config.root)
-    result = scan_tables(spark, texts.unionByName(extra.join(texts.select("path"), "path", "left_anti")), git.read(spark, config.root, "commits", config.since), git.read(spark, config.root, "commit_files", config.since), config, small, shallow=bool(state["shallow"]), truncated=n)
+    result = scan_tables(spark, texts.unionByName(extra.join(texts.select("path"), "path", "left_anti")), git.read(spark, config.root, "commits", config.since), git.read(spark, config.root, "commit_files", config.since), config, small, shallow=bool(state["shallow"]), tracked=tracked.count(), truncated=n, excluded=left_out)
     return result
 
 

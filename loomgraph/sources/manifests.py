@@ -162,3 +162,10 @@ def path_aliases(spark: SparkSession, texts: dict[str, str], hops: int = 3) -> D
     for path in sorted((p for p in texts if re.fullmatch(r"[tj]sconfig[^/]*\.json", posixpath.basename(p))), key=lambda p: (p.count("/"), p)):
         load(path, posixpath.dirname(path), hops)
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "ord int, scope string, prefix string, targets array<string>, bare boolean")
+
+
+def package_scripts(packages: DataFrame, most: int = 20) -> DataFrame:
+    """``(path, script, command)`` of package files ``(path, content)``, at most so many of each file, by name."""
+    scripts = F.from_json(F.get_json_object("content", "$.scripts"), "map<string,string>")
+    entries = F.slice(F.sort_array(F.map_entries(scripts)), 1, most)
+    return packages.select("path", F.explode(entries).alias("e")).select("path", F.col("e.key").alias("script"), F.col("e.value").alias("command"))
