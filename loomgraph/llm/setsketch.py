@@ -288,27 +288,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
     classes = written(one.select("*", F.monotonically_increasing_id().alias("c")), "classes")
     banded = _banded(classes, sketch)
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(banded.join(written(sizes, "sizes"), "bucket").join(classes.select("c", "n", "registers"), "c"), "shared")
+    shared = written(banded.join(written(sizes, "sizes"), "bucket"), "shared")
+    sketched = classes.select("c", "n", "registers")
     wanted = written(shared.select("c").distinct().join(classes.select("c", "row_key"), "c"), "wanted")
     keys = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = written(docs.select(row_key(), "text").join(keys, "row_key").dropDuplicates(["c"]).select("c", "text"), "texts")
-    near = written(_compared(shared.withColumn("root", F.col("c")).withColumn("items", F.lit(None).cast("binary")), sketch, threshold, nearest=2), "pairs")
+    alone = shared.join(sketched, "c").withColumn("root", F.col("c")).withColumn("items", F.lit(None).cast("binary"))
+    near = written(_compared(alone, sketch, threshold, nearest=2), "pairs")
     links = written(_verified(near, texts, percent, words), "links")
     roots = components(links)
 
     def rooted(frame: DataFrame) -> DataFrame:
         return frame.join(roots.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
-    placed = rooted(shared.select("bucket", "c"))
+    placed = written(rooted(shared), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    mixed = written(rooted(shared.join(written(mixed, "mixed"), "bucket")), "mixed")
-    sets = written(_short_sets(texts.join(mixed.select("c").distinct(), "c", "left_semi"), words), "sets")
+    mixed = written(placed.join(written(mixed, "mixed"), "bucket"), "mixed")
+    sets = _short_sets(texts.join(mixed.select("c").distinct(), "c", "left_semi"), words)
+    sets = written(sets.join(sketched, "c"), "sets")
     cross = _compared(mixed.join(sets, "c"), sketch, threshold, nearest=None).join(near, ["a", "b"], "left_anti")
     more = written(_verified(cross, texts, percent, words), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     of_set = rooted(classes.select("set_id", "c")).select("set_id", "root")
     members = rows.select("doc_id", "n", "set_id", "row_key").join(of_set, "set_id", "left").select("doc_id", "n", "row_key", "root")
-    smallest = members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written, so that both sides of the join are plain shuffles, which a component with very many members lets Spark split
+    smallest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "smallest")
     out = members.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")

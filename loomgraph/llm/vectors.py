@@ -117,6 +117,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, tile: int = 2048) ->
     of_key = classes.select("key", "copies", "c").join(links, "c", "left").join(roots.select(F.col("id").alias("c"), "root"), "c", "left")
     of_key = of_key.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "c").alias("root"))
     members = written(base.select("vec_id", "key").join(of_key, "key", "left").select("vec_id", "n_links", "root"), "members")
-    smallest = members.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least"))
+    # written, so that both sides of the join are plain shuffles, which a component with very many members lets Spark split
+    smallest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least")), "smallest")
     out = members.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
