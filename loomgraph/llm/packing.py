@@ -22,6 +22,8 @@ def _byte_letters() -> list[str]:
 
 
 _BYTES = _byte_letters()
+#: Longer chunks are no words and aren't kept, which bounds a cache's memory.
+LONGEST_KEPT = 64
 _PLAIN_ENDS = ".,!?;:%&*#$|"
 
 
@@ -48,7 +50,9 @@ class WordCache(dict):
             if len(self.pieces) >= self.limit:
                 self.pieces.clear()
             text = "".join(map(_BYTES.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            if len(piece) <= LONGEST_KEPT:
+                self.pieces[piece] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
@@ -57,9 +61,11 @@ class WordCache(dict):
         letters = chunk.rstrip(_PLAIN_ENDS)
         if letters.isalpha() and max(letters) < "\u0100":
             signs = chunk[len(letters) :]
-            ids = self[chunk] = self._plain(letters.lower()) + (self._plain(signs) if signs else b"")
+            ids = self._plain(letters.lower()) + (self._plain(signs) if signs else b"")
         else:
-            ids = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -37,6 +37,7 @@ class NgramHasher:
         self.mask, self.limit = np.uint64((1 << bits) - 1), limit
         self.table = np.zeros((1 << 12, 2), np.uint64)
         self.words: dict[str, int] = {}
+        self.kept = 0  # characters of the words
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         known = self.words
@@ -44,14 +45,16 @@ class NgramHasher:
             return np.array([known[w] for w in words], np.int32)
         except KeyError:
             new = list(dict.fromkeys(w for w in words if w not in known))
-        if len(known) + len(new) > self.limit:
+        if len(known) + len(new) > self.limit or self.kept > 64 * self.limit:
             known.clear()
+            self.kept = 0
             new = list(dict.fromkeys(words))
         while len(known) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         for w in new:
             self.table[len(known)] = xxhash.xxh64_intdigest("w" + w.lower()), xxhash.xxh64_intdigest("s" + word_shape(w))
             known[w] = len(known)
+            self.kept += len(w)
         return np.array([known[w] for w in words], np.int32)
 
     def __call__(self, text: str) -> list[np.ndarray]:

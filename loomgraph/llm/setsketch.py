@@ -26,6 +26,7 @@ class Shingler:
     def __init__(self, size: int = 5, limit: int = 300_000):
         self.size, self.limit = size, limit
         self.words: dict[bytes, int] = {}
+        self.kept = 0  # bytes of the words
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
@@ -35,11 +36,13 @@ class Shingler:
         try:
             h = np.array([known[w] for w in words], np.uint64)
         except KeyError:
-            if len(known) > self.limit:
+            if len(known) > self.limit or self.kept > 64 * self.limit:
                 known.clear()
+                self.kept = 0
             for w in words:
                 if w not in known:
                     known[w] = xxhash.xxh3_64_intdigest(w)
+                    self.kept += len(w)
             h = np.array([known[w] for w in words], np.uint64)
         n = min(self.size, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)

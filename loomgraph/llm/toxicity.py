@@ -171,7 +171,7 @@ class WindowScorer:
         self.known.clear()
         pad = np.zeros(6 * HIDDEN, np.float32)
         pad[:HIDDEN] = pad[3 * HIDDEN : 4 * HIDDEN] = _SATURATED
-        self.rows[0], self.used = pad, 1
+        self.rows[0], self.used, self.kept = pad, 1, 0
 
     def _ids(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -179,7 +179,7 @@ class WindowScorer:
             return np.array([known[w] for w in words], np.int32)
         except KeyError:
             new = list(dict.fromkeys(w for w in words if w not in known))
-        if self.used + len(new) > self.limit:
+        if self.used + len(new) > self.limit or self.kept > 64 * self.limit:
             self._clear()
             new = list(dict.fromkeys(words))
         x, p = self.m.inputs(Keys.of(new)), self.m.p
@@ -189,6 +189,7 @@ class WindowScorer:
         for w in new:
             known[w] = self.used
             self.used += 1
+            self.kept += len(w)
         return np.array([known[w] for w in words], np.int32)
 
     def logits(self, texts: list[str]) -> list[np.ndarray]:
