@@ -35,7 +35,7 @@ class WordCache(dict):
     lower-case letters and of the signs, which are kept as well; any other chunk goes to the tokenizer as it is.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 120_000):
         super().__init__()
         from tokenizers import Tokenizer
 

@@ -33,7 +33,7 @@ class NgramHasher:
 
     SCALE = 8.0
 
-    def __init__(self, bits: int = 18, limit: int = 300_000):
+    def __init__(self, bits: int = 18, limit: int = 120_000):
         self.mask, self.limit = np.uint64((1 << bits) - 1), limit
         self.table = np.zeros((1 << 12, 2), np.uint64)
         self.words: dict[str, int] = {}

@@ -23,7 +23,7 @@ class Shingler:
     element, its whole sequence; a text without words has none.
     """
 
-    def __init__(self, size: int = 5, limit: int = 300_000):
+    def __init__(self, size: int = 5, limit: int = 120_000):
         self.size, self.limit = size, limit
         self.words: dict[bytes, int] = {}
         self.kept = 0  # bytes of the words

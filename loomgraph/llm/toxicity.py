@@ -161,7 +161,7 @@ class WindowScorer:
     succession and step t of all windows is one contiguous slice.
     """
 
-    def __init__(self, model: BiGru, limit: int = 200_000, tokens: int = 1 << 15):
+    def __init__(self, model: BiGru, limit: int = 120_000, tokens: int = 1 << 15):
         self.m, self.limit, self.tokens = model, limit, tokens
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
