@@ -63,6 +63,12 @@ def hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_seeds: int =
     return nodes.select("id").distinct().join(seen, "id", "left").select("id", "hops", F.coalesce("via", F.array().cast(seen.schema["via"].dataType)).alias("via"))
 
 
+def _spread(colour: DataFrame, live: DataFrame) -> DataFrame:
+    """Colours after one step along the edges, the smallest winning."""
+    sent = live.join(colour.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("got"))
+    return colour.join(sent, "id", "left").select("id", F.least("colour", F.coalesce("got", "colour")).alias("colour"), "was")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of every node of a strongly connected component with more than one node; the component is its smallest id.
 
@@ -71,20 +77,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     live = written(edges.where("src <> dst").select("src", "dst").distinct(), "live")
     done = None
+    left = live.count()
     while True:
-        while True:
+        while left:
             sources, targets = live.select(F.col("src").alias("id")).distinct(), live.select(F.col("dst").alias("id")).distinct()
             inner = sources.join(targets, "id", "left_semi")
-            trimmed = written(live.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live")
-            if trimmed.count() == live.count():
+            live = written(live.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live")
+            before, left = left, live.count()
+            if left == before:
                 break
-            live = trimmed
-        if live.isEmpty():
+        if not left:
             break
         colour = written(live.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
         while True:
-            sent = live.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("got"))
-            new = written(colour.join(sent, "id", "left").select("id", F.least("colour", F.coalesce("got", "colour")).alias("colour"), (F.coalesce("got", "colour") < F.col("colour")).alias("moved")), "colour")
+            two = _spread(_spread(colour.withColumn("was", F.col("colour")), live), live)
+            new = written(two.select("id", "colour", (F.col("colour") < F.col("was")).alias("moved")), "colour")
             colour = new.drop("moved")
             if new.where("moved").isEmpty():
                 break
@@ -98,6 +105,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = reached if done is None else done.unionByName(reached)
         gone = reached.select("id")
         live = written(live.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "live")
+        left = live.count()
     if done is None:
         kind = edges.schema["src"].dataType
         return edges.sparkSession.createDataFrame([], "id long, component long").select(F.col("id").cast(kind), F.col("component").cast(kind))
