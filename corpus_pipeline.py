@@ -30,8 +30,8 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    gone = written(setsketch.near_duplicates(docs).where("NOT kept").select(F.col("row_key").alias("gone_key")).distinct(), "gone")
+    """One document of each group of near duplicates (Jaccard similarity of 5-word shingles 0.8 or more): the one with the smallest doc_id."""
+    gone = written(setsketch.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("row_key").alias("gone_key")).distinct(), "gone")
     return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone_key"), "left_anti")
 
 

@@ -30,3 +30,14 @@ def test_run(spark, sf_dir):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
+
+
+def test_near_stage_links_from_80(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = []
+    for k, n in enumerate((44, 45, 51)):  # shingles; one changed word in the middle leaves n - 5 of n + 5: 0.796, 0.800, 0.821
+        w = [f"t{k}w{i}" for i in range(n + 4)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:20], "other", *w[21:]]))]
+    left = corpus_pipeline.apart(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert {r["doc_id"] for r in left.collect()} == {0, 1, 2, 4}
