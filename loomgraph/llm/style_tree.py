@@ -3,8 +3,9 @@
 The tree of a host has a node for each path of tags and classes. A node's presentation importance is the entropy of the tag
 sequences below it; the importance of a text block falls with the entropy of that text over the pages that show it,
 weighed by the share of the host's pages that do. Composite importance of an element mixes its own with the mean of what
-lies below. Elements whose tag, role or class names declare them navigation, notices, forms, adverts or the like have
-importance 0 in every tree, which also covers hosts with a single page.
+lies below. Importance starts from a prior that counts like a few pages, so hosts of any size are judged; declared article and
+main elements have a heavier one. Elements whose tag, role or class names declare them navigation, notices, forms, adverts or the
+like have importance 0 in every tree, which also covers hosts with a single page.
 """
 
 from __future__ import annotations
@@ -186,12 +187,13 @@ def _features(root: Node) -> Iterator[tuple[int, int, int]]:
                 yield n.path, 1, xxhash.xxh64_intdigest(c.text) - (1 << 63)
 
 
-def site_trees(pages: DataFrame, least_pages: int = 8, noisy_below: float = 0.5) -> DataFrame:
-    """``(host, styles, noise)``: presentation importance by path, and blocks of low importance, for hosts with something to say.
+def site_trees(pages: DataFrame, prior: float = 2.0, main_prior: float = 16.0, noisy_below: float = 0.5) -> DataFrame:
+    """``(host, styles, noise, main_noise)``: presentation importance by path, and blocks of low importance, for hosts with something to say.
 
     Counts are taken over distinct pages' features, combined in each task before they are shuffled. A feature that only
-    copies of one and the same page have says nothing: it must be on pages of differing content. ``noise`` lists
-    ``path ^ text hash`` of blocks with importance below ``noisy_below``.
+    copies of one and the same page have says nothing: it must be on pages of differing content. An importance over m pages is
+    mixed with ``prior`` pages of importance 1, for blocks in declared main content with ``main_prior``. ``noise`` lists
+    ``path ^ text hash`` of blocks with importance below ``noisy_below``, ``main_noise`` those where it is even by the prior of main content.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,27 +215,30 @@ def site_trees(pages: DataFrame, least_pages: int = 8, noisy_below: float = 0.5)
     f = f.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     f = written(f.where("kind = 0 OR (n > 1 AND low <> high)"), "features")
     # presentation: entropy of the styles of a path to the base of its pages
-    styles = f.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count(F.lit(1)).alias("styles")).where(F.col("m") >= least_pages)
-    styles = styles.withColumn("importance", F.greatest(F.lit(0.0), (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")))
+    styles = f.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count(F.lit(1)).alias("styles")).where("m > 1")
+    mixed = lambda own, pages: (F.lit(pages) + F.col("m") * own) / (F.lit(pages) + F.col("m"))
+    styles = styles.withColumn("importance", mixed(F.greatest(F.lit(0.0), (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")), prior))
     styles = written(styles.select("host", "path", "m", "importance", "styles"), "styles")
     blocks = f.where("kind = 1").join(styles.select("host", "path", "m"), ["host", "path"])
     low = 1 - F.least(F.lit(1.0), F.col("n") / F.col("m")) * F.log("n") / F.log("m")
-    noise = blocks.where(low < noisy_below).groupBy("host").agg(F.collect_set(F.col("path").bitwiseXOR(F.col("feature"))).alias("noise"))
+    block = F.col("path").bitwiseXOR(F.col("feature"))
+    below = [F.collect_set(F.when(mixed(low, p) < noisy_below, block)).alias(name) for p, name in ((prior, "noise"), (main_prior, "main_noise"))]
+    noise = blocks.where(mixed(low, min(prior, main_prior)) < noisy_below).groupBy("host").agg(*below)
     repeated = noise.join(styles.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("importance", "styles")))).alias("styles")), "host")
-    return repeated.select("host", "styles", "noise")
+    return repeated.select("host", "styles", "noise", "main_noise")
 
 
-def importance(node: Node, styles: dict, noise: set, main: bool = False, decay: float = 0.9) -> tuple[float, float]:
+def importance(node: Node, styles: dict, noise: set, main_noise: set, main: bool = False, decay: float = 0.9) -> tuple[float, float]:
     """Composite importance of a node, and the largest at or below it; marks elements as noise where even that is under 0.25.
 
-    Text inside an element declared as main content has importance 1: a passage that many articles share is content there.
+    Text inside an element declared as main content falls by ``main_noise``: a passage that some articles share is content there.
     """
     if node.text is not None:
-        own = 1.0 if main or node.path ^ (xxhash.xxh64_intdigest(node.text) - (1 << 63)) not in noise else 0.0
+        own = 0.0 if _falls(node, main_noise if main else noise) else 1.0
         return own, own
     if node.noise:
         return 0.0, 0.0
-    below = [importance(c, styles, noise, main or node.main, decay) for c in node.children]
+    below = [importance(c, styles, noise, main_noise, main or node.main, decay) for c in node.children]
     if not below:
         return 1.0, 1.0
     own, kinds = styles.get(node.path, (1.0, 1))
@@ -244,25 +249,38 @@ def importance(node: Node, styles: dict, noise: set, main: bool = False, decay:
     return total, peak
 
 
-def main_text(source: str, styles: dict | None = None, noise: set | None = None) -> str:
-    """The blocks of the page that are left, one to a line. If an article or main element has text left, only such elements count."""
+def _falls(node: Node, noise: set) -> bool:
+    return bool(noise) and node.path ^ (xxhash.xxh64_intdigest(node.text) - (1 << 63)) in noise
+
+
+def _blocks(source: str, styles: dict, noise: set, main_noise: set) -> tuple[list[str], bool]:
+    """The blocks of the page that are left, and whether one is inside an article or main element."""
     root = parse(source)
-    if noise:
-        importance(root, styles or {}, noise)
-    noise = noise or set()
-    inside: list[str] = []
-    everywhere: list[str] = []
+    if noise or main_noise:
+        importance(root, styles, noise, main_noise)
+    left: list[str] = []
+    inside = False
     todo = [(root, False)]
     while todo:
         n, main = todo.pop()
         if n.text is not None:
-            if main or not noise or n.path ^ (xxhash.xxh64_intdigest(n.text) - (1 << 63)) not in noise:
-                everywhere.append(n.text)
-                if main:
-                    inside.append(n.text)
+            if not _falls(n, main_noise if main else noise):
+                left.append(n.text)
+                inside = inside or main
         elif not n.noise:
             todo += [(c, main or n.main) for c in reversed(n.children)]
-    return "\n".join(inside or everywhere)
+    return left, inside
+
+
+def main_text(source: str, styles: dict | None = None, noise: set | None = None, main_noise: set | None = None) -> str:
+    """The blocks of the page that are left, one to a line, inside declared main content and beside it.
+
+    If nothing in article and main elements were left, as on a host of near copies, what they hold stays.
+    """
+    left, inside = _blocks(source, styles or {}, noise or set(), main_noise or set())
+    if main_noise and not inside:
+        left, _ = _blocks(source, styles or {}, noise or set(), set())
+    return "\n".join(left)
 
 
 def extract(pages: DataFrame, broadcast_hosts: int = 20_000, **tree) -> DataFrame:
@@ -274,21 +292,21 @@ def extract(pages: DataFrame, broadcast_hosts: int = 20_000, **tree) -> DataFram
     hosts with many pages. Pages are processed whole, in batches.
     """
     trees = written(site_trees(pages, **tree), "trees")
-    size = trees.agg(F.count(F.lit(1)), F.sum(F.size("noise") + F.size("styles"))).first()
+    size = trees.agg(F.count(F.lit(1)), F.sum(F.size("noise") + F.size("main_noise") + F.size("styles"))).first()
     small = size[0] <= broadcast_hosts and (size[1] or 0) <= 50 * broadcast_hosts
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    entries = trees.select("host", F.map_keys("styles").alias("paths"), F.map_values("styles").alias("values"), "noise")
+    entries = trees.select("host", F.map_keys("styles").alias("paths"), F.map_values("styles").alias("values"), "noise", "main_noise")
     joined = p.join(F.broadcast(entries) if small else entries, "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, styles, noise = None, {}, set()
+        last, styles, noise, main_noise = None, {}, set(), set()
         for b in batches:
             texts = []
-            for host, source, paths, values, marked in zip(b["host"], b["html"], b["paths"], b["values"], b["noise"], strict=True):
+            for host, source, paths, values, *marked in zip(b["host"], b["html"], b["paths"], b["values"], b["noise"], b["main_noise"], strict=True):
                 if host != last:
-                    last, noise = host, set() if marked is None else {int(x) for x in marked}
+                    last, (noise, main_noise) = host, (set() if m is None else {int(x) for x in m} for m in marked)
                     styles = {} if paths is None else {int(k): (v["importance"], v["styles"]) for k, v in zip(paths, values, strict=True)}
-                texts.append(main_text(source or "", styles, noise))
+                texts.append(main_text(source or "", styles, noise, main_noise))
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -83,6 +83,17 @@ def test_html(spark):
     assert style_tree.extract(df.limit(0)).count() == 0
 
 
+def test_html_tree_decides_in_and_beside_articles(spark):
+    page = "<body><div>Line of the site</div><article><div>Offer on every page</div><p>Own words {k}</p></article><section><p>More words {k}</p></section></body>"
+    copies = "<body><article><p>One text for all</p></article><div>{k}</div></body>"
+    pages = [(k, f"http://h.example/{k}", page.format(k=k)) for k in range(40)] + [(50 + k, f"http://g.example/{k}", page.format(k=k)) for k in range(4)]
+    pages += [(100 + k, f"http://f.example/{k}", copies.format(k=k)) for k in range(40)]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own words 3\nMore words 3"
+    assert got[52] == "Offer on every page\nOwn words 2\nMore words 2"  # four pages outweigh the prior beside main content only
+    assert got[107] == "One text for all\n7"
+
+
 def test_odd_markup():
     text = style_tree.main_text
     assert text("<div>" * 20_000 + "x" + "</div>" * 20_000 + "y") == "x\ny"
