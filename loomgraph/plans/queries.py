@@ -111,6 +111,14 @@ def py_names_explode(spark: SparkSession, sf: str) -> DataFrame:
 SQL["py_names_explode"] = SQL["py_names_explode"].replace("FROM documents)", r"FROM documents WHERE NOT regexp_matches(regexp_extract(text, '^([^\n]*)', 1), '[()\\\r]'))")
 
 
+@registered()
+def py_names_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every document, with brackets and continuations, which SQL doesn't follow."""
+    names = F.flatten(F.transform(F.split("text", "\n"), imports.import_names))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(names).alias("name"))
+    return d.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @registered(
     """WITH t AS (SELECT p_partkey FROM part WHERE p_size < 10), m AS (SELECT count(*) AS n FROM part), s AS (SELECT DISTINCT l_partkey AS spec FROM lineitem),
 c AS (SELECT spec, unnest([spec, spec + 1, spec * 7 % n]) AS cand, unnest([0, 1, 2]) AS place FROM s, m)
