@@ -473,6 +473,22 @@ def fence_strip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", comments.without_fences("t").alias("clean"), comments.fence_open("t").alias("unclosed"))
 
 
+@registered()
+def strip_comments_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole content of every file, with a comment at the end of each line but the last."""
+    more = F.when(F.col("ext") == ".py", " # it's \"unclosed\n").otherwise(" // it's \"unclosed /* \n")
+    f = views.files(spark, sf).select("path", "ext", F.replace("content", F.lit("\n"), more).alias("t"))
+    return f.select("path", comments.clean_text("t", "ext").alias("clean"))
+
+
+@registered()
+def fence_strip_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, with a fenced block at each end of a line; a fence after every fourth text never closes."""
+    t = F.replace("text", F.lit("\n"), F.lit("\n~~~~js\ncode ```\n~~~~\n"))
+    t = F.concat(t, F.when(F.col("doc_id") % 4 == 3, "\n```\nlost").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", comments.without_fences("t").alias("clean"), comments.fence_open("t").alias("unclosed"))
+
+
 @registered("SELECT doc_id, lang, doc_id AS number FROM documents")
 def jsonc(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit('{ // a "comment"\n "lang": "'), "lang", F.lit('", /* , } */ "number": '), F.col("doc_id").cast("string"), F.lit(",\n}"))

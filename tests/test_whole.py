@@ -22,3 +22,47 @@ def test_py_names_whole(spark, sf_dir, tmp_path):
     got = {(r["doc_id"], r["name"]): r["n"] for r in registry.queries()["py_names_whole"](spark, str(tmp_path)).collect()}
     assert got == Counter((k, name) for k, text in docs for line in (text or "").split("\n") for name in _names(line))
     assert {name for k, name in got if k == -1} == {"a", "b", "d.e", "f"}
+
+
+#: Code that stands alone, and what is left of it when each of its lines but the last of a file ends in a comment.
+_C = [
+    ("a = 1", "a = 1 "), ("b /* c */ + 2", "b   + 2 "), ('s = "// no" // yes', 's = "// no" '), ("/* x\ny ' z */ q", "\n q "), ("r = /[/*]'/g;", "r = /[/*]'/g; "),
+    ("t = `u // v ${`in /* */`} w`", "t = `u // v ${`in /* */`} w` "), ("u = 'it\\'s' + \"/*\"", "u = 'it\\'s' + \"/*\" "), ("", " "),
+]
+_PY = [("a = 1 # b", "a = 1 "), ("s = '# no' # it's", "s = '# no' "), ('"""x\n# y"""z', "\nz "), ("b // c", "b // c "), ("", " ")]
+
+
+def _files(spark, tmp_path, docs):
+    spark.createDataFrame([(k, t, "en", "s") for k, t in docs], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_strip_comments_whole(spark, tmp_path):
+    rng = random.Random(5)
+    docs, want = [], {}
+    for k in range(40):
+        parts = rng.choices(_PY if k % 4 == 1 else _C, k=2000 if k < 4 else 20)
+        docs.append((k, "".join(a + "\n" for a, _ in parts) + "end"))
+        want[f"src/s/en/d{k}.{['ts', 'py', 'sql', 'js'][k % 4]}"] = "".join(b + "\n" for _, b in parts) + "end"
+    got = {r["path"]: r["clean"] for r in registry.queries()["strip_comments_whole"](spark, _files(spark, tmp_path, docs)).collect()}
+    assert got == want
+
+
+#: Text with its own fences, and what is left of it with a fenced block of three lines at each end of a line.
+_MD = [("plain `x`", "plain `x`"), ("> ```\n~~~\n``` no\n> ```", "\n" * 12), ("   `````\nb\n```", "\n" * 8), ("", "")]
+
+
+def test_fence_strip_whole(spark, sf_dir, tmp_path):
+    rng = random.Random(6)
+    docs, want = [], {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        lines = r["text"].split("\n")
+        assert not any(re.match(r"[\s>]*(```|~~~)", x) for x in lines)
+        docs.append((r["doc_id"], r["text"]))
+        want[r["doc_id"]] = "\n\n\n\n".join(lines)
+    for k in range(10_000, 10_040):
+        parts = rng.choices(_MD, k=500 if k % 10 == 0 else 10)
+        docs.append((k, "\n".join(a for a, _ in parts)))
+        want[k] = "\n\n\n\n".join(b for _, b in parts)
+    got = {r["doc_id"]: (r["clean"], r["unclosed"]) for r in registry.queries()["fence_strip_whole"](spark, _files(spark, tmp_path, docs)).collect()}
+    assert got == {k: (t + "\n\n" * (k % 4 == 3), k % 4 == 3) for k, t in want.items()}
