@@ -194,16 +194,16 @@ def surface_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered("WITH {EDGES} SELECT src, dst, is_value, is_lazy, is_value AND NOT is_lazy AS is_static FROM v_edges")
-def edge_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return views.edges(spark, sf).withColumn("is_static", F.col("is_value") & ~F.col("is_lazy"))
+def edge_flags(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    return edges(spark, sf).withColumn("is_static", F.col("is_value") & ~F.col("is_lazy"))
 
 
 @registered(
     """WITH {EDGES}, o AS (SELECT src AS id, count(*) AS fan_out FROM v_edges GROUP BY 1), i AS (SELECT dst AS id, count(*) AS fan_in, string_agg(src::VARCHAR, ',' ORDER BY src) AS imported_by FROM v_edges GROUP BY 1)
 SELECT id, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in, coalesce(imported_by, '') AS imported_by FROM o FULL JOIN i USING (id)"""
 )
-def fan_in_out(spark: SparkSession, sf: str) -> DataFrame:
-    f = graph.fan(views.edges(spark, sf))
+def fan_in_out(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    f = graph.fan(edges(spark, sf))
     return f.withColumn("imported_by", F.array_join(F.transform("imported_by", lambda x: x.cast("string")), ","))
 
 
@@ -214,8 +214,8 @@ r AS (SELECT 0 AS k, id, 1.0::DOUBLE / n AS rank FROM v_nodes, n UNION ALL
 
 
 @registered("WITH RECURSIVE {EDGES}, " + _RANKS + " SELECT id, round(rank, 9) AS rank FROM r WHERE k = 30")
-def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(views.nodes(spark, sf), views.edges(spark, sf).where("is_value")).select("id", F.round("rank", 9).alias("rank"))
+def pagerank(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    return graph.pagerank(views.nodes(spark, sf), edges(spark, sf).where("is_value")).select("id", F.round("rank", 9).alias("rank"))
 
 
 _LOC = r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*(//|#|\*|/\*|--)')))"
@@ -225,10 +225,10 @@ _LOC = r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x
     "WITH RECURSIVE {EDGES}, " + _RANKS + f""", i AS (SELECT dst AS id, count(*) AS fan_in FROM v_edges GROUP BY 1)
 SELECT r.id, round(coalesce(rank * (0.25 + 0.75 * loc / (loc + 60)) * fan_in / (fan_in + 4), 0), 9) AS importance FROM r JOIN (SELECT doc_id, {_LOC} AS loc FROM documents) ON doc_id = r.id LEFT JOIN i USING (id) WHERE k = 30"""
 )
-def importance_damped(spark: SparkSession, sf: str) -> DataFrame:
-    rank = graph.pagerank(views.nodes(spark, sf), views.edges(spark, sf).where("is_value"))
+def importance_damped(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    rank = graph.pagerank(views.nodes(spark, sf), edges(spark, sf).where("is_value"))
     loc = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), files.loc(F.col("text")).alias("loc"))
-    rows = rank.join(loc, "id").join(graph.fan(views.edges(spark, sf)), "id", "left")
+    rows = rank.join(loc, "id").join(graph.fan(edges(spark, sf)), "id", "left")
     return rows.select("id", F.round(scoring.damped(F.col("rank"), F.col("loc"), F.col("fan_in")), 9).alias("importance"))
 
 
@@ -236,19 +236,19 @@ def importance_damped(spark: SparkSession, sf: str) -> DataFrame:
     """WITH RECURSIVE {EDGES}, c AS (SELECT src AS a, dst AS b FROM v_edges UNION SELECT c.a, e.dst FROM c JOIN v_edges e ON c.b = e.src)
 SELECT a AS id, least(a, min(b)) AS component FROM (SELECT x.a, x.b FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) GROUP BY a"""
 )
-def scc(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.strong_components(views.edges(spark, sf))
+def scc(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    return graph.strong_components(edges(spark, sf))
 
 
 @registered()
-def cycle_witness(spark: SparkSession, sf: str) -> DataFrame:
-    e = written(views.edges(spark, sf), "edges")
+def cycle_witness(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    e = written(edges(spark, sf), "edges")
     return graph.cycle_witnesses(e, graph.strong_components(e)).withColumn("cycle", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">"))
 
 
-def _reached(spark: SparkSession, sf: str) -> DataFrame:
+def _reached(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
     n = views.nodes(spark, sf)
-    return graph.hops(n, views.edges(spark, sf), n.where("id % 17 = 0"))
+    return graph.hops(n, edges(spark, sf), n.where("id % 17 = 0"))
 
 
 _HOPS = """h AS (SELECT id, 0 AS hops FROM v_nodes WHERE id % 17 = 0 UNION SELECT e.dst, h.hops + 1 FROM h JOIN v_edges e ON e.src = h.id WHERE h.hops < 100),
@@ -256,8 +256,8 @@ m AS (SELECT id, min(hops) AS hops FROM h GROUP BY id)"""
 
 
 @registered("WITH RECURSIVE {EDGES}, " + _HOPS + " SELECT id, hops::BIGINT AS hops FROM v_nodes LEFT JOIN m USING (id)")
-def bfs_hops(spark: SparkSession, sf: str) -> DataFrame:
-    return _reached(spark, sf).select("id", F.col("hops").cast("long").alias("hops"))
+def bfs_hops(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    return _reached(spark, sf, edges).select("id", F.col("hops").cast("long").alias("hops"))
 
 
 _VIA = """, q AS (SELECT id, 0 AS hops, [id] AS via FROM m WHERE hops = 0 UNION ALL
@@ -265,23 +265,23 @@ _VIA = """, q AS (SELECT id, 0 AS hops, [id] AS via FROM m WHERE hops = 0 UNION
 
 
 @registered("WITH RECURSIVE {EDGES}, " + _HOPS + _VIA + " SELECT id, coalesce(array_to_string(via, ','), '') AS via FROM v_nodes LEFT JOIN q USING (id)")
-def bfs_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    return _reached(spark, sf).select("id", F.array_join(F.transform("via", lambda x: x.cast("string")), ",").alias("via"))
+def bfs_provenance(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    return _reached(spark, sf, edges).select("id", F.array_join(F.transform("via", lambda x: x.cast("string")), ",").alias("via"))
 
 
 @registered("WITH RECURSIVE {EDGES}, " + _HOPS + " SELECT id, id IN (SELECT dst FROM v_edges) AS only_tests FROM v_nodes WHERE id NOT IN (SELECT id FROM m) AND id % 5 <> 0")
-def orphans(spark: SparkSession, sf: str) -> DataFrame:
+def orphans(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
     tests = views.nodes(spark, sf).where("id % 5 = 0")
-    return graph.orphans(_reached(spark, sf), graph.fan(views.edges(spark, sf)), tests)
+    return graph.orphans(_reached(spark, sf, edges), graph.fan(edges(spark, sf)), tests)
 
 
 @registered(
     "WITH RECURSIVE {EDGES}, " + _HOPS + _VIA + """ SELECT via[1] AS via, q.id, hops::BIGINT AS hops, EXISTS (SELECT 1 FROM v_edges e WHERE e.src = via[1] AND e.dst = q.id AND is_lazy) OR q.id IN (SELECT src FROM v_edges WHERE is_lazy) AS lazy
 FROM q WHERE hops > 0 AND q.id % 2 = 0"""
 )
-def surface_paths(spark: SparkSession, sf: str) -> DataFrame:
-    top = views.nodes(spark, sf).where("id % 2 = 0")
-    return graph.surface_paths(_reached(spark, sf), views.edges(spark, sf), top).withColumn("hops", F.col("hops").cast("long"))
+def surface_paths(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    top = views.nodes(spark, sf).where("id % 2 = 0" if edges is views.edges else "true")
+    return graph.surface_paths(_reached(spark, sf, edges), edges(spark, sf), top).withColumn("hops", F.col("hops").cast("long"))
 
 
 @registered(
@@ -327,8 +327,8 @@ s AS (SELECT id, 1.2 * (damped - avg(damped) OVER ()) / coalesce(nullif(stddev_p
 SELECT id, round(a + b + c + d + yours, 7) AS score, CASE WHEN greatest(a, b, c, d) <= 0 THEN '—' WHEN a >= greatest(b, c, d) THEN 'depended-on' WHEN b >= greatest(c, d) THEN 'churn' WHEN c >= d THEN 'complex' ELSE 'recent' END AS why
 FROM s ORDER BY round(a + b + c + d + yours, 7) DESC, id LIMIT 100"""
 )
-def hotspot_score(spark: SparkSession, sf: str) -> DataFrame:
-    e = written(views.edges(spark, sf), "edges")
+def hotspot_score(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
+    e = written(edges(spark, sf), "edges")
     c = views.commits(spark, sf)
     rank = graph.pagerank(views.nodes(spark, sf), e.where("is_value"))
     churned = c.groupBy(F.col("path").alias("id")).agg(F.count(F.lit(1)).alias("churn"), F.max("at").alias("last_touch"), F.count_if(F.col("author") % 10 == 1).alias("my_churn"))
@@ -383,9 +383,9 @@ def resolver_health(spark: SparkSession, sf: str) -> DataFrame:
     """WITH {FILES}, {COMMITS}, {EDGES} SELECT (SELECT count(*) FROM v_files) AS files, (SELECT count(*) FROM v_files WHERE ext <> '.sql') AS logic_files, (SELECT sum(length(content))::BIGINT FROM v_files) AS chars,
   (SELECT count(*) FROM v_edges) AS edges, (SELECT count(*) FROM v_edges WHERE is_value) AS value_edges, (SELECT count(*) FROM v_commits) AS commits, (SELECT count(DISTINCT author) FROM v_commits) AS authors"""
 )
-def global_counts(spark: SparkSession, sf: str) -> DataFrame:
+def global_counts(spark: SparkSession, sf: str, edges: Query = views.edges) -> DataFrame:
     f = views.files(spark, sf).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("ext").isin(*files.LOGIC_EXT)).alias("logic_files"), F.sum(F.length("content").cast("long")).alias("chars"))
-    e = views.edges(spark, sf).agg(F.count(F.lit(1)).alias("edges"), F.count_if("is_value").alias("value_edges"))
+    e = edges(spark, sf).agg(F.count(F.lit(1)).alias("edges"), F.count_if("is_value").alias("value_edges"))
     c = views.commits(spark, sf).agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("author").alias("authors"))
     return f.crossJoin(e).crossJoin(c)
 
@@ -572,3 +572,16 @@ def added_since(spark: SparkSession, sf: str) -> DataFrame:
     oldest = staleness.oldest_stamp(stamps, e.select("ord", "sha"))
     first = e.where("path % 2 = 0").groupBy("path").agg(F.min("ord").alias("ord"))
     return staleness.added_since(e.where("path % 3 <> 0").select("path").distinct(), first, oldest)
+
+
+def _over_all_edges(q: Callable[..., DataFrame]) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return q(spark, sf, views.all_edges)
+
+    run.__name__ = f"{q.__name__}_all"
+    return run
+
+
+# Over the edges of all error events, and for surface_paths with all nodes; SQL's closures get too slow there.
+for _q in (edge_flags, fan_in_out, pagerank, importance_damped, scc, cycle_witness, bfs_hops, bfs_provenance, orphans, surface_paths, hotspot_score, global_counts):
+    registered()(_over_all_edges(_q))

@@ -36,14 +36,14 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
 COMMITS = "v_commits AS (SELECT event_id AS sha, (props->>'$.k')::BIGINT AS path, floor(epoch(ts))::BIGINT AS sec, ts, user_id AS author, event_type AS subject FROM events)"
 
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
-    """``(src, dst, is_value, is_lazy)``: a user's error followed by the next user's, every tenth event.
+def edges(spark: SparkSession, folder: str, every: int = 10) -> DataFrame:
+    """``(src, dst, is_value, is_lazy)``: a user's error followed by the next user's, every tenth event as in ``EDGES``.
 
     The window runs over all error events in time order, as the view is defined; it holds two ids for each, a third of one small table.
     """
     e = table(spark, folder, "events").where("event_type = 'error'")
     following = F.lead("user_id").over(Window.orderBy("ts", "event_id"))
-    rows = e.select("event_id", F.col("user_id").alias("src"), following.alias("dst")).where("event_id % 10 = 0 AND dst IS NOT NULL AND src <> dst")
+    rows = e.select("event_id", F.col("user_id").alias("src"), following.alias("dst")).where((F.col("event_id") % every == 0) & F.expr("dst IS NOT NULL AND src <> dst"))
     return rows.groupBy("src", "dst").agg(F.bool_or(F.col("event_id") % 70 != 0).alias("is_value"), F.bool_or(F.col("event_id") % 30 == 0).alias("is_lazy"))
 
 
@@ -52,6 +52,11 @@ EDGES = """v_edges AS (SELECT src, dst, bool_or(event_id % 70 <> 0) AS is_value,
   WHERE event_id % 10 = 0 AND dst IS NOT NULL AND src <> dst GROUP BY src, dst), v_nodes AS (SELECT DISTINCT user_id AS id FROM events)"""
 
 
+def all_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every event."""
+    return edges(spark, folder, every=1)
+
+
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").alias("id")).distinct()
 

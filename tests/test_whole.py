@@ -66,3 +66,59 @@ def test_fence_strip_whole(spark, sf_dir, tmp_path):
         want[k] = "\n\n\n\n".join(b for _, b in parts)
     got = {r["doc_id"]: (r["clean"], r["unclosed"]) for r in registry.queries()["fence_strip_whole"](spark, _files(spark, tmp_path, docs)).collect()}
     assert got == {k: (t + "\n\n" * (k % 4 == 3), k % 4 == 3) for k, t in want.items()}
+
+
+def test_graph_over_all_edges(spark, sf_dir):
+    events = sorted((r["ts"], r["event_id"], r["user_id"], r["event_type"]) for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect())
+    nodes = {u for _, _, u, _ in events}
+    errors = [(k, u) for _, k, u, kind in events if kind == "error"]
+    flags = {}
+    for (k, a), (_, b) in zip(errors, errors[1:], strict=False):
+        if a != b:
+            value, lazy = flags.get((a, b), (False, False))
+            flags[a, b] = value or k % 70 != 0, lazy or k % 30 == 0
+    q = lambda name: registry.queries()[f"{name}_all"](spark, sf_dir).collect()
+    assert {(r["src"], r["dst"]): (r["is_value"], r["is_lazy"], r["is_static"]) for r in q("edge_flags")} == {e: (v, z, v and not z) for e, (v, z) in flags.items()}
+    assert {r["id"]: (r["fan_out"], r["fan_in"]) for r in q("fan_in_out")} == {n: (sum(a == n for a, _ in flags), sum(b == n for _, b in flags)) for n in {x for e in flags for x in e}}
+
+    outs = {n: [b for (a, b), (v, _) in flags.items() if a == n and v] for n in nodes}
+    rank = {n: 1 / len(nodes) for n in nodes}
+    for _ in range(30):
+        lost = sum(rank[n] for n in nodes if not outs[n])
+        rank = {n: 0.15 / len(nodes) + 0.85 * (lost / len(nodes) + sum(rank[a] / len(outs[a]) for a in nodes if n in outs[a])) for n in nodes}
+    got = {r["id"]: r["rank"] for r in q("pagerank")}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-8 for n in nodes)
+
+    def reach(start):
+        seen, todo = {n: 0 for n in start}, list(start)
+        for a in todo:
+            for x, b in flags:
+                if x == a and b not in seen:
+                    seen[b] = seen[a] + 1
+                    todo.append(b)
+        return seen
+
+    hops = reach([n for n in nodes if n % 17 == 0])
+    assert {r["id"]: r["hops"] for r in q("bfs_hops")} == {n: hops.get(n) for n in nodes}
+    via = {n: [n] for n in hops if hops[n] == 0}
+    for n in sorted(hops, key=hops.get):
+        if hops[n]:
+            via[n] = sorted({v for a, b in flags if b == n and hops.get(a) == hops[n] - 1 for v in via[a]})[:3]
+    assert {r["id"]: r["via"] for r in q("bfs_provenance")} == {n: ",".join(map(str, via.get(n, []))) for n in nodes}
+    assert {(r["via"], r["id"], r["hops"]) for r in q("surface_paths")} == {(via[n][0], n, h) for n, h in hops.items() if h}
+    assert {r["id"] for r in q("orphans")} == {n for n in nodes if n not in hops and n % 5}
+    ahead = {n: set(reach([n])) for n in nodes}
+    ring = {n: {m for m in ahead[n] if n in ahead[m]} for n in nodes}
+    assert {r["id"]: r["component"] for r in q("scc")} == {n: min(ring[n]) for n in nodes if len(ring[n]) > 1}
+    for r in q("cycle_witness"):
+        c = [int(x) for x in r["cycle"].split(">")]
+        assert c[0] == c[-1] and all(e in flags for e in zip(c, c[1:], strict=False))
+    counts = q("global_counts")[0]
+    assert (counts["edges"], counts["value_edges"]) == (len(flags), sum(v for v, _ in flags.values()))
+    fan = Counter(b for _, b in flags)
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    loc = {k: sum(bool(x.strip()) and not re.match(r"\s*(//|#|\*|/\*|--)", x) for x in t.split("\n")) for k, t in text.items()}
+    damped = {n: rank[n] * (0.25 + 0.75 * loc[n] / (loc[n] + 60)) * fan[n] / (fan[n] + 4) for n in nodes if n in loc}
+    got = {r["id"]: r["importance"] for r in q("importance_damped")}
+    assert got.keys() == damped.keys() and all(abs(got[n] - damped[n]) < 1e-8 for n in damped)
+    assert len(q("hotspot_score")) == min(100, len(text))
