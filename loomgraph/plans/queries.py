@@ -423,9 +423,17 @@ def redact(spark: SparkSession, sf: str) -> DataFrame:
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate GROUP BY 1"""
 )
 def staleness_sections(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
-    hit = o.join(table(spark, sf, "lineitem"), F.col("id") == F.col("l_orderkey")).where("l_shipdate > o_orderdate")
-    return hit.groupBy("id").agg(F.count(F.lit(1)).alias("changes"), F.array_join(F.sort_array(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("changed"))
+    """Orders as sections stamped on their date that list their own folder, and line items as commits of one file there on theirs."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), views.epoch(F.col("o_orderdate")).alias("time"))
+    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate"))
+    line = table(spark, sf, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("path"), again.cast("string").alias("again"), views.epoch(F.col("l_shipdate")).alias("time"))
+    line = line.withColumn("sha", F.concat_ws("/", "path", "again"))
+    log = o.select(F.col("id").alias("sha"), "time").unionByName(line.select("sha", "time"))
+    log = log.crossJoin(F.broadcast(log.agg(F.max("time").alias("last")))).select("sha", (F.col("last") - F.col("time")).alias("ord"))
+    found = o.select("id", F.col("id").alias("sha"), F.array(F.concat("id", F.lit("/*"))).alias("files"))
+    out = staleness.stale(found, log, line.select("sha", "path"), shown=(1 << 31) - 1)
+    changed = F.transform("changed", lambda x: F.substring_index(x, "/", -1))
+    return out.select(F.col("id").cast("long").alias("id"), F.size("commits").cast("long").alias("changes"), F.array_join(changed, ",").alias("changed"))
 
 
 @registered(

@@ -122,3 +122,18 @@ def test_graph_over_all_edges(spark, sf_dir):
     got = {r["id"]: r["importance"] for r in q("importance_damped")}
     assert got.keys() == damped.keys() and all(abs(got[n] - damped[n]) < 1e-8 for n in damped)
     assert len(q("hotspot_score")) == min(100, len(text))
+
+
+def test_staleness_sections_runs_the_operator(spark, sf_dir, monkeypatch):
+    from loomgraph.operators import staleness
+
+    calls, stale = [], staleness.stale
+    monkeypatch.setattr(staleness, "stale", lambda *a, **b: calls.append(a) or stale(*a, **b))
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("orders", "lineitem"))
+    at = {r["o_orderkey"]: r["o_orderdate"] for r in orders}
+    later = [(r["l_orderkey"], str(r["l_linenumber"])) for r in lines if r["l_orderkey"] in at and r["l_shipdate"] > at[r["l_orderkey"]]]
+    n, changed = Counter(k for k, _ in later), {}
+    for k, x in later:
+        changed.setdefault(k, set()).add(x)
+    got = {r["id"]: (r["changes"], r["changed"]) for r in registry.queries()["staleness_sections"](spark, sf_dir).collect()}
+    assert calls and got == {k: (n[k], ",".join(sorted(changed[k]))) for k in n}
