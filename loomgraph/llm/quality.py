@@ -24,9 +24,9 @@ def word_shape(word: str) -> str:
 
 
 class NgramHasher:
-    """Hash values of texts: unigrams of words, and n-grams of one to three word shapes.
+    """Hash values of texts: n-grams of one to three words, and n-grams of one to three word shapes.
 
-    Words and shapes get their hashes once, kept for at most ``limit`` words. A value of a feature is ``SCALE`` times the share it
+    Words count in lower case. Words and shapes get their hashes once, kept for at most ``limit`` words. A value of a feature is ``SCALE`` times the share it
     has among the n-grams of its kind, so vectors of texts of any length are of one size. One more feature tells the share of words that
     were seen before in the text. A text without words has one feature of its own.
     """
@@ -63,13 +63,13 @@ class NgramHasher:
         if not words:
             return [np.zeros(1, np.int64)]
         numbers = self._numbers(words)
-        pairs = self.table[numbers]
-        w, s = pairs[:, 0], pairs[:, 1]
-        kinds = [w, s]
-        if len(s) > 1:
-            kinds.append(s[:-1] * _MIX + s[1:])
-        if len(s) > 2:
-            kinds.append((kinds[2][:-1] ^ (kinds[2][:-1] >> np.uint64(29))) * _MIX + s[2:])
+        kinds = []
+        for h in (self.table[numbers, 0], self.table[numbers, 1]):
+            kinds.append(h)
+            if len(h) > 1:
+                kinds.append(two := h[:-1] * _MIX + h[1:])
+            if len(h) > 2:
+                kinds.append((two[:-1] ^ (two[:-1] >> np.uint64(29))) * _MIX + h[2:])
         again = int(10 * (1 - len(set(words)) / len(words)))
         kinds.append(np.array([(again * 8 + min(7, len(words).bit_length() // 2) + 1) << 44], np.uint64))
         return [((((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(40)) & self.mask).astype(np.int64) for h in kinds]

@@ -287,11 +287,14 @@ def _threshold(top: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((edge[best] + edge[best + 1]) / 2)
 
 
-def fit_bigru(texts: list[str], labels: list[int], share: float, rounds: int = 4, epochs: int = 2, batch: int = 128, rate: float = 0.02, per_text: int = 2, seed: int = 11) -> BiGru:
+def fit_bigru(
+    texts: list[str], labels: list[int], share: float, rounds: int = 4, epochs: int = 2, batch: int = 128, rate: float = 0.02, per_text: int = 2, seed: int = 11, odds: bool = True, unseen: float = 0.5, slow: float = 0.3
+) -> BiGru:
     """Trains on windows: of a document with label 1 the ones whose words lean most to label 1, of others the hardest and random ones.
 
-    Windows are chosen by the log odds of words and n-grams on the same rows, which also start one dimension of each
-    embedding. In later rounds the highest windows by the network itself join them. Adagrad, embeddings at a tenth of the rate. The logit at which a document's highest window counts as label 1 is the one
+    Windows are chosen by the log odds of words and n-grams on the same rows, which with ``odds`` also start one dimension of each
+    embedding. In later rounds the highest windows by the network itself join them. In each batch a share ``unseen`` of the words
+    loses its own vector, as words of new texts have none, so that their n-grams must tell. Adagrad, embeddings at ``slow`` times the rate. The logit at which a document's highest window counts as label 1 is the one
     with the least error on all windows of the rows, weighted so that ``share`` of the rows has label 1. With labels of
     one kind only every score is the share.
     """
@@ -307,7 +310,8 @@ def fit_bigru(texts: list[str], labels: list[int], share: float, rounds: int = 4
     keys = Keys.of(list(vocabulary))
     unique = [np.unique(d) for d in docs]
     word_odds, char_odds = _log_odds([keys.words[u] for u in unique], y_docs), _log_odds([keys.take(u).grams for u in unique], y_docs)
-    m.p["word"][:, 0], m.p["char"][:, 0] = word_odds / 2, char_odds / 2
+    if odds:
+        m.p["word"][:, 0], m.p["char"][:, 0] = word_odds / 2, char_odds / 2
     lean = np.maximum(word_odds[keys.words], np.add.reduceat(char_odds[keys.grams], keys.starts[:-1]) / np.diff(keys.starts))
     starts = [np.arange(0, max(1, len(d) - STRIDE), STRIDE) for d in docs]
     lists: set[tuple[int, int]] = set()
@@ -342,6 +346,8 @@ def fit_bigru(texts: list[str], labels: list[int], share: float, rounds: int = 4
             pad = index[at].T < 0
             own = keys.take(np.maximum(ids, 0))
             x_all = m.inputs(own)
+            known = rng.random(len(ids)) >= unseen
+            x_all[:, :WORD_DIM] *= known[:, None]
             x = x_all[where]
             x[pad] = 0
             _, g = window_logits(m, x, pad, y[at])
@@ -351,9 +357,9 @@ def fit_bigru(texts: list[str], labels: list[int], share: float, rounds: int = 4
             for k, v in g.items():
                 descend(k, v, slice(None), rate)
             n = np.diff(own.starts)
-            for k, hashes, d in (("word", own.words, d_x[:, :WORD_DIM]), ("char", own.grams, np.repeat(d_x[:, WORD_DIM:] / n[:, None], n, 0))):
+            for k, hashes, d in (("word", own.words, d_x[:, :WORD_DIM] * known[:, None]), ("char", own.grams, np.repeat(d_x[:, WORD_DIM:] / n[:, None], n, 0))):
                 u, back = np.unique(hashes, return_inverse=True)
-                descend(k, np.stack([np.bincount(back, d[:, j], len(u)) for j in range(d.shape[1])], 1).astype(np.float32), u, rate / 10)
+                descend(k, np.stack([np.bincount(back, d[:, j], len(u)) for j in range(d.shape[1])], 1).astype(np.float32), u, rate * slow)
     for k in range(rounds):
         if k:  # the windows that the network itself finds highest, right or wrong
             choose(WindowScorer(m).logits(texts), False)
