@@ -73,98 +73,141 @@ class WordCache(dict):
 
 
 class SumOfSquaresPacker:
-    """Online packing into windows of ``size`` tokens; pieces come out as their window closes.
-
-    ``level[h]`` lists the open windows filled up to h, and its length is the count the rule squares. A piece of s
-    tokens goes to the level h (0: a new window) for which the sum of squared counts is smallest afterwards: with
-    counts N, moving a window from h to h + s adds 2 (N[h + s] - N[h]) + 2, a new window 2 N[s] + 1, closing one
-    1 - 2 N[h]. Ties go to the fullest window. A document of more than ``size`` tokens gives whole windows first.
-    At most ``most_open`` windows stay open; beyond that the fullest is filled up with a cut piece, which bounds the
-    memory. ``finish`` refills the open windows, emptiest into fullest, cutting where needed; the last partial
-    window is cut into powers of two, which need no padding.
+    """Online packing into windows of ``size`` tokens by the sum-of-squares rule.
+
+    The fill of an open window belongs to one of ``size / step`` levels, and ``count`` holds the open windows of each. A piece of
+    s tokens goes into a window for which the sum of squared counts is smallest afterwards: with counts N, moving a window from
+    level a to b adds 2 (N[b] - N[a]) + 2, a new window at b 2 N[b] + 1, closing one 1 - 2 N[a]; staying on its level changes nothing.
+    Ties go to the fullest window. A window with less than ``step`` tokens of room is closed.
+    A document of more than ``size`` tokens gives whole windows first; the rule places the rest, never cut.
+
+    Only the fills of open windows are needed for the rule. Their pieces are held back for the end in at most ``held`` windows;
+    beyond that a window's pieces come out as they are placed, which bounds memory and changes no choice. ``finish`` pours the emptiest held windows
+    into what room the fullest have, cutting where needed; the last of them is cut into powers of two, which need no padding.
+    ``moved`` counts the pieces that it gives another place.
     """
 
-    def __init__(self, size: int, first_id: int, most_open: int = 256):
-        self.size, self.next_id, self.most_open = size, first_id, most_open
-        self.count = [0] * (size + 1)
+    def __init__(self, size: int, first_id: int, step: int = 32, held: int = 512):
+        self.size, self.next_id, self.step, self.most_held = size, first_id, step, held
+        self.count = [0] * (size // step + 1)
         self.filled: list[int] = []  # levels with open windows, in order
-        self.level: list[list[list]] = [[] for _ in range(size + 1)]
-        self.open = 0
-
-    def _close(self, window: list) -> Iterator[tuple]:
-        at, k = 0, self.next_id
+        self.level: list[list[tuple[int, int]]] = [[] for _ in self.count]  # (fill, window), in order
+        self.held: dict[int, list[tuple]] = {}
+        self.placed = self.moved = 0
+
+    def _piece(self, window: int, at: int, piece: tuple) -> tuple:
+        doc, start, total, ids = piece
+        self.placed += 1
+        return doc, start, len(ids) // 4, zlib.crc32(ids), total, window, at
+
+    def _pieces(self, window: int, pieces: list[tuple]) -> Iterator[tuple]:
+        at = 0
+        for p in pieces:
+            yield self._piece(window, at, p)
+            at += len(p[3]) // 4
+
+    def _open(self) -> int:
         self.next_id += 1
-        for doc, start, total, ids in window:
-            yield doc, start, len(ids) // 4, zlib.crc32(ids), total, k, at
-            at += len(ids) // 4
-
-    def _put(self, window: list, filled: int) -> Iterator[tuple]:
-        if filled == self.size:
-            yield from self._close(window)
-            return
-        if not self.count[filled]:
-            bisect.insort(self.filled, filled)
-        self.level[filled].append(window)
-        self.count[filled] += 1
-        self.open += 1
-
-    def _take(self, h: int) -> list:
-        self.count[h] -= 1
-        self.open -= 1
-        if not self.count[h]:
-            self.filled.remove(h)
-        return self.level[h].pop()
+        return self.next_id - 1
+
+    def _best(self, s: int) -> tuple[int, int] | None:
+        """The open window ``(fill, id)`` that takes s tokens, taken out of its level, or none for a new one."""
+        n, step, room = self.count, self.step, self.size - s
+        best, spot, least = -1, 0, 2 * n[s // step] + 1
+        if s > self.size - step:
+            least = 0  # closed at once
+        for a in self.filled[: bisect.bisect_right(self.filled, room // step)]:
+            windows = self.level[a]
+            k = bisect.bisect_right(windows, (room, self.next_id)) - 1  # the fullest with room
+            below = bisect.bisect_left(windows, ((a + 1) * step - s % step, -1)) - 1  # the fullest that ends up a level lower
+            for k in (below, k) if 0 <= below < k else (k,) if k >= 0 else ():
+                fill = windows[k][0] + s
+                b = fill // step
+                cost = 1 - 2 * n[a] if fill > self.size - step else 0 if a == b else 2 * (n[b] - n[a]) + 2
+                if cost <= least:
+                    best, spot, least = a, k, cost
+        if best < 0:
+            return None
+        n[best] -= 1
+        if not n[best]:
+            self.filled.remove(best)
+        return self.level[best].pop(spot)
+
+    def _keep(self, fill: int, window: int) -> None:
+        a = fill // self.step
+        if not self.count[a]:
+            bisect.insort(self.filled, a)
+        self.count[a] += 1
+        bisect.insort(self.level[a], (fill, window))
 
     def add(self, doc, ids: bytes) -> Iterator[tuple]:
-        total, start, step = len(ids) // 4, 0, self.size
-        while total - start >= step:
-            yield from self._close([(doc, start, total, ids[4 * start : 4 * (start + step)])])
-            start += step
-        while (s := total - start) > 0:
-            if self.open >= self.most_open:
-                h = self.filled[-1]
-                cut = min(s, step - h)
-            else:
-                h, cut = self._best(s), s
-            window = self._take(h) if h else []
-            window.append((doc, start, total, ids[4 * start : 4 * (start + cut)]))
-            yield from self._put(window, h + cut)
-            start += cut
-
-    def _best(self, s: int) -> int:
-        n, best, least = self.count, 0, 2 * self.count[s] + 1
-        for h in self.filled[: bisect.bisect_right(self.filled, self.size - s)]:  # open windows that still have room
-            cost = 1 - 2 * n[h] if h + s == self.size else 2 * (n[h + s] - n[h]) + 2
-            if cost <= least:
-                best, least = h, cost
-        return best
+        """The pieces that are settled once the tokens of a document are placed."""
+        total, start, size = len(ids) // 4, 0, self.size
+        while total - start >= size:
+            yield self._piece(self._open(), 0, (doc, start, total, ids[4 * start : 4 * (start + size)]))
+            start += size
+        if start == total:
+            return
+        piece, found = (doc, start, total, ids[4 * start :]), self._best(total - start)
+        if found is None:
+            fill, window = 0, self._open()
+            if len(self.held) < self.most_held:
+                self.held[window] = []
+        else:
+            fill, window = found
+        if window in self.held:
+            self.held[window].append(piece)
+        else:
+            yield self._piece(window, fill, piece)
+        fill += total - start
+        if fill <= size - self.step:
+            self._keep(fill, window)
+        elif window in self.held:
+            yield from self._pieces(window, self.held.pop(window))
 
     def finish(self) -> Iterator[tuple]:
-        pieces = [p for h in range(self.size, 0, -1) for w in self.level[h] for p in w]
-        left = sum(len(p[3]) // 4 for p in pieces)
-        sizes = [self.size] * (left // self.size) + [1 << b for b in range(self.size.bit_length() - 1, -1, -1) if (left % self.size) >> b & 1]
-        window, room = [], 0
-        sizes.reverse()
-        for doc, start, total, ids in pieces:
-            while ids:
-                if not room:
-                    room = sizes.pop()
-                cut = min(room, len(ids) // 4)
-                window.append((doc, start, total, ids[: 4 * cut]))
-                start, ids, room = start + cut, ids[4 * cut :], room - cut
-                if not room:
-                    yield from self._close(window)
-                    window = []
-        self.level, self.open, self.filled = [[] for _ in range(self.size + 1)], 0, []
-        self.count = [0] * (self.size + 1)
+        windows = [(fill, w) for level in self.level for fill, w in level if w in self.held]
+        fullest, emptiest = len(windows) - 1, 0
+        while emptiest < fullest:
+            (gap, into), (_, out) = (self.size - windows[fullest][0], windows[fullest][1]), windows[emptiest]
+            while gap and self.held[out]:
+                doc, start, total, ids = self.held[out].pop()
+                cut = min(gap, len(ids) // 4)
+                self.held[into].append((doc, start, total, ids[: 4 * cut]))
+                self.moved += 1
+                if 4 * cut < len(ids):
+                    self.held[out].append((doc, start + cut, total, ids[4 * cut :]))
+                gap -= cut
+            if not self.held[out]:
+                del self.held[out]
+                emptiest += 1
+            if not gap:
+                fullest -= 1
+                yield from self._pieces(into, self.held.pop(into))
+            else:
+                windows[fullest] = (self.size - gap, into)
+        for _, pieces in sorted(self.held.items()):  # one window at most
+            left = sum(len(p[3]) // 4 for p in pieces)
+            for size in [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]:
+                part = []
+                while size:
+                    doc, start, total, ids = pieces.pop(0)
+                    cut = min(size, len(ids) // 4)
+                    part.append((doc, start, total, ids[: 4 * cut]))
+                    if 4 * cut < len(ids):
+                        pieces.insert(0, (doc, start + cut, total, ids[4 * cut :]))
+                    size -= cut
+                yield from self._pieces(self._open(), part)
+        self.held, self.filled, self.count, self.level = {}, [], [0] * len(self.count), [[] for _ in self.count]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2) -> DataFrame:
     """Packs ``docs(doc_id, text)``: one row per piece, see SCHEMA. Null text is empty, so a document has its end id at least.
 
     Every task packs the documents of its partition on its own, so nothing is shuffled; sequence ids hold the
-    partition in their upper bits. A task has at most one refilled remainder, cut into powers of two. Null and repeated
-    doc_ids are packed row by row like any others. Only one batch of texts and the open windows are in memory.
+    partition in their upper bits. A task's last window is cut into powers of two. Null and repeated
+    doc_ids are packed row by row like any others, other columns are ignored, an empty table gives an empty table. Only one batch of
+    texts and the pieces of a bounded number of open windows are in memory.
     """
     return docs.select("doc_id", "text").mapInPandas(packer(tokenizer_path, size, end_id), SCHEMA)
 
