@@ -38,7 +38,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from ``written`` that no later step reads."""
+    for t in tables:
+        jvm, context = t.sparkSession._jvm, t.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of the frames is called so, in small or capital letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +69,9 @@ def id_crc(column: str = "doc_id") -> Column:
 
 
 def row_key() -> Column:
-    """A 64-bit key of a document row, from doc_id and text; equal rows share it."""
-    return F.xxhash64("doc_id", "text").alias("row_key")
+    """A key of a document row: 128 bits of the SHA-256 of its doc_id and text, null or not; rows equal in both share it."""
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?"))
+    return F.substring(F.unhex(F.sha2(F.concat(marked("doc_id"), F.lit("/"), marked("text")), 256)), 1, 16).alias("row_key")
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, max_chars: int) -> DataFrame:
@@ -81,29 +100,35 @@ def components(edges: DataFrame) -> DataFrame:
     found = None
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "parents")
-        while True:
+        up = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root"), F.lit(True).alias("moved")), "parents")
+        while not up.where("moved").isEmpty():
             top = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
             jumped = written(up.join(top, "root").select("id", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "parents")
-            up = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
-                break
+            discard(up)
+            up = jumped
         if found is None:
-            found = up
+            found = written(up.select("id", "root"), "labels")
         else:
             later = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            found = written(found.join(later, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "labels")
+            old, found = found, written(found.join(later, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "labels")
+            discard(old)
         a = up.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         b = up.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        live = written(live.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        old, live = live, written(live.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        discard(old, up)
+    discard(live)
     if found is None:
         kind = edges.schema["a"].dataType
-        return edges.sparkSession.createDataFrame([], "id long, root long").select(F.col("id").cast(kind), F.col("root").cast(kind))
+        return written(edges.sparkSession.createDataFrame([], "id long, root long").select(F.col("id").cast(kind), F.col("root").cast(kind)), "labels")
     return found
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in a batch that goes to Python, so that long texts don't add up to more than a worker has."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """At most so many rows and about so many bytes in a batch that goes to Python, so that long texts don't add up to more than a worker has.
+
+    Spark reads both settings when a frame runs, so they stay set in the session; smaller ones of the user's are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key)).lower()
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, row_key, small_batches, written
+from .common import components, discard, row_key, small_batches, written
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(32)
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, sketch: SetSketch, words: int = 5) -> DataFrame:
             )
 
     keyed = docs.select("doc_id", "text", row_key())
-    return keyed.mapInPandas(run, "doc_id long, row_key long, n long, set_id binary, registers binary")
+    return keyed.mapInPandas(run, "doc_id long, row_key binary, n long, set_id binary, registers binary")
 
 
 def _banded(classes: DataFrame, sketch: SetSketch) -> DataFrame:
@@ -167,19 +167,34 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
 
-def _compared(rows: DataFrame, sketch: SetSketch, threshold: float, nearest: int | None, tile: int = 768) -> DataFrame:
+def _compared(rows: DataFrame, sketch: SetSketch, threshold: float, nearest: int | None, tile: int = 768, within: bool = False, tasks: int = 0) -> DataFrame:
     """Pairs ``(a, b)`` of a bucket's classes that may reach the threshold and have different roots.
 
     ``rows(bucket, size, c, n, registers, root, items)``. Buckets of more than ``tile`` classes are cut into blocks, and each pair of blocks is
-    a task's unit of work, compared by matrix operations; only surviving pairs come out. With ``nearest`` each class keeps just so many
+    a task's unit of work, compared by matrix operations; only surviving pairs come out. With ``within`` a block meets none but itself, so no row is
+    copied; blocks are dealt anew in each bucket. With columns ``top`` and ``top_n``, a bucket's commonest root and its
+    classes, those are never paired with one another: their rows go to the blocks of the others alone, so a bucket that is nearly all one
+    component costs its size times the few others. With ``nearest`` each class keeps just so many
     partners, those with most equal registers. Otherwise every pair is looked at in the first band it shares, and if registers
-    allow it, its sets of 32-bit hash values, which must reach the threshold but for what colliding values can hide.
+    allow it, its sets of 32-bit hash values, which must reach the threshold but for what colliding values can hide. ``tasks`` is the least
+    number of partitions.
     """
-    blocks = F.ceil(F.col("size") / tile).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = cut.select("*", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "n", "registers", "root", "block", "items")
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda n: F.ceil(n / tile).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("c", "bucket"), F.greatest(n, F.lit(1))).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    if within:
+        cut = rows.withColumn("block", deal(blocks(F.col("size")))).withColumn("units", F.array(pair(F.col("block"), F.col("block"))))
+    else:
+        top = F.col("root") == F.col("top") if "top" in rows.columns else F.lit(False)
+        many = F.col("top_n") if "top" in rows.columns else F.lit(0)
+        cut = rows.withColumn("tops", blocks(many)).withColumn("others", blocks(F.col("size") - many))
+        cut = cut.withColumn("block", F.when(top, -1 - deal(F.col("tops"))).otherwise(deal(F.col("others"))))
+        mine = F.transform(upto(F.col("others")), lambda o: pair(F.least("block", o), F.greatest("block", o)))
+        theirs = F.transform(upto(F.col("tops")), lambda t: pair(-1 - t, F.col("block")))
+        cut = cut.withColumn("units", F.when(top, mine).otherwise(F.concat(mine, theirs)))
+    units = cut.select("*", F.explode("units").alias("unit")).select("bucket", "unit.i", "unit.j", "c", "n", "registers", "root", "block", "items")
+    partitions = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     units = units.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "c")
 
     def pairs(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +280,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch: SetSketch | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch: SetSketch | None = None, broadcast_rows: int = 1_000_000, tile: int = 768, task_rows: int = 50_000) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, row_key)`` for every row of ``docs(doc_id, text)``.
 
     Documents with ``100 * intersection >= percent * union`` of their shingle sets are linked; component_id is the smallest
@@ -277,9 +292,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
     classes are compared by registers: first every class gives its few nearest partners, whose links join nearly all of
     a group of near copies, so such a group costs a few verifications for each member; then every pair that is still in different
     components and may reach the threshold by the joint likelihood is compared where it lies, on short hash sets, so that only
-    links leave a task. All are settled on full sets.
+    links leave a task. All are settled on full sets. The first pass cuts large buckets into blocks that meet none but themselves, dealt
+    anew in each band; the second leaves out pairs of a bucket's commonest component.
     Texts of classes in shared buckets are fetched once, by a broadcast of their keys if those are at most ``broadcast_rows``, else by
-    a shuffle. All tables are written to the shared folder; the driver gathers nothing.
+    a shuffle. All tables are written to the shared folder and deleted once no step reads them, but the two that the result is
+    read from; the driver gathers nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -290,14 +307,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
     # the numbers are stored with the table, so they stay the same however often it is read
     classes = written(one.select("*", F.monotonically_increasing_id().alias("c")), "classes")
     banded = _banded(classes, sketch)
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(banded.join(written(sizes, "sizes"), "bucket"), "shared")
+    sizes = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = written(banded.join(sizes, "bucket"), "shared")
     sketched = classes.select("c", "n", "registers")
     wanted = written(shared.select("c").distinct().join(classes.select("c", "row_key"), "c"), "wanted")
     keys = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = written(docs.select(row_key(), "text").join(keys, "row_key").dropDuplicates(["c"]).select("c", "text"), "texts")
     alone = shared.join(sketched, "c").withColumn("root", F.col("c")).withColumn("items", F.lit(None).cast("binary"))
-    near = written(_compared(alone, sketch, threshold, nearest=2), "pairs")
+    near = written(_compared(alone, sketch, threshold, nearest=2, tile=tile, within=True, tasks=shared.count() // task_rows), "pairs")
     links = written(_verified(near, texts, percent, words), "links")
     roots = components(links)
 
@@ -305,17 +322,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
         return frame.join(roots.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
     placed = written(rooted(shared), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    mixed = written(placed.join(written(mixed, "mixed"), "bucket"), "mixed")
+    per_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+    mixed = per_root.agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1")
+    several = written(mixed.select("bucket", F.col("most.root").alias("top"), F.col("most.k").alias("top_n")), "several")
+    mixed = written(placed.join(several, "bucket"), "mixed")
     sets = _short_sets(texts.join(mixed.select("c").distinct(), "c", "left_semi"), words)
     sets = written(sets.join(sketched, "c"), "sets")
-    cross = _compared(mixed.join(sets, "c"), sketch, threshold, nearest=None).join(near, ["a", "b"], "left_anti")
+    cross = _compared(mixed.join(sets, "c"), sketch, threshold, nearest=None, tile=tile, tasks=mixed.count() // task_rows).join(near, ["a", "b"], "left_anti")
     more = written(_verified(cross, texts, percent, words), "links")
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    of_set = rooted(classes.select("set_id", "c")).select("set_id", "root")
-    members = rows.select("doc_id", "n", "set_id", "row_key").join(of_set, "set_id", "left").select("doc_id", "n", "row_key", "root")
+        first, roots = roots, components(links.unionByName(more))
+        discard(first)
+    of_set = written(rooted(classes.select("set_id", "c")).select("set_id", "root"), "roots")
+    members = written(rows.select("doc_id", "n", "set_id", "row_key").join(of_set, "set_id", "left").select("doc_id", "n", "row_key", "root"), "members")
     # written, so that both sides of the join are plain shuffles, which a component with very many members lets Spark split
     smallest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "smallest")
+    discard(rows, classes, sizes, shared, wanted, texts, near, links, placed, several, mixed, sets, more, roots, of_set)
     out = members.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")

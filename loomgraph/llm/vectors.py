@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, written
+from .common import components, discard, small_batches, written
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,5 +119,6 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, tile: int = 2048) ->
     members = written(base.select("vec_id", "key").join(of_key, "key", "left").select("vec_id", "n_links", "root"), "members")
     # written, so that both sides of the join are plain shuffles, which a component with very many members lets Spark split
     smallest = written(members.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least")), "smallest")
+    discard(classes, counts, found, roots)
     out = members.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
