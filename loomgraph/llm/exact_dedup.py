@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def normalised(text: Column) -> Column:
@@ -26,8 +26,9 @@ def exact_groups(docs: DataFrame, support: float = 0.001) -> DataFrame:
     Texts are read once; digests are written to the shared folder. Misra-Gries counters (``freqItems``, at most
     ``1 / support`` of them) name every digest that more than ``support`` of all rows have. Their exact winners and
     sizes are aggregated with map-side combining, and that table, bounded by ``1 / support`` rows, is broadcast: rows of heavy
-    digests are settled where they lie. Rows of other digests are shuffled as usual, at most ``support`` of
-    all rows for one digest.
+    digests are settled where they lie. Other digests are shuffled: their groups are aggregated with map-side combining, those of
+    more than one row are written, and rows are joined with them, a join that the adaptive skew join splits. A row without a group is one by itself.
+    An empty table gives an empty table; columns other than doc_id and text are ignored.
     """
     text_sha256 = F.sha2(normalised(F.col("text")), 256).alias("text_sha256")
     # the row numbers are stored, so they stay the same however often the table is read
@@ -38,11 +39,12 @@ def exact_groups(docs: DataFrame, support: float = 0.001) -> DataFrame:
     heavy = digests.join(F.broadcast(candidates), "text_sha256", "left_semi").groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     # candidates that turn out rare stay in the ordinary path, as do those with one row
     heavy = written(heavy.where("group_size > 1"), "heavy")
+    discard(candidates)
+    light = digests.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
+    groups = written(light.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     marked = digests.join(F.broadcast(heavy), "text_sha256", "left")
-    settled = marked.where(F.col("group_size").isNotNull())
-    w = Window.partitionBy("text_sha256")
-    rest = digests.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    rest = rest.select("*", best.over(w).alias("best"), F.count(F.lit(1)).over(w).alias("group_size"))
-    out = settled.select(rest.columns).unionByName(rest)
-    kept = F.col("row") == F.col("best.row")
-    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    settled, rest = marked.where("group_size IS NOT NULL"), marked.where("group_size IS NULL").drop("best", "group_size").join(groups, "text_sha256", "left")
+    out = settled.unionByName(rest)
+    alone = F.col("group_size").isNull()
+    keep_id, kept = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")), alone | (F.col("row") == F.col("best.row"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(kept, F.lit(True)).alias("kept"), "text_sha256")
