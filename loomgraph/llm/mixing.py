@@ -44,17 +44,17 @@ def mix(docs: DataFrame, rows: int, weights: Sequence[float] = (3, 1, 2), total_
     """Adds size, source_size, target and copies to ``(doc_id, source, size)`` rows.
 
     A document of a source is expected ``target / source_size`` times, at most ``cap``. Documents of a source lie in
-    the order of their size class (bit length), a hash bucket, their size and doc_id; a document is emitted once for
+    the order of their size class (bit length), a bucket by a hash of doc_id and size, their size and doc_id; a document is emitted once for
     each integer that the running sum of expected copies, plus one offset for each source, crosses. Because the order
     goes by size, the words taken stay within about one document of the target. The running sum is the place times
     the rate, so the place alone is needed: counts of (source, class, bucket) are summed up over buckets and rows are
     numbered inside their own bucket only. ``rows`` (the row count) sets the number of buckets, about ``bucket_rows``
-    rows each, so that a source with most rows is spread over many tasks. Null sources make a source of their own,
+    rows each, so that a source with most rows, or a doc_id that many rows of different sizes share, is spread over many tasks. Null sources make a source of their own,
     null doc_ids come first, tied rows are interchangeable, documents without words are never taken.
     """
     buckets = max(1, -(-rows // bucket_rows))
     d = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"))
-    d = d.withColumn("class", F.length(F.bin("size"))).withColumn("bucket", _small_hash(F.col("doc_id")) % buckets)
+    d = d.withColumn("class", F.length(F.bin("size"))).withColumn("bucket", _small_hash(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("size").cast("string"))) % buckets)
     key = ["source", "class", "bucket"]
     counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     earlier = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,5 +75,5 @@ def mix(docs: DataFrame, rows: int, weights: Sequence[float] = (3, 1, 2), total_
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    """Adds size: the number of words of the text, 0 for null."""
+    """Adds size: the number of words of the text, 0 for null. A column of that name is replaced; rows, null and repeated ids included, stay as they are."""
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))

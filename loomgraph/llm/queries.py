@@ -108,7 +108,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     (('0x' || substr(md5('mix/' || coalesce(d.source, chr(0))), 1, 8))::BIGINT % 65536) / 65536.0::DOUBLE AS off,
-    row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % buckets, d.size, d.doc_id NULLS FIRST) AS place
+    row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '/' || d.size), 1, 8))::BIGINT % buckets, d.size, d.doc_id NULLS FIRST) AS place
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, n
 )
 SELECT doc_id, size, source_size, target,
