@@ -127,7 +127,32 @@ def _clean(url: str | None) -> str:
     return " ".join((url or "").split())
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> DataFrame:
+class _Package:
+    """A package that is being written: records go to its archive as they come, the index follows at the end."""
+
+    def __init__(self, folder: str):
+        files, top = _file(folder)
+        files.create_dir(top, recursive=True)
+        name = f"pages-{uuid.uuid4().hex}.wacz"
+        self.path, self.lines, self.at = f"{folder}/{name}", [], 0
+        self.out = files.open_output_stream(f"{top}/{name}")
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED)
+        self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
+
+    def add(self, url: str, raw: bytes) -> None:
+        self.data.write(raw)
+        self.lines.append(f"{url} 20000101000000 " + json.dumps({"offset": self.at, "length": len(raw)}))
+        self.at += len(raw)
+
+    def close(self) -> pd.DataFrame:
+        self.data.close()
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.lines))
+        self.zip.close()
+        self.out.close()
+        return pd.DataFrame({"path": [self.path], "records": [len(self.lines)]})
+
+
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, most_bytes: int = 512 << 20, most_records: int = 100_000) -> DataFrame:
     """Writes ``pages(page_id, url, html)`` as ZIP packages into ``folder``; returns their ``(path, records)``.
 
     Null html is an empty payload; null urls are empty and white space in urls becomes one space. Of payloads of at least
@@ -135,8 +160,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
     revisits that refer to it; wholly equal page_ids are all responses. Null page_ids are kept, written as an empty id.
 
     Winners are aggregated with map-side combining and only those of repeated payloads are written out and joined, so a payload that
-    many pages share is split by the adaptive skew join. Each task streams its records into one package, stored and ZIP64-capable;
-    the name is new for each attempt, and only the paths of attempts that ended come back.
+    many pages share is split by the adaptive skew join. Each task streams its records into packages, stored and ZIP64-capable, a new one
+    once a package has ``most_bytes`` of records or ``most_records``, which bounds the index that a reader loads; names are new for each attempt,
+    and only the paths of attempts that ended come back. An empty table writes nothing.
     """
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
@@ -147,34 +173,29 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     j = j.select("page_id", "url", "html", refers.alias("refers_to"))
 
+    own = lambda x: "" if pd.isna(x) else str(int(x))
+
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, top = _file(folder)
-        name, lines, at = f"pages-{uuid.uuid4().hex}.wacz", [], 0
-        out = package = data = None
+        package = None
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(batch[c] for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                if package is None:
-                    files.create_dir(top, recursive=True)
-                    out = files.open_output_stream(f"{top}/{name}")
-                    package = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                    data = package.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
-                own = lambda x: "" if pd.isna(x) else str(int(x))
-                raw = record(own(page_id), _clean(url), html.encode(), None if pd.isna(refers_to) else own(refers_to))
-                data.write(raw)
-                lines.append(f"{_clean(url)} 20000101000000 " + json.dumps({"offset": at, "length": len(raw)}))
-                at += len(raw)
+                package = package or _Package(folder)
+                package.add(_clean(url), record(own(page_id), _clean(url), html.encode(), None if pd.isna(refers_to) else own(refers_to)))
+                if package.at >= most_bytes or len(package.lines) >= most_records:
+                    yield package.close()
+                    package = None
         if package is not None:
-            data.close()
-            package.writestr(zipfile.ZipInfo(INDEX), "\n".join(lines))
-            package.close()
-            out.close()
-            yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [len(lines)]})
+            yield package.close()
 
     return j.mapInPandas(store, "path string, records long")
 
 
 def read_archives(paths: DataFrame, batch: int = 200, span: int = 4 << 20) -> DataFrame:
-    """Records of the packages named in ``paths(path, ...)``: their headers, payload and digest, read by ranges of at most about ``span`` bytes."""
+    """Records of the packages named in ``paths(path, ...)``: their headers, payload and digest, read by ranges of at most about ``span`` bytes.
+
+    A record longer than that is a range of its own. Empty ids come back as null; no paths give no records; a file that isn't a package or a
+    payload that doesn't match its digest is an error, not a lost row.
+    """
     columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
