@@ -76,8 +76,8 @@ def format_chats(rows: DataFrame, template: ChatTemplate | None = None) -> DataF
             F.when(s["bad"].isNotNull(), s["bad"]).when(~ok, s["n"]).alias("bad"),
         )
 
-    begin = F.struct(empty.alias("at"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("bad"))
-    run = F.aggregate("turns", begin, step)
+    first = F.struct(empty.alias("at"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("bad"))
+    run = F.aggregate("turns", first, step)
 
     def parts(x: Column) -> Column:
         def part(text: Column, loss: Column) -> Column:
@@ -110,10 +110,13 @@ def _quoted(s: str) -> str:
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
-    """What ``op1`` returns, derived from the formatted texts."""
+    """What ``op1`` returns: turns read back from the formatted text, and the text under the loss mask from the segments' own flags.
+
+    A conversation without loss has the digest of the empty text; an empty table gives an empty table.
+    """
     read = chats.withColumn("back", parse_chat(F.col("formatted")))
     whole = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda x: x["loss"]), lambda x: x["text"]), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: _unescape(x["text"])), "")
     return read.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
