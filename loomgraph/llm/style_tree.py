@@ -3,9 +3,12 @@
 The tree of a host has a node for each path of tags and classes. A node's presentation importance is the entropy of the tag
 sequences below it; the importance of a text block falls with the entropy of that text over the pages that show it,
 weighed by the share of the host's pages that do. Composite importance of an element mixes its own with the mean of what
-lies below. Importance starts from a prior that counts like a few pages, so hosts of any size are judged; declared article and
-main elements have a heavier one. Elements whose tag, role or class names declare them navigation, notices, forms, adverts or the
-like have importance 0 in every tree, which also covers hosts with a single page.
+lies below, and a quarter of it is a prior from names: 0 inside elements called navigation, footer, notice or the like, 1 elsewhere. Such
+an element goes if it and all elements below it stay under one half, so its name alone doesn't remove it: content that is
+laid out differently from page to page stays. Where a host has few pages, the importance of elements of the same tag on all hosts stands in.
+
+Entropy can't tell content from what changes with the page and yet isn't content: reader comments, adverts, forms, lists of related pages.
+Elements whose tag, role or class names declare them such are left out before the trees are built.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -30,55 +33,90 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 RAW = frozenset("script style noscript template iframe textarea select svg math object canvas noembed noframes xmp title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
-DEEPEST = 400
-DROPPED = frozenset("nav footer aside form button dialog menu head fieldset".split())
+OTHER = frozenset("html head body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre address figure figcaption details summary center form fieldset menu".split())
+_TAGS = OTHER | INLINE | VOID
+REPEATED = frozenset("nav footer menu".split())
+CHANGING = frozenset("aside form button dialog head fieldset".split())
 CLOSES = {t: frozenset(x.split()) for t, x in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}.items()}
+_PARAGRAPH = frozenset(("p",))
 HOLDS = {"li": frozenset(("ul", "ol")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "tbody": frozenset(("table",)), "thead": frozenset(("table",)), "tfoot": frozenset(("table",))}
-NOISE_WORDS = frozenset(
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead banner footer sidebar ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion cookie cookies consent gdpr "
-    "notice notification alert popup modal overlay newsletter subscribe subscription signup login signin register search comment comments disqus reply replies respond discussion share sharing social follow related recommended recommendations "
-    "pagination pager widget toolbar skip copyright legal disclaimer hidden paywall teaser outbrain taboola".split()
+# Class names of boilerplate that repeats over a site's pages, and of what changes with the page but isn't content.
+REPEATED_WORDS = frozenset(
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead banner footer cookie cookies consent gdpr notice notification alert "
+    "pagination pager toolbar skip copyright legal disclaimer".split()
+)
+CHANGING_WORDS = frozenset(
+    "sidebar ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion popup modal overlay newsletter subscribe subscription "
+    "signup login signin register search comment comments disqus reply replies respond discussion share sharing social follow related recommended recommendations widget hidden paywall "
+    "teaser outbrain taboola".split()
 )
-NOISE_STARTS = tuple("comment cookie advert sidebar breadcrumb newsletter sponsor navbar navigation disqus subscri recommend".split())
-NOISE_ENDS = tuple("nav menu footer sidebar banner comments advert navbar".split())
+REPEATED_STARTS = tuple("cookie breadcrumb navbar navigation".split())
+CHANGING_STARTS = tuple("comment advert sidebar newsletter sponsor disqus subscri recommend".split())
+REPEATED_ENDS = tuple("nav menu footer banner navbar".split())
+CHANGING_ENDS = tuple("sidebar comments advert".split())
 CONTENT_WORDS = frozenset("article post entry content story main body text".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+REPEATED_ROLES = frozenset("navigation banner contentinfo menu menubar toolbar alert alertdialog".split())
+CHANGING_ROLES = frozenset("complementary search form dialog".split())
 
 
 @dataclass
 class Node:
-    """An element or, with ``text`` set, a block of text."""
+    """An element or, with ``text`` set, a block of text. ``said``: names call it boilerplate; ``named``: it or an element around it is; ``noise``: removed."""
 
     key: str
     path: int
+    tag: str = ""
+    said: bool = False
+    named: bool = False
     noise: bool = False
     main: bool = False
     text: str | None = None
     children: list[Node] = field(default_factory=list)
 
 
-def _declared(tag: str, raw: str, in_main: bool) -> tuple[str, bool, bool]:
-    """Style key of an element, whether it is declared noise, and whether it is declared main content."""
+KEPT, WORDS, TAG, GONE = range(4)
+
+
+def _declared(tag: str, raw: str, in_main: bool) -> tuple[str, int, bool]:
+    """Style key of an element, what its names say of it, and whether it is declared main content.
+
+    They say nothing, boilerplate by class names, boilerplate by tag or role, or that it goes. Names of an article or main element count only as
+    whole words of its class: ``social-policy`` is a subject there, ``comment`` is not.
+    """
+    said = GONE if tag in CHANGING else TAG if tag in REPEATED or tag == "header" and not in_main else KEPT
+    main = tag in ("article", "main")
     if not raw or raw.isspace():
-        return tag, tag in DROPPED or tag == "header" and not in_main, tag in ("article", "main")
+        return tag, said, main and said == KEPT
     a = {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
     names = f"{a.get('class', '')} {a.get('id', '')}"
-    words = {w for w in _SPLIT.split(names.strip()) if w} | {w for w in re.split(r"[^a-z0-9]+", names.lower()) if w}
-    words = {w.lower() for w in words}
     role = a.get("role", "").lower()
-    noise = tag in DROPPED or tag == "header" and not in_main or "hidden" in a or a.get("aria-hidden") == "true" or role in NOISE_ROLES
-    noise = noise or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)) or bool(words & NOISE_WORDS) or any(w.startswith(NOISE_STARTS) or w.endswith(NOISE_ENDS) for w in words)
-    noise = noise or ("header" in words and not words & CONTENT_WORDS and not in_main)
-    main = not noise and (tag in ("article", "main") or role in ("main", "article") or a.get("itemprop") == "articleBody")
-    return f"{tag}.{'.'.join(sorted(a.get('class', '').split()))}", noise, main
+    main = main or role in ("main", "article") or a.get("itemprop") == "articleBody"
+    words = {w.lower() for w in names.split()}
+    if not main:
+        words |= {w.lower() for w in _SPLIT.split(names) if w} | {w for w in re.split(r"[^a-z0-9]+", names.lower()) if w}
+    gone = "hidden" in a or a.get("aria-hidden") == "true" or role in CHANGING_ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
+    if gone or words & CHANGING_WORDS or any(re.fullmatch(r"(?:comment|reply|ad)[-_]?\d+", w) for w in words):
+        said = GONE
+    elif not main and any(w.startswith(CHANGING_STARTS) and not w.startswith("commentar") or w.endswith(CHANGING_ENDS) for w in words):
+        said = GONE
+    elif said < TAG and role in REPEATED_ROLES:
+        said = TAG
+    elif said == KEPT and (words & REPEATED_WORDS or not main and any(w.startswith(REPEATED_STARTS) or w.endswith(REPEATED_ENDS) for w in words)):
+        said = WORDS
+    elif said == KEPT and "header" in words and not words & CONTENT_WORDS and not in_main:
+        said = WORDS
+    return f"{tag}.{'.'.join(sorted(a.get('class', '').split()))}", said, main and said == KEPT
 
 
 def parse(source: str) -> Node:
-    """The block structure of a page: elements other than inline ones, and blocks of decoded text with white space turned into one space."""
+    """The block structure of a page: elements other than inline ones, and blocks of decoded text with white space turned into one space.
+
+    Elements nest without a limit. Inside boilerplate by tag or role nothing is main content.
+    """
     root = Node("", 0)
-    stack: list[tuple[str, Node, bool]] = [("", root, False)]
+    stack: list[tuple[str, Node, bool, int]] = [("", root, False, KEPT)]  # tag, node, in main, what names said of it or above
+    open_tags: Counter = Counter()
     parts: list[str] = []
-    skipped: Counter = Counter()
 
     def flush() -> None:
         if parts:
@@ -86,12 +124,23 @@ def parse(source: str) -> Node:
             parts.clear()
             if text:
                 top = stack[-1][1]
-                top.children.append(Node("#", top.path, text=text))
+                top.children.append(Node("#", top.path, named=top.named, text=text))
 
     def pop(n: int) -> None:
         flush()
+        open_tags.subtract(t for t, *_ in stack[n:])
         del stack[n:]
 
+    def innermost(tags: frozenset[str], until: frozenset[str] = frozenset()) -> int:
+        """Place of the innermost open element with one of the tags, 0 if there is none or one of ``until`` comes first."""
+        if any(open_tags[t] > 0 for t in tags):
+            for n in range(len(stack) - 1, 0, -1):
+                if stack[n][0] in until:
+                    break
+                if stack[n][0] in tags:
+                    return n
+        return 0
+
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
@@ -119,39 +168,25 @@ def parse(source: str) -> Node:
                 if tag not in VOID and ("class" in raw or "hidden" in raw or "style" in raw or "id=" in raw) and _declared(tag, raw, stack[-1][2])[1]:
                     at = _skip(source, at, tag)
             else:
-                if tag in CLOSES:
-                    for n in range(len(stack) - 1, 0, -1):
-                        if stack[n][0] in HOLDS.get(tag, ()):
-                            break
-                        if stack[n][0] in CLOSES[tag]:
-                            pop(n)
-                            break
-                # any block element ends an open paragraph
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n][0] == "p":
-                        pop(n)
-                        break
+                if tag in CLOSES and (n := innermost(CLOSES[tag], HOLDS.get(tag, frozenset()))):
+                    pop(n)
+                if n := innermost(_PARAGRAPH):  # any block element ends an open paragraph
+                    pop(n)
                 flush()
-                key, noise, main = _declared(tag, m[2] or m[5] or "", stack[-1][2])
+                _, top, in_main, above = stack[-1]
+                key, said, main = _declared(tag, m[2] or m[5] or "", in_main)
                 if tag == "hr":
                     continue
-                if len(stack) > DEEPEST:  # deeper elements end blocks but have no node
-                    skipped[tag] += 1
-                    continue
-                top = stack[-1][1]
-                node = Node(key, xxhash.xxh64_intdigest(f"{top.path}/{key}") - (1 << 63), noise, main)
+                main = main and above < TAG
+                whole = KEPT if main else max(said, above)
+                node = Node(key, xxhash.xxh64_intdigest(f"{top.path}/{key}") - (1 << 63), tag, said in (WORDS, TAG), whole in (WORDS, TAG), whole == GONE, main)
                 top.children.append(node)
-                stack.append((tag, node, stack[-1][2] or main))
+                open_tags[tag] += 1
+                stack.append((tag, node, in_main or main, whole))
         elif m[3]:
             tag = m[3].lower()
-            if skipped[tag]:
-                skipped[tag] -= 1
-                flush()
-            elif tag not in INLINE and tag not in VOID and tag not in RAW:
-                for n in range(len(stack) - 1, 0, -1):
-                    if stack[n][0] == tag:
-                        pop(n)
-                        break
+            if tag not in INLINE and tag not in VOID and tag not in RAW and (n := innermost(frozenset((tag,)))):
+                pop(n)
     pop(1)
     return root
 
@@ -171,28 +206,29 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _features(root: Node) -> Iterator[tuple[int, int, int]]:
-    """(path, kind, hash): kind 0 is the sequence of distinct child keys of an element, kind 1 a block of text."""
+def _features(root: Node) -> Iterator[tuple[int, int, int, str, bool]]:
+    """(path, kind, hash, tag, named): kind 0 is the sequence of distinct child keys of an element, kind 1 a block of text."""
     todo = [root]
     while todo:
         n = todo.pop()
         if n.noise:
             continue
         style = "|".join(dict.fromkeys(c.key for c in n.children))
-        yield n.path, 0, xxhash.xxh64_intdigest(style) - (1 << 63)
+        yield n.path, 0, xxhash.xxh64_intdigest(style) - (1 << 63), n.tag if n.tag in _TAGS else "", n.named
         for c in n.children:
             if c.text is None:
                 todo.append(c)
             else:
-                yield n.path, 1, xxhash.xxh64_intdigest(c.text) - (1 << 63)
+                yield n.path, 1, xxhash.xxh64_intdigest(c.text) - (1 << 63), "", False
 
 
-def site_trees(pages: DataFrame, prior: float = 2.0, main_prior: float = 16.0, noisy_below: float = 0.5) -> DataFrame:
-    """``(host, styles, noise, main_noise)``: presentation importance by path, and blocks of low importance, for hosts with something to say.
+def site_trees(pages: DataFrame, prior: float = 2.0, main_prior: float = 16.0, noisy_below: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``(host, styles, noise, main_noise)``, and ``(tag, importance)`` over all hosts.
 
-    Counts are taken over distinct pages' features, combined in each task before they are shuffled. A feature that only
-    copies of one and the same page have says nothing: it must be on pages of differing content. An importance over m pages is
-    mixed with ``prior`` pages of importance 1, for blocks in declared main content with ``main_prior``. ``noise`` lists
+    ``styles`` holds pages, presentation importance and number of styles by path, of elements in named boilerplate, which are the ones it decides on. Counts
+    are taken over distinct pages' features, combined in each task before they are shuffled. A block that only
+    copies of one and the same page have says nothing: it must be on pages of differing content. A block's importance over m pages is
+    mixed with ``prior`` pages of importance 1, in declared main content with ``main_prior``. ``noise`` lists
     ``path ^ text hash`` of blocks with importance below ``noisy_below``, ``main_noise`` those where it is even by the prior of main content.
     """
 
@@ -208,63 +244,103 @@ def site_trees(pages: DataFrame, prior: float = 2.0, main_prior: float = 16.0, n
                     s = seen.setdefault(k, [page, page])
                     s[0], s[1] = min(s[0], page), max(s[1], page)
             if found:
-                yield pd.DataFrame([(*k, n, *seen[k]) for k, n in found.items()], columns=["host", "path", "kind", "feature", "n", "low", "high"])
+                yield pd.DataFrame([(*k, n, *seen[k]) for k, n in found.items()], columns=["host", "path", "kind", "feature", "tag", "named", "n", "low", "high"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    f = rows.mapInPandas(count, "host string, path long, kind int, feature long, n long, low long, high long")
-    f = f.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    f = rows.mapInPandas(count, "host string, path long, kind int, feature long, tag string, named boolean, n long, low long, high long")
+    f = f.groupBy("host", "path", "kind", "feature").agg(F.max("tag").alias("tag"), F.max("named").alias("named"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     f = written(f.where("kind = 0 OR (n > 1 AND low <> high)"), "features")
     # presentation: entropy of the styles of a path to the base of its pages
-    styles = f.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count(F.lit(1)).alias("styles")).where("m > 1")
+    styles = f.where("kind = 0").groupBy("host", "path").agg(F.max("tag").alias("tag"), F.max("named").alias("named"), F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count(F.lit(1)).alias("styles")).where("m > 1")
+    styles = styles.withColumn("importance", F.greatest(F.lit(0.0), (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")))
+    styles = written(styles.select("host", "path", "tag", "named", "m", "importance", "styles"), "styles")
     mixed = lambda own, pages: (F.lit(pages) + F.col("m") * own) / (F.lit(pages) + F.col("m"))
-    styles = styles.withColumn("importance", mixed(F.greatest(F.lit(0.0), (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")), prior))
-    styles = written(styles.select("host", "path", "m", "importance", "styles"), "styles")
     blocks = f.where("kind = 1").join(styles.select("host", "path", "m"), ["host", "path"])
     low = 1 - F.least(F.lit(1.0), F.col("n") / F.col("m")) * F.log("n") / F.log("m")
     block = F.col("path").bitwiseXOR(F.col("feature"))
     below = [F.collect_set(F.when(mixed(low, p) < noisy_below, block)).alias(name) for p, name in ((prior, "noise"), (main_prior, "main_noise"))]
     noise = blocks.where(mixed(low, min(prior, main_prior)) < noisy_below).groupBy("host").agg(*below)
-    repeated = noise.join(styles.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("importance", "styles")))).alias("styles")), "host")
-    return repeated.select("host", "styles", "noise", "main_noise")
+    entry = F.struct("path", F.struct("m", "importance", "styles"))
+    own = styles.where("named").groupBy("host").agg(F.map_from_entries(F.collect_list(entry)).alias("styles"))
+    # at most one row for each name in a fixed list of tags
+    tags = written(styles.where("tag <> ''").groupBy("tag").agg((F.sum(F.col("m") * F.col("importance")) / F.sum("m")).alias("importance")), "tags")
+    trees = written(own.join(noise, "host", "full").select("host", "styles", "noise", "main_noise"), "trees")
+    discard(f, styles)
+    return trees, tags
+
+
+@dataclass
+class SiteTree:
+    """What the merged pages of a host say: ``styles`` by path as (pages, presentation importance, number of styles), blocks that fall, importance by tag."""
+
+    styles: dict = field(default_factory=dict)
+    noise: set = field(default_factory=set)
+    main_noise: set = field(default_factory=set)
+    tags: dict = field(default_factory=dict)
+
+    def falls(self, node: Node, main: bool) -> bool:
+        noise = self.main_noise if main else self.noise
+        return bool(noise) and node.path ^ (xxhash.xxh64_intdigest(node.text) - (1 << 63)) in noise
 
 
-def importance(node: Node, styles: dict, noise: set, main_noise: set, main: bool = False, decay: float = 0.9) -> tuple[float, float]:
-    """Composite importance of a node, and the largest at or below it; marks elements as noise where even that is under 0.25.
+def weigh(root: Node, tree: SiteTree, names: float = 0.25, pages: float = 8.0, decay: float = 0.6, noisy_below: float = 0.5) -> None:
+    """Marks the elements in named boilerplate as noise that, with all elements below them, have an importance under ``noisy_below``.
 
-    Text inside an element declared as main content falls by ``main_noise``: a passage that some articles share is content there.
+    What lies in an element that reaches it stays with it, but for elements that are called boilerplate themselves.
+
+    Composite importance is ``(1 - decay^l) own + decay^l mean of what lies below``, l being the number of styles of the path; own is
+    the host's presentation importance, mixed with ``pages`` pages as important as elements of that tag are on all hosts (0 if none is known).
+    A block has 1, or 0 if it falls. ``1 - names`` of the result count, as the names' own word is 0. Below other elements nothing is decided: there
+    blocks fall one by one. Without recursion, so any depth will do.
     """
-    if node.text is not None:
-        own = 0.0 if _falls(node, main_noise if main else noise) else 1.0
-        return own, own
-    if node.noise:
-        return 0.0, 0.0
-    below = [importance(c, styles, noise, main_noise, main or node.main, decay) for c in node.children]
-    if not below:
-        return 1.0, 1.0
-    own, kinds = styles.get(node.path, (1.0, 1))
-    share = decay**kinds
-    total = (1 - share) * own + share * sum(b for b, _ in below) / len(below)
-    peak = max(total, *(p for _, p in below))
-    node.noise = peak < 0.25
-    return total, peak
-
-
-def _falls(node: Node, noise: set) -> bool:
-    return bool(noise) and node.path ^ (xxhash.xxh64_intdigest(node.text) - (1 << 63)) in noise
-
-
-def _blocks(source: str, styles: dict, noise: set, main_noise: set) -> tuple[list[str], bool]:
+    order = [root]
+    for n in order:
+        order += [c for c in n.children if c.text is None and not c.noise]
+    composite: dict[int, float] = {}
+    peak: dict[int, float] = {}
+    for n in reversed(order):
+        if not n.named:  # declared main content inside boilerplate keeps the elements around it
+            peak[id(n)] = composite[id(n)] = 1.0
+            continue
+        below = [(0.0 if tree.falls(c, False) else 1.0) if c.text is not None else composite.get(id(c), 0.0) for c in n.children]
+        m, own, kinds = tree.styles.get(n.path, (0, 0.0, 1))
+        own = (pages * tree.tags.get(n.tag, 0.0) + m * own) / (pages + m)
+        share = decay**kinds
+        composite[id(n)] = (1 - share) * own + share * (sum(below) / len(below) if below else 0.0)
+        peak[id(n)] = max((1 - names) * composite[id(n)], *(peak.get(id(c), 0.0) for c in n.children if c.text is None), 0.0)
+    safe: set[int] = set()
+    for n in order:
+        stays = n.named and (1 - names) * composite[id(n)] >= noisy_below or id(n) in safe
+        n.noise = not stays and peak[id(n)] < noisy_below
+        if stays:
+            safe.update(id(c) for c in n.children if not c.said)
+
+
+def removed(root: Node, tree: SiteTree) -> tuple[int, int, int]:
+    """Branches that the tree removes from a page, blocks that fall by it, and branches that names alone declare gone."""
+    by_tree = blocks = by_name = 0
+    weigh(root, tree)
+    todo = [(c, False) for c in root.children]
+    while todo:
+        n, main = todo.pop()
+        if n.text is not None:
+            blocks += tree.falls(n, main)
+        elif n.noise:
+            by_tree, by_name = by_tree + n.named, by_name + (not n.named)
+        else:
+            todo += [(c, main or n.main) for c in n.children]
+    return by_tree, blocks, by_name
+
+
+def _blocks(root: Node, tree: SiteTree, fall_in_main: bool) -> tuple[list[str], bool]:
     """The blocks of the page that are left, and whether one is inside an article or main element."""
-    root = parse(source)
-    if noise or main_noise:
-        importance(root, styles, noise, main_noise)
     left: list[str] = []
     inside = False
     todo = [(root, False)]
     while todo:
         n, main = todo.pop()
         if n.text is not None:
-            if not _falls(n, main_noise if main else noise):
+            if main and not fall_in_main or not tree.falls(n, main):
                 left.append(n.text)
                 inside = inside or main
         elif not n.noise:
@@ -272,14 +348,16 @@ def _blocks(source: str, styles: dict, noise: set, main_noise: set) -> tuple[lis
     return left, inside
 
 
-def main_text(source: str, styles: dict | None = None, noise: set | None = None, main_noise: set | None = None) -> str:
+def main_text(source: str, styles: dict | None = None, noise: set | None = None, main_noise: set | None = None, tags: dict | None = None) -> str:
     """The blocks of the page that are left, one to a line, inside declared main content and beside it.
 
-    If nothing in article and main elements were left, as on a host of near copies, what they hold stays.
+    If nothing in article and main elements were left, as on a host of near copies, what they hold stays. Without a tree names decide.
     """
-    left, inside = _blocks(source, styles or {}, noise or set(), main_noise or set())
-    if main_noise and not inside:
-        left, _ = _blocks(source, styles or {}, noise or set(), set())
+    root, tree = parse(source), SiteTree(styles or {}, noise or set(), main_noise or set(), tags or {})
+    weigh(root, tree)
+    left, inside = _blocks(root, tree, True)
+    if tree.main_noise and not inside:
+        left, _ = _blocks(root, tree, False)
     return "\n".join(left)
 
 
@@ -288,14 +366,16 @@ def extract(pages: DataFrame, broadcast_hosts: int = 20_000, **tree) -> DataFram
 
     Null html is empty, and so is its text; null urls and urls without a host share the empty host; repeated rows give repeated
     results; other columns are ignored. An empty table gives an empty table. Trees are broadcast if at most ``broadcast_hosts`` hosts
-    have removable blocks (and at most fifty times as many blocks); beyond that they are joined by host, where the adaptive skew join splits
-    hosts with many pages. Pages are processed whole, in batches.
+    have one (and at most fifty times as many entries); beyond that they are joined by host, where the adaptive skew join splits
+    hosts with many pages. Pages are processed whole, in batches; an element may nest to any depth.
     """
-    trees = written(site_trees(pages, **tree), "trees")
-    size = trees.agg(F.count(F.lit(1)), F.sum(F.size("noise") + F.size("main_noise") + F.size("styles"))).first()
+    trees, tags = site_trees(pages, **tree)
+    of_tag = {r["tag"]: r["importance"] for r in tags.collect()}  # at most len(_TAGS) rows
+    entries = trees.select("host", F.map_keys("styles").alias("paths"), F.map_values("styles").alias("values"), "noise", "main_noise")
+    none = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = entries.agg(F.count(F.lit(1)), F.sum(F.greatest(none("paths"), F.lit(0)) + F.greatest(none("noise"), F.lit(0)) + F.greatest(none("main_noise"), F.lit(0)))).first()
     small = size[0] <= broadcast_hosts and (size[1] or 0) <= 50 * broadcast_hosts
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    entries = trees.select("host", F.map_keys("styles").alias("paths"), F.map_values("styles").alias("values"), "noise", "main_noise")
     joined = p.join(F.broadcast(entries) if small else entries, "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,8 +385,8 @@ def extract(pages: DataFrame, broadcast_hosts: int = 20_000, **tree) -> DataFram
             for host, source, paths, values, *marked in zip(b["host"], b["html"], b["paths"], b["values"], b["noise"], b["main_noise"], strict=True):
                 if host != last:
                     last, (noise, main_noise) = host, (set() if m is None else {int(x) for x in m} for m in marked)
-                    styles = {} if paths is None else {int(k): (v["importance"], v["styles"]) for k, v in zip(paths, values, strict=True)}
-                texts.append(main_text(source or "", styles, noise, main_noise))
+                    styles = {} if paths is None else {int(k): (v["m"], v["importance"], v["styles"]) for k, v in zip(paths, values, strict=True)}
+                texts.append(main_text(source or "", styles, noise, main_noise, of_tag))
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
