@@ -16,12 +16,12 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def exact_groups(docs: DataFrame, support: float = 0.001) -> DataFrame:
+def exact_groups(docs: DataFrame, support: float = 0.001, with_length: bool = False) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs(doc_id, text)``.
 
     Texts are equal when their normalised forms have the same SHA-256. Of equal texts the row with the most code points
     in the original text stays, then the smallest doc_id (null last); of rows with the same id and length
-    exactly one. Null text counts as empty.
+    exactly one. Null text counts as empty. ``with_length`` adds the row's own code points as ``length``.
 
     Texts are read once; digests are written to the shared folder. Misra-Gries counters (``freqItems``, at most
     ``1 / support`` of them) name every digest that more than ``support`` of all rows have. Their exact winners and
@@ -47,4 +47,5 @@ def exact_groups(docs: DataFrame, support: float = 0.001) -> DataFrame:
     out = settled.unionByName(rest)
     alone = F.col("group_size").isNull()
     keep_id, kept = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")), alone | (F.col("row") == F.col("best.row"))
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(kept, F.lit(True)).alias("kept"), "text_sha256")
+    length = [F.col("n").cast("long").alias("length")] if with_length else []
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(kept, F.lit(True)).alias("kept"), "text_sha256", *length)
