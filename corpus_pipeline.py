@@ -8,42 +8,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup, mixing, packing, setsketch, toxicity
-from loomgraph.llm.common import row_key, small_batches, table, written
+from loomgraph.llm.common import free_name, row_key, small_batches, table, written
 from loomgraph.llm.queries import tokenizer_path
 
+# What all stages have in common: a null or empty text is a document like any other, null and repeated doc_ids stay apart by their texts, columns beyond doc_id, text
+# and source pass through whatever they are called, and an empty table gives an empty table.
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network, fitted on the labels, doesn't reject."""
+    """Documents that the toxicity network, fitted on the labels, doesn't reject. Documents without words stay; so does everything if no label is 1."""
     small_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of equal texts, joined back by digest and doc_id; of rows equal in both one stays."""
+    """One row of every group of equal texts: the longest, then the smallest doc_id. Null, empty and blank texts are one group.
+
+    The rows that stay are joined back by digest, length and doc_id; of rows equal in all three one stays.
+    """
+    mark = free_name("unique_key", docs)
 
-    def key(sha256: Column) -> Column:
-        return F.concat_ws(":", sha256, F.col("doc_id").cast("string")).alias("unique_key")
+    def key(sha256: Column, length: Column) -> Column:
+        return F.concat_ws(":", sha256, length.cast("string"), F.col("doc_id").cast("string")).alias(mark)
 
-    keep = written(exact_dedup.exact_groups(docs).where("kept").select(key(F.col("text_sha256"))), "keep")
-    keyed = docs.select("*", key(F.sha2(exact_dedup.normalised(F.col("text")), 256)))
-    return keyed.join(keep, "unique_key").dropDuplicates(["unique_key"]).select(docs.columns)
+    kept = exact_dedup.exact_groups(docs, with_length=True).where("kept")
+    keep = written(kept.select(key(F.col("text_sha256"), F.col("length"))), "keep")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("*", key(F.sha2(exact_dedup.normalised(F.col("text")), 256), F.length(text)))
+    return keyed.join(keep, mark, "left_semi").dropDuplicates([mark]).select(docs.columns)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (Jaccard similarity of 5-word shingles 0.8 or more): the one with the smallest doc_id."""
-    gone = written(setsketch.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("row_key").alias("gone_key")).distinct(), "gone")
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone_key"), "left_anti")
+    """One document of each group of near duplicates (Jaccard similarity of 5-word shingles 0.8 or more): the one with the smallest doc_id.
+
+    Documents without words are near to nothing and stay. Of a group without any doc_id all stay.
+    """
+    mark = free_name("gone_key", docs)
+    gone = setsketch.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("row_key").alias(mark)).distinct()
+    return docs.withColumn(mark, row_key()).join(written(gone, "gone"), mark, "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: rows repeat, and documents taken zero times go. Wholly equal rows are taken equally often."""
-    sizes = written(mixing.with_size(docs).select(F.struct("doc_id", row_key().alias("key")).alias("doc_id"), "source", "size"), "sizes")
-    taken = mixing.mix(sizes, sizes.count()).where("copies > 0").groupBy(F.col("doc_id.key").alias("mix_key")).agg(F.min("copies").alias("mix_copies"))
-    joined = docs.join(written(taken, "taken"), F.xxhash64("doc_id", "text") == F.col("mix_key"))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    """Documents as often as the mix takes them: rows repeat, and documents taken zero times go. Wholly equal rows are taken equally often.
+
+    Null sources are one source. Documents without words have size 0 and are never taken.
+    """
+    mark, copies, copy = (free_name(name, docs) for name in ("mix_key", "mix_copies", "mix_copy"))
+    sizes = mixing.with_size(docs.select("doc_id", "text", "source")).select(F.struct("doc_id", row_key().alias("key")).alias("doc_id"), "source", "size")
+    sizes = written(sizes, "sizes")
+    taken = mixing.mix(sizes, sizes.count()).where("copies > 0").groupBy(F.col("doc_id.key").alias(mark)).agg(F.min("copies").cast("int").alias(copies))
+    joined = docs.withColumn(mark, row_key()).join(written(taken, "taken"), mark)
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens; see ``packing.SCHEMA``. A document without text is its end token alone."""
     small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
@@ -56,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: Toxicity, near dedup and packing can't be expressed in SQL; tests hold them against brute force.
+#: Toxicity, near dedup and packing can't be expressed in SQL; a test recomputes every stage of run() row by row.
 ORACLE_SQL: str | None = None
 
 
