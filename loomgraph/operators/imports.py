@@ -5,38 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A statement start, or any sign before it that isn't part of a name; the specifier is group 1.
-_HEAD = r"(?:^|[^A-Za-z0-9_.])"
-_FORMS = r"(?:(?:import|export)\s+[\s\S]{0,2000}?\sfrom\s*|import\s*|require\s*\(\s*|import\s*\(\s*)"
-JS_IMPORT = _HEAD + _FORMS + r"['\"]([^'\"]+)['\"]"
-PY_FROM = r"(?m)^[ \t]*from[ \t]+(\.*)[ \t]*([A-Za-z_][A-Za-z0-9_.]*)?[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)"
-PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([A-Za-z_][^\n#;]*)"
+_NO_NAME = "(?<![A-Za-z0-9_$.])", "(?![A-Za-z0-9_$])"
+#: Cuts a text before every word that may begin an import; each piece then holds one statement at its start.
+_JS_CUT = _NO_NAME[0] + "(?=(?:import|export|require)" + _NO_NAME[1] + ")"
+_PY_CUT = r"(?m)^[ \t]*(?=(?:from|import)[ \t])"
+_STRING = r"""["']([^"']+)["']"""
 
 
 def js_imports(files: DataFrame) -> DataFrame:
     """``(path, spec, is_type, is_lazy)`` for every import, export-from, require and dynamic import of ``(path, nocomment)`` rows.
 
-    Type-only if the statement says ``import type`` or ``export type``; lazy if it is a call of ``import``.
+    The text is cut before each word that may begin one; the specifier is the piece's first string, if nothing but a bracket, or a list that ends in
+    ``from``, stands before it. Lists may be of any length. Type-only if the statement says ``type`` next; lazy if it is a call of ``import``.
     """
-    whole = F.regexp_extract_all("nocomment", F.lit(JS_IMPORT), F.lit(0))
-    spec = F.regexp_extract_all("nocomment", F.lit(JS_IMPORT), F.lit(1))
-    rows = files.select("path", F.explode(F.arrays_zip(whole.alias("whole"), spec.alias("spec"))).alias("x"))
-    text = F.col("x.whole")
-    return rows.select("path", F.col("x.spec").alias("spec"), text.rlike(r"(?:import|export)\s+type(?![A-Za-z0-9_])").alias("is_type"), text.rlike(r"import\s*\(").alias("is_lazy"))
+    pieces = files.select("path", F.explode(F.split("nocomment", _JS_CUT)).alias("piece"))
+    before = F.regexp_extract("piece", r"""^([^"']*)["']""", 1)  # all up to the first string
+    lead, rest = F.regexp_extract(before, "^([a-z]+)", 1), F.regexp_extract(before, r"(?s)^[a-z]+\s*(.*?)\s*$", 1)
+    call = (rest == "(") & lead.isin("import", "require")
+    whole = pieces.where(lead.isin("import", "export", "require")).select("path", lead.alias("lead"), rest.alias("rest"), call.alias("call"), F.regexp_extract("piece", r"^[^\"']*" + _STRING, 1).alias("spec"))
+    listed = (F.col("lead") != "require") & F.col("rest").rlike("(?:^|[^A-Za-z0-9_$])from$")
+    plain = (F.col("lead") == "import") & (F.col("rest") == "")
+    kept = whole.where((F.col("spec") != "") & (F.col("call") | listed | plain))
+    return kept.select("path", "spec", (~F.col("call") & F.col("rest").rlike(r"^type(?![A-Za-z0-9_$])")).alias("is_type"), (F.col("call") & (F.col("lead") == "import")).alias("is_lazy"))
 
 
 def python_imports(files: DataFrame) -> DataFrame:
-    """``(path, level, module, names)``: relative level by dots, dotted module (may be empty), imported names without aliases."""
-    take = lambda pattern, group: F.regexp_extract_all("nocomment", F.lit(pattern), F.lit(group))
-    first = files.select("path", F.explode(F.arrays_zip(take(PY_FROM, 1).alias("dots"), take(PY_FROM, 2).alias("module"), take(PY_FROM, 3).alias("names"))).alias("x"))
-    first = first.select("path", F.length("x.dots").alias("level"), F.coalesce("x.module", F.lit("")).alias("module"), import_names(F.col("x.names")).alias("names"))
-    plain = files.select("path", F.explode(take(PY_IMPORT, 1)).alias("list")).select("path", F.explode(import_names(F.col("list"))).alias("module"))
+    """``(path, level, module, names)``: relative level by dots, dotted module (may be empty), imported names without aliases.
+
+    The text is cut at lines that begin with one of the two words; a list goes to its closing bracket, or to the end of a line that isn't continued.
+    """
+    pieces = files.select("path", F.explode(F.split("nocomment", _PY_CUT)).alias("piece"))
+    two = F.split(F.regexp_replace("piece", r"^from[ \t]+", ""), r"[ \t]+import(?=[ \t(*])", 2)
+    source, listed = F.trim(F.translate(two[0], "\t", " ")), F.ltrim(F.translate(two[1], "\t", " "))
+    line = lambda c: F.regexp_extract(F.replace(c, F.lit("\\\n"), F.lit(" ")), "^([^\n;#]*)", 1)
+    names = F.when(listed.startswith("("), F.regexp_extract(listed, r"^\(([^)]*)", 1)).otherwise(line(listed))
+    module = F.ltrim(F.regexp_replace(source, "^[. ]+", ""))
+    dots = F.length(F.regexp_replace(F.regexp_extract(source, "^([. ]*)", 1), " ", ""))
+    good = F.col("piece").startswith("from") & (F.size(two) == 2) & source.rlike(r"^[. ]*(?:[A-Za-z_][A-Za-z0-9_.]*)?$") & (source != "")
+    first = pieces.where(good).select("path", dots.alias("level"), module.alias("module"), import_names(names).alias("names"))
+    plain = pieces.where(F.col("piece").startswith("import")).select("path", F.explode(import_names(line(F.expr("substring(piece, 7)")))).alias("module"))
     return first.unionByName(plain.select("path", F.lit(0).alias("level"), "module", F.array().cast("array<string>").alias("names")))
 
 
 def import_names(listed: Column) -> Column:
     """Names of a comma-separated import list, without brackets, aliases and the star."""
-    parts = F.split(F.translate(listed, "()\n\r\\", "     "), ",")
+    parts = F.split(F.translate(listed, "()\t\n\r\\", "      "), ",")
     names = F.transform(parts, lambda x: F.regexp_extract(F.trim(x), r"^([A-Za-z_][A-Za-z0-9_.]*)", 1))
     return F.filter(names, lambda x: x != "")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import configparser
 import posixpath
 import re
-from collections.abc import Iterator
+import tomllib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,59 +14,70 @@ from pyspark.sql import functions as F
 
 from ..functions.comments import read_jsonc
 
-_NAME = re.compile(r"""["']?([A-Za-z0-9_.-]+)""")
-_QUOTED = re.compile(r"""["']([^"']+)["']""")
-_INCLUDE = re.compile(r"(?:-r|--requirement|-c|--constraint)[=\s]+(\S+)")
-_PAIR = re.compile(r"([A-Za-z_][\w.-]*)\s*=\s*(.*)$")
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-TABLE_FILES = ("pyproject.toml", "Pipfile", "setup.cfg")
 
 
-def _python_name(text: str) -> Iterator[str]:
-    if m := _NAME.match(text):
-        yield m[1].lower().replace("-", "_")
+def distribution(requirement: object) -> str | None:
+    """The name a requirement starts with, as modules spell it: before extras, versions, markers and addresses; null for anything else."""
+    text = str(requirement).strip()
+    end = next((k for k, c in enumerate(text) if not (c.isascii() and c.isalnum()) and c not in "-_."), len(text))
+    return text[:end].strip("-_.").replace("-", "_").lower() or None
 
 
-def requirement_lines(path: str, text: str) -> tuple[set[str], set[str]]:
-    """Names and included files of a requirements file."""
-    names: set[str] = set()
-    includes: set[str] = set()
-    for line in filter(None, map(str.strip, text.split("\n"))):
-        if m := _INCLUDE.match(line):
-            includes.add(posixpath.normpath(posixpath.join(posixpath.dirname(path), m[1])))
-        elif line[0] not in "#-":
-            names.update(_python_name(line))
-    return names, includes
+def _distributions(requirements: Iterable[object]) -> set[str]:
+    return {name for r in requirements if (name := distribution(r))}
 
 
-def table_names(text: str) -> set[str]:
-    """Names in dependency tables of TOML and INI manifests; the state is whether the current lines belong to one."""
+def requirements_txt(path: str, text: str) -> tuple[set[str], set[str]]:
+    """Names and included files of pip's format: logical lines of one requirement or one option each."""
     names: set[str] = set()
-    inside = False
+    includes: set[str] = set()
+    for line in text.replace("\\\n", " ").splitlines():
+        words = line.split(" #")[0].replace("=", " = ", 1).split() if line.lstrip().startswith("-") else line.split(" #")[0].split()
+        if not words or words[0].startswith("#"):
+            continue
+        if words[0] in ("-r", "--requirement", "-c", "--constraint"):
+            includes.update(posixpath.normpath(posixpath.join(posixpath.dirname(path), w)) for w in words[1:] if w != "=")
+        elif words[0][:2] in ("-r", "-c") and words[0][2:]:
+            includes.add(posixpath.normpath(posixpath.join(posixpath.dirname(path), words[0][2:])))
+        elif not words[0].startswith("-"):
+            names |= _distributions(words[:1])
+    return names, includes
 
-    def quoted(line: str) -> None:
-        for q in _QUOTED.findall(line):
-            names.update(_python_name(q))
 
-    for line in filter(None, map(str.strip, text.split("\n"))):
-        if line[0] == "#":
-            continue
-        if line[0] == "[":
-            low = line.lower()
-            own = "tool.setuptools]" in low or "packages.find" in low
-            inside = not own and bool(re.search(r"(?:^|\.)\[?(?:dev-)?packages\]|dependencies|install_requires|^\[options\]", low))
-        elif m := _PAIR.match(line):
-            if m[1].lower() in ("dependencies", "install_requires", "requires"):
-                inside = True
-                quoted(m[2])
-            elif inside:
-                if m[1].lower() != "python":
-                    names.update(_python_name(m[1]))
-                quoted(m[2])
-        elif inside:
-            names.update(_python_name(line))
-            quoted(line)
-    return names
+def toml_manifest(text: str) -> set[str]:
+    """Names in the tables where project, Poetry, PDM and Pipenv files, dependency groups and build systems list them; broken files declare nothing."""
+    try:
+        found = tomllib.loads(text)
+    except tomllib.TOMLDecodeError:
+        return set()
+
+    def at(*keys: str) -> object:
+        value: object = found
+        for k in keys:
+            value = value.get(k) if isinstance(value, dict) else None
+        return value
+
+    listed = [at("project", "dependencies"), at("build-system", "requires")]
+    tables = [at("packages"), at("dev-packages"), at("tool", "poetry", "dependencies"), at("tool", "poetry", "dev-dependencies")]
+    for groups in (at("project", "optional-dependencies"), at("dependency-groups"), at("tool", "pdm", "dev-dependencies")):
+        listed += groups.values() if isinstance(groups, dict) else []
+    groups = at("tool", "poetry", "group")
+    tables += [g.get("dependencies") for g in groups.values() if isinstance(g, dict)] if isinstance(groups, dict) else []
+    names = {n for group in listed if isinstance(group, list) for n in _distributions(x for x in group if isinstance(x, str))}
+    return names | {n for t in tables if isinstance(t, dict) for n in _distributions(t)} - {"python"}
+
+
+def cfg_manifest(text: str) -> set[str]:
+    """Names in the requirement options of setuptools' declarative file; broken files declare nothing."""
+    parser = configparser.ConfigParser(interpolation=None, strict=False)
+    try:
+        parser.read_string(text)
+    except configparser.Error:
+        return set()
+    values = [parser.get("options", k, fallback="") for k in ("install_requires", "setup_requires", "tests_require")]
+    values += parser["options.extras_require"].values() if parser.has_section("options.extras_require") else []
+    return _distributions(line for v in values for line in v.replace(";", "\n").splitlines())
 
 
 def manifest_names(path: str, text: str) -> tuple[set[str], set[str]]:
@@ -76,12 +89,9 @@ def manifest_names(path: str, text: str) -> tuple[set[str], set[str]]:
             return set(), set()
         keys = {k for s in NPM_SECTIONS if isinstance(found.get(s), dict) for k in found[s]}
         return keys | {k.removeprefix("@").split("/")[0] for k in keys}, set()
-    return (table_names(text), set()) if base in TABLE_FILES else requirement_lines(path, text)
-
-
-def is_manifest(path: str) -> bool:
-    base = posixpath.basename(path)
-    return base in ("package.json", "constraints.txt", *TABLE_FILES) or bool(re.search(r"^requirements.*\.(?:txt|in)$", base) or re.search(r"(?:^|/)requirements/[^/]+\.(?:txt|in)$", path))
+    if base in ("pyproject.toml", "Pipfile"):
+        return toml_manifest(text), set()
+    return (cfg_manifest(text), set()) if base == "setup.cfg" else requirements_txt(path, text)
 
 
 def declared(texts: DataFrame, rounds: int = 50) -> DataFrame:

@@ -1,0 +1,92 @@
+"""Import statements, manifests and resolution, as rows of real-looking files."""
+
+from __future__ import annotations
+
+import pytest
+
+from loomgraph.functions import comments
+from loomgraph.operators import imports
+from loomgraph.sources import manifests
+
+JS = """import a from './a';
+import type { T } from "./t"
+import { b,
+  type C } from './b.js'; export * from '../up'
+export type { U } from './u';
+import './side.css'
+import {x}from'tight'
+const r = require('old'), s = require( "old/two" )
+const lazy = await import('./lazy'); if (q) import("./other")
+export const from = 'not one', y = notimport('./no'), z = a.require('./no');
+export default function () { return 'no' }
+import * as ns
+  from 'ns'
+"""
+
+
+def test_js_imports(spark):
+    long = "import { " + ", ".join(f"name{k}" for k in range(3000)) + " } from 'long';\n"
+    df = spark.createDataFrame([("f", JS), ("g", long + "import y from 'z'"), ("h", ""), ("i", None)], "path string, nocomment string")
+    got = [(r["path"], r["spec"], r["is_type"], r["is_lazy"]) for r in imports.js_imports(df).collect()]
+    want = [("./a", 0, 0), ("./t", 1, 0), ("./b.js", 0, 0), ("../up", 0, 0), ("./u", 1, 0), ("./side.css", 0, 0), ("tight", 0, 0), ("old", 0, 0), ("old/two", 0, 0), ("./lazy", 0, 1), ("./other", 0, 1), ("ns", 0, 0)]
+    assert [x for x in got if x[0] == "f"] == [("f", s, bool(t), bool(z)) for s, t, z in want]
+    assert [x[1] for x in got if x[0] != "f"] == ["long", "z"]
+
+
+PY = """import os, sys as system; x = 1
+import a.b.c
+from . import sibling
+from ..pkg.mod import (one, two as second,
+    three,
+)
+from .importlib import thing, \\
+    other
+    from inner import late  # why
+from\tm import *
+y = "from no import nothing"
+important = 1
+from x
+"""
+
+
+def test_python_imports(spark):
+    df = spark.createDataFrame([("f", PY), ("g", None), ("h", "from a import " + ", ".join(f"n{k}" for k in range(5000)))], "path string, nocomment string")
+    rows = imports.python_imports(df).collect()
+    got = [(r["level"], r["module"], r["names"]) for r in rows if r["path"] == "f"]
+    want = [(0, "os", []), (0, "sys", []), (0, "a.b.c", []), (1, "", ["sibling"]), (2, "pkg.mod", ["one", "two", "three"]), (1, "importlib", ["thing", "other"]), (0, "inner", ["late"]), (0, "m", [])]
+    assert sorted(got) == sorted(want)
+    assert [len(r["names"]) for r in rows if r["path"] == "h"] == [5000]
+
+
+DIALECTS = {
+    "pyproject.toml": ['[project]\nname = "x"\ndependencies = ["stripe"]\n', '[project]\ndependencies = [\n  "stripe>=1",\n]\n', '[project.optional-dependencies]\npay = ["Stripe[web]; python_version > \'3\'"]\n', '[tool.poetry.dependencies]\npython = "^3.11"\nstripe = "^7.0"\n', '[tool.poetry.group.dev.dependencies]\nstripe = {version = "1"}\n', '[dependency-groups]\ndev = ["stripe", {include-group = "x"}]\n'],
+    "Pipfile": ['[[source]]\nname = "pypi"\n[packages]\nstripe = "*"\n', '[dev-packages]\nstripe = "*"\n'],
+    "setup.cfg": ["[options]\ninstall_requires =\n    stripe\n    requests\n", "[options.extras_require]\npay = stripe; requests\n"],
+    "requirements.txt": ["stripe==7.0.0\nrequests\n", "stripe[webhooks]>=7\n", "# x\n--hash=1\n-e .\nstripe @ https://x/y # why\n", "stripe \\\n  >=1\n"],
+    "requirements/prod.in": ["stripe\n"],
+}
+
+
+@pytest.mark.parametrize(("path", "text"), [(p, t) for p, texts in DIALECTS.items() for t in texts])
+def test_dialects(path, text):
+    names, _ = manifests.manifest_names(path, text)
+    assert "stripe" in names and not names & {"python", "pypi", "x", "pay", "dev", ""}
+
+
+def test_what_declares_nothing(spark):
+    for path, text in (("pyproject.toml", '[tool.setuptools]\npackages = [\n  "myapp",\n]\n'), ("pyproject.toml", '[tool.setuptools.packages.find]\nwhere = ["."]\ninclude = ["myapp*"]\n'), ("pyproject.toml", "broken ["), ("setup.cfg", "broken"), ("package.json", "[]")):
+        assert manifests.manifest_names(path, text)[0] == set()
+    assert manifests.manifest_names("package.json", '{"dependencies": {"@a/b": "1", "c": "2"}}')[0] >= {"@a/b", "c"}
+
+
+def test_includes_are_followed(spark):
+    layouts = [{"requirements.txt": "-r base.txt\n", "base.txt": "stripe>=7\n"}, {"requirements/base.txt": "stripe>=7\n", "requirements/prod.txt": "--requirement=base.txt\n"}, {"requirements.in": "stripe>=7\n"}, {"requirements.txt": "-cdeep/c.lock", "deep/c.lock": "-r ../d.lock\na-b", "d.lock": "stripe"}]
+    for texts in layouts:
+        df = spark.createDataFrame(list(texts.items()), "path string, content string")
+        assert "stripe" in {r["name"] for r in manifests.declared(df).collect()}
+
+
+def test_strings_and_templates_of_the_stripper(spark):
+    df = spark.createDataFrame([("a.ts", ".ts", "x = `a ${if_(b) ? `c` : 'd'} e`; // no\nif (y) {}"), ("b.py", ".py", "s = 'if'\nif s: pass # or\n")], "path string, ext string, content string")
+    got = {r["path"]: r["t"] for r in df.select("path", comments.code_text("content", "ext").alias("t")).collect()}
+    assert "no" not in got["a.ts"] and got["a.ts"].count("\n") == 1 and "'if'" not in got["b.py"] and "if s: pass" in got["b.py"]
