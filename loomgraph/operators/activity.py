@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,16 @@ def churn(commits: DataFrame, commit_files: DataFrame, author: str | None = None
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("churn"), F.count_if(mine).alias("my_churn"), F.min_by("at", "ord").alias("last_touch"), F.sort_array(F.collect_set("author")).alias("authors"))
 
 
+def of_tracked(commit_files: DataFrame, files: DataFrame) -> DataFrame:
+    """Touches of files that are tracked now; others are no part of the history that counts."""
+    return commit_files.join(files.select("path"), "path", "left_semi")
+
+
+def churny_unparsed(files: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
+    """Files without counted lines that more than ``least`` commits touched, most churn first, then in their order."""
+    return files.where((F.col("loc") == 0) & (F.col("churn") > least)).orderBy(F.desc("churn"), "ord").limit(most)
+
+
 def iso_date(epoch: Column) -> Column:
     """UTC day of epoch seconds, as text; null stays null."""
     return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
@@ -52,8 +62,3 @@ NOISE = tuple("node_modules/ dist/ build/ .next/ package-lock.json yarn.lock pnp
 def without_noise(status: DataFrame) -> DataFrame:
     """Working-tree rows without lock files and build output."""
     return status.where(~F.col("path").rlike("|".join(n.replace(".", r"\.") for n in NOISE)))
-
-
-def newest_per_key(rows: DataFrame, key: str, at: str, most: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))
-    return rows.withColumn("_k", place).where(F.col("_k") <= most).drop("_k")

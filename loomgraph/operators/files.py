@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import comments
@@ -11,7 +11,7 @@ from ..functions.paths import extname, glob_pattern
 # The extensions of code, of code with decision points, and the directories that are never scanned.
 CODE_EXT = tuple(".ts .tsx .js .jsx .mjs .cjs .mts .cts .vue .svelte .py .go .rb .rs .java .kt .swift .php .cs .c .h .cc .cpp .hpp .sql .html .css .scss".split())
 LOGIC_EXT = tuple(".ts .tsx .js .jsx .mjs .cjs .mts .cts .vue .svelte .py .go .rb .rs .java .kt .swift .php .cs .c .h .cc .cpp .hpp".split())
-SKIP_DIRS = tuple("node_modules dist build out .next .turbo vendor __pycache__ .venv coverage .git target Pods .begin".split())
+SKIP_DIRS = tuple("node_modules dist build out .next .turbo vendor __pycache__ .venv coverage .git target Pods .loomgraph".split())
 FULL_READ, HEAD_READ, MOST_FILES = 2 * 1024 * 1024, 512 * 1024, 20_000
 DECISIONS_C = r"(?<![A-Za-z0-9_])(?:if|for|while|case|catch|switch)(?![A-Za-z0-9_])|&&|\|\||\?\?|\?\."
 DECISIONS_PY = r"(?<![A-Za-z0-9_])(?:if|elif|else|for|while|except|with|and|or|assert)(?![A-Za-z0-9_])"
@@ -32,13 +32,6 @@ def capped(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
     return files.orderBy("ord").limit(most)
 
 
-def read_texts(binary: DataFrame) -> DataFrame:
-    """``(path, bytes, content, partial)`` from ``binaryFile`` rows: files beyond 2 MiB give their first 512 KiB."""
-    partial = F.col("length") > FULL_READ
-    content = F.when(partial, F.substring("content", 1, HEAD_READ)).otherwise(F.col("content"))
-    return binary.select("path", F.col("length").alias("bytes"), F.decode(content, "UTF-8").alias("content"), partial.alias("partial"))
-
-
 def loc(text: Column) -> Column:
     """Lines that aren't blank and don't start with a comment mark."""
     lines = F.split(text, "\n")
@@ -59,24 +52,33 @@ def decisions(text: Column, ext: Column, generated: Column | None = None) -> Col
     return F.when(off, F.lit(0)).otherwise(counted)
 
 
+# What shows that a file is generated, by its path, its first four lines or its first 4000 characters, in the order in which it is tried.
+GENERATED: list[tuple[str, str, str]] = [
+    ("path", r"(?i)\.(?:min|bundle|chunk)\.(?:js|css)$", "minified"),
+    ("path", r"(?i)(?:^|/)(?:vendor|vendored|polyfills?|third[_-]?party|generated|__generated__|node_modules|bower_components)/", "vendored"),
+    ("path", r"(?i)(?:^|/)(?:dist|build|out|\.output|umd)/.*\.(?:js|mjs|cjs|css)$", "build-output"),
+    ("top", r"(?im)^\s*(?://|#|/\*)\s*(?:@generated(?![A-Za-z0-9_])|AUTO-GENERATED|Code generated by|DO NOT EDIT(?![A-Za-z0-9_])[^\n]{0,20}$)", "generated"),
+    ("head", r"//\s*#region\s+\x00?rolldown", "generated"),
+    ("head", r"var\s+\w+\s*=\s*\(\s*\(\s*\)\s*=>\s*\{\s*var\s+__", "generated"),
+    ("head", r"(?i)/\*!\s*(?:bundle|generated|For license information)", "generated"),
+]
+
+
 def generated_reason(path: Column, text: Column) -> Column:
-    """Why a file counts as generated, or null; the first rule that holds decides."""
+    """Why a file counts as generated, or null; the first rule that holds decides: GENERATED, bundler traces, very long lines, very short names."""
     lines = F.greatest(F.lit(1), F.size(F.split(text, "\n")))
-    head, top = F.substring(text, 1, 4000), F.array_join(F.slice(F.split(text, "\n"), 1, 4), "\n")
-    names = F.regexp_count(head, F.lit(r"(?<![A-Za-z0-9_$])[A-Za-z_$][A-Za-z0-9_$]*"))
-    single = F.regexp_count(head, F.lit(r"(?<![A-Za-z0-9_$])[A-Za-z_$](?![A-Za-z0-9_$])"))
+    parts = {"path": path, "head": F.substring(text, 1, 4000), "top": F.array_join(F.slice(F.split(text, "\n"), 1, 4), "\n")}
+    names = F.regexp_count(parts["head"], F.lit(r"(?<![A-Za-z0-9_$])[A-Za-z_$][A-Za-z0-9_$]*"))
+    single = F.regexp_count(parts["head"], F.lit(r"(?<![A-Za-z0-9_$])[A-Za-z_$](?![A-Za-z0-9_$])"))
     indented = F.regexp_count(text, F.lit(r"(?m)^[ \t]+\S"))
-    return (
-        F.when(path.rlike(r"(?i)\.(?:min|bundle|chunk)\.(?:js|css)$"), "minified")
-        .when(path.rlike(r"(?i)(?:^|/)(?:vendor|vendored|polyfills?|third[_-]?party|generated|__generated__|node_modules|bower_components)/"), "vendored")
-        .when(path.rlike(r"(?i)(?:^|/)(?:dist|build|out|\.output|umd)/.*\.(?:js|mjs|cjs|css)$"), "build-output")
-        .when(top.rlike(r"(?im)^\s*(?://|#|/\*)\s*(?:@generated(?![A-Za-z0-9_])|AUTO-GENERATED|Code generated by|DO NOT EDIT(?![A-Za-z0-9_])[^\n]{0,20}$)"), "generated")
-        .when(head.rlike(r"//\s*#region\s+\x00?rolldown|var\s+\w+\s*=\s*\(\s*\(\s*\)\s*=>\s*\{\s*var\s+__|(?i:/\*!\s*(?:bundle|generated|For license information))"), "generated")
-        .when(F.regexp_count(text, F.lit("__webpack_require__")) > 3, "generated")
-        .when(F.substring(text, -2000, 2000).contains("sourceMappingURL=data:application/json;base64"), "generated")
-        .when(F.length(text) / lines > 300, "minified")
-        .when((names > 200) & (single / F.greatest(F.lit(1), names) > 0.45) & (indented / lines < 0.2), "minified")
-    )
+    rules = [(parts[part].rlike(pattern), reason) for part, pattern, reason in GENERATED]
+    rules += [
+        (F.regexp_count(text, F.lit("__webpack_require__")) > 3, "generated"),
+        (F.substring(text, -2000, 2000).contains("sourceMappingURL=data:application/json;base64"), "generated"),
+        (F.length(text) / lines > 300, "minified"),
+        ((names > 200) & (single / F.greatest(F.lit(1), names) > 0.45) & (indented / lines < 0.2), "minified"),
+    ]
+    return F.coalesce(*[F.when(holds, reason) for holds, reason in rules])
 
 
 def duplicate_artefacts(files: DataFrame, least_copies: int = 3, least_loc: int = 5) -> DataFrame:
@@ -103,8 +105,3 @@ def features(files: DataFrame) -> DataFrame:
 
 def rankable(files: DataFrame) -> DataFrame:
     return files.where((F.col("loc") > 0) & F.col("generated").isNull())
-
-
-def first_by(rows: DataFrame, key: str, order: list[Column], most: int = 1) -> DataFrame:
-    """The first ``most`` rows of each key."""
-    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_place") <= most).drop("_place")

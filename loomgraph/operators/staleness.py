@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the form of a section's stamp in a document.
-STAMP = r"<!--\s*begin:section\s+([^>]*?)-->"
+from ..functions.paths import java_quote
+
+#: What marks a section's stamp in a document unless the caller says otherwise: ``<!-- loom:section id="..." sha="..." files="..." -->``.
+MARKER = "loom:section"
+
+
+def stamp(marker: str = MARKER) -> str:
+    """The pattern of a stamp; its attributes are group 1."""
+    return rf"<!--\s*{java_quote(marker)}\s+([^>]*?)-->"
 
 
 def attribute(text: Column, name: str) -> Column:
@@ -17,16 +24,16 @@ def listed(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def sections(docs: DataFrame) -> DataFrame:
+def sections(docs: DataFrame, marker: str = MARKER) -> DataFrame:
     """``(doc, ord, id, sha, files)`` of every stamp in ``docs(doc, content)``; fences and inline code must be gone already."""
-    rows = docs.select("doc", F.posexplode(F.regexp_extract_all("content", F.lit(STAMP), F.lit(1))).alias("ord", "attrs"))
+    rows = docs.select("doc", F.posexplode(F.regexp_extract_all("content", F.lit(stamp(marker)), F.lit(1))).alias("ord", "attrs"))
     name = attribute(F.col("attrs"), "id")
     return rows.select("doc", "ord", F.when(name == "", F.concat(F.lit("unnamed@"), "ord")).otherwise(name).alias("id"), attribute(F.col("attrs"), "sha").alias("sha"), listed(attribute(F.col("attrs"), "files")).alias("files"))
 
 
-def swallowed(docs: DataFrame) -> DataFrame:
+def swallowed(docs: DataFrame, marker: str = MARKER) -> DataFrame:
     """``(doc, swallowed)``: stamps of ``docs(doc, raw, content)`` that the raw text has and the stripped text lost."""
-    n = lambda c: F.regexp_count(c, F.lit(r"<!--\s*begin:section\s"))
+    n = lambda c: F.regexp_count(c, F.lit(rf"<!--\s*{java_quote(marker)}\s"))
     return docs.select("doc", (n("raw") - n("content")).alias("swallowed")).where("swallowed > 0")
 
 
@@ -91,12 +98,6 @@ def first_heading(docs: DataFrame, most_chars: int = 90, most_docs: int = 30) ->
     return md.select("path", F.substring(F.regexp_extract("content", r"(?m)^#{1,6}[ \t]+([^\n]*)", 1), 1, most_chars).alias("heading")).orderBy("path").limit(most_docs)
 
 
-def caps(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """The first rows by ``order`` with the number of those left out."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return rows.orderBy(order).limit(most).withColumn("shown", n)
-
-
 def added_since(uncovered_paths: DataFrame, added: DataFrame, since: DataFrame) -> DataFrame:
     """Uncovered paths that were added after the oldest stamp: ``added(path, ord)``, ``since`` the one row of ``oldest_stamp``."""
     later = added.crossJoin(F.broadcast(since.select(F.col("ord").alias("oldest")))).where("ord < oldest").select("path")

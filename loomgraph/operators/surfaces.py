@@ -12,6 +12,7 @@ RULES: list[tuple[str, list[tuple[str, str]]]] = [
     ("example", [(_PATH, r"(?i)(?:^|/)(?:examples?|samples?|demos?|site|docs?)/")]),
     ("config", [(_PATH, r"(?:^|/)[A-Za-z0-9_.-]*\.?config\.[cm]?[jt]s$|(?:^|/)(?:vite|vitest|webpack|rollup|jest|eslint|tailwind|next|nuxt|astro|svelte|babel)\.config\.")]),
     ("http-route", [(_CODE, r"(?<![A-Za-z0-9_])(?:app|router|server|fastify|hono|api_router|bp|blueprint)\s*\.\s*(?:get|post|put|patch|delete|all|head|options|websocket|ws)\s*\(")]),
+    ("http-route", [(_CODE, r"@\s*[A-Za-z0-9_.]*\s*(?:app|router|api_router|bp|blueprint)\s*\.\s*(?:get|post|put|patch|delete|head|options|websocket)\s*\(")]),
     ("http-route", [(_CODE, r"@\s*[A-Za-z0-9_.]+\.route\s*\(|\.add_url_rule\s*\(|\.add_api_route\s*\(|include_router\s*\(")]),
     ("http-route", [(_CODE, r"(?m)^\s*urlpatterns\s*=|=\s*(?:FastAPI|Flask|Starlette|Quart)\s*\(")]),
     ("http-route", [(_CODE, r"(?<![A-Za-z0-9_])(?:createRoute|registerRoutes|addRoute)\s*\(")]),

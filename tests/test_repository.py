@@ -64,7 +64,7 @@ def test_scan(spark, repo, tmp_path):
 
 def test_staleness_and_recon(spark, repo, tmp_path):
     log = subprocess.run(["git", "-C", str(repo), "log", "--format=%h"], check=True, capture_output=True, text=True).stdout.split()
-    text = f'<!-- begin:section id="s" sha="{log[1]}" files="src/c.ts, app/**" -->\n<!-- begin:section id="now" sha="{log[0]}" files="src/b.ts" -->\n<!-- begin:section id="bad" sha="0123456" files="x" -->\n```\n<!-- begin:section id="no" -->\n```\n'
+    text = f'<!-- loom:section id="s" sha="{log[1]}" files="src/c.ts, app/**" -->\n<!-- loom:section id="now" sha="{log[0]}" files="src/b.ts" -->\n<!-- loom:section id="bad" sha="0123456" files="x" -->\n```\n<!-- loom:section id="no" -->\n```\n'
     found = refresh.refresh(spark, str(repo), text)
     assert [(r["id"], r["changed"]) for r in found["stale"].collect()] == [("s", ["src/c.ts"])]
     assert [(r["id"], r["why"]) for r in found["unverifiable"].collect()] == [("bad", "commit is gone")]
