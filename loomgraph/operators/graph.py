@@ -1,11 +1,19 @@
-"""Graph operators as driver loops over DataFrames; every round is written to the shared folder, nothing is gathered."""
+"""Graph operators. Small graphs are settled in one task; larger ones by driver loops over DataFrames, whose rounds are written to the shared folder."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import counted, discard, written
+
+#: Edges that one task takes, some hundred megabytes there; graphs of source repositories seldom have more.
+SMALL = 1_000_000
 
 
 def fan(edges: DataFrame) -> DataFrame:
@@ -15,24 +23,56 @@ def fan(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full").select("id", F.coalesce("fan_out", F.lit(0)).alias("fan_out"), F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("imported_by", F.array().cast(into.schema["imported_by"].dataType)).alias("imported_by"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30) -> DataFrame:
+def _together(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` over all rows of a small table at once, in one task."""
+
+    columns = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        yield work(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns))
+
+    return rows.repartition(1).mapInPandas(run, schema)
+
+
+def _kind(frame: DataFrame, column: str) -> str:
+    return frame.schema[column].dataType.simpleString()
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, small: int = SMALL) -> DataFrame:
     """``(id, rank)``: fixed iterations from 1/n; dangling mass is spread evenly; edges from or to unknown nodes are ignored.
 
-    Each iteration is linear in the ranks, and what it adds to all nodes alike is one number. So only the powers of the
-    link matrix applied to ones are computed, a join and a map-side combined aggregation each over nodes that are still
-    reached; their totals give the coefficients of every power on the driver, and one last aggregation adds them up.
+    A graph of at most ``small`` nodes and edges is ranked in one task. Beyond, each iteration is linear in the ranks, and what it adds to all
+    nodes alike is one number. So only the powers of the link matrix applied to ones are computed, a join and a map-side combined aggregation each over
+    nodes that are still reached; their totals give the coefficients of every power on the driver, and one last aggregation adds them up.
     """
-    ids = nodes.select("id").distinct()
-    n = ids.count()
-    known = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ids, n = counted(nodes.select("id").distinct(), "nodes")
+    links, m = counted(edges.select("src", "dst").distinct(), "links")
+    if n + m <= small:
+
+        def work(f: pd.DataFrame) -> pd.DataFrame:
+            node = f["node"].to_numpy(bool)
+            index = pd.Index(f["src"][node])
+            src, dst = index.get_indexer(f["src"][~node]), index.get_indexer(f["dst"][~node])
+            src, dst = src[known := (src >= 0) & (dst >= 0)], dst[known]
+            degree, size = np.bincount(src, minlength=len(index)), max(1, len(index))
+            rank = np.full(len(index), 1 / size)
+            for _ in range(iterations):
+                sent = np.bincount(dst, rank[src] / degree[src], len(index))
+                rank = (1 - damping) / size + damping * (sent + rank[degree == 0].sum() / size)
+            return pd.DataFrame({"id": index, "rank": rank})
+
+        both = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("node")).unionByName(links.withColumn("node", F.lit(False)))
+        return written(_together(both, work, f"id {_kind(ids, 'id')}, rank double"), "ranks")
+    known = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = known.join(degree, "src").repartition("src").persist()
-    power = ids.withColumn("x", F.lit(1.0))
-    every = power.withColumn("power", F.lit(0))
-    for k in range(1, iterations + 1):
-        sent = links.join(power.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") / F.col("degree")).alias("x"))
-        power = written(sent, "power")
-        every = every.unionByName(power.withColumn("power", F.lit(k)))
+    weighed = written(known.join(degree, "src"), "weighed")  # joins with it are plain shuffles, so a hub's links can be split
+    power = written(ids.withColumn("x", F.lit(1.0)), "power")
+    powers = [power]
+    for _ in range(iterations):
+        sent = weighed.join(powers[-1].select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") / F.col("degree")).alias("x"))
+        powers.append(written(sent, "power"))
+    every = reduce(DataFrame.unionByName, [p.withColumn("power", F.lit(k)) for k, p in enumerate(powers)])
     total = {r["power"]: r["s"] for r in every.groupBy("power").agg(F.sum("x").alias("s")).collect()}
     share = [1.0 / max(1, n)]
     for _ in range(iterations):
@@ -40,100 +80,173 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         share = [(1 - damping + damping * lost) / max(1, n), *(damping * a for a in share)]
     of_power = F.element_at(F.array(*[F.lit(a) for a in share]), F.col("power") + 1)
     ranks = written(every.groupBy("id").agg(F.sum(of_power * F.col("x")).alias("rank")), "ranks")
-    links.unpersist()
+    discard(ids, links, weighed, *powers)
     return ranks
 
 
-def hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_seeds: int = 3) -> DataFrame:
+def hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_seeds: int = 3, small: int = SMALL) -> DataFrame:
     """``(id, hops, via)``: level of a breadth-first search from all seeds at once, null where unreachable, and at most three seeds that lead there.
 
     Seeds reach a node only through parents one level up; of several the smallest ids stay, so the result doesn't depend on
-    any order of visits. A level is one join with the frontier; the loop ends when the frontier is empty.
+    any order of visits. A graph of at most ``small`` edges is searched in one task. Beyond, a level is one join with the frontier, and the loop ends
+    when the frontier is empty; the seeds of a node are cut to the smallest in parts first, so no hub's are in one task.
     """
-    links = edges.select("src", "dst").distinct().repartition("src").persist()
-    front = written(seeds.select("id").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("via")), "front")
-    seen = front
-    while not front.isEmpty():
-        step = links.join(front.select(F.col("id").alias("src"), "hops", "via"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        each = step.select(F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops"), F.explode("via").alias("seed")).distinct()
-        place = F.row_number().over(Window.partitionBy("id").orderBy("seed"))
-        front = written(each.withColumn("place", place).where(F.col("place") <= most_seeds).groupBy("id", "hops").agg(F.sort_array(F.collect_list("seed")).alias("via")), "front")
-        seen = written(seen.unionByName(front), "seen")
-    links.unpersist()
+    links, m = counted(edges.select("src", "dst").distinct(), "links")
+    first = seeds.select("id").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("via"))
+    if m <= small:
+        kind = _kind(links, "src")
+
+        def work(f: pd.DataFrame) -> pd.DataFrame:
+            seed = f["seed"].to_numpy(bool)
+            after: dict = {}
+            for a, b in zip(f["src"][~seed], f["dst"][~seed], strict=True):
+                after.setdefault(a, []).append(b)
+            level = dict.fromkeys(f["src"][seed], 0)
+            via, front, k = {s: [s] for s in level}, list(level), 0
+            while front:
+                k += 1
+                found: dict = {}
+                for a in front:
+                    for b in after.get(a, ()):
+                        if b not in level:
+                            found.setdefault(b, set()).update(via[a])
+                for b, through in found.items():
+                    level[b], via[b] = k, sorted(through)[:most_seeds]
+                front = list(found)
+            return pd.DataFrame({"id": list(level), "hops": list(level.values()), "via": [via[x] for x in level]})
+
+        both = first.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("seed")).unionByName(links.withColumn("seed", F.lit(False)))
+        seen = written(_together(both, work, f"id {kind}, hops int, via array<{kind}>"), "seen")
+    else:
+        front, left = counted(first, "front")
+        fronts, seen = [front], None
+        while left:
+            old, seen = seen, front if seen is None else written(seen.unionByName(front), "seen")
+            step = links.join(front.select(F.col("id").alias("src"), "hops", "via"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+            each = step.select(F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops"), F.explode("via").alias("seed")).distinct()
+            for part in (["id", "part"], ["id"]):
+                place = F.row_number().over(Window.partitionBy(*part).orderBy("seed"))
+                each = each.withColumn("part", F.pmod(F.xxhash64("seed"), F.lit(64))).withColumn("place", place).where(F.col("place") <= most_seeds).drop("place", "part")
+            front, left = counted(each.groupBy("id", "hops").agg(F.sort_array(F.collect_list("seed")).alias("via")), "front")
+            fronts.append(front)
+            if old is not None and old.written_to != fronts[0].written_to:
+                discard(old)
+        seen = front if seen is None else seen
     return nodes.select("id").distinct().join(seen, "id", "left").select("id", "hops", F.coalesce("via", F.array().cast(seen.schema["via"].dataType)).alias("via"))
 
 
-def _spread(colour: DataFrame, live: DataFrame) -> DataFrame:
-    """Colours after one step along the edges, the smallest winning."""
-    sent = live.join(colour.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("got"))
-    return colour.join(sent, "id", "left").select("id", F.least("colour", F.coalesce("got", "colour")).alias("colour"), "was")
+def _tarjan(f: pd.DataFrame) -> pd.DataFrame:
+    """Components of more than one node, without recursion."""
+    after: dict = {}
+    for a, b in zip(f["src"], f["dst"], strict=True):
+        after.setdefault(a, []).append(b)
+    number: dict = {}
+    low: dict = {}
+    path, on_path, rows = [], set(), []
+    for start in after:
+        work = [] if start in number else [(start, iter(after[start]))]
+        while work:
+            node, rest = work[-1]
+            if node not in number:
+                number[node] = low[node] = len(number)
+                path.append(node)
+                on_path.add(node)
+            for b in rest:
+                if b not in number:
+                    work.append((b, iter(after.get(b, ()))))
+                    break
+                if b in on_path:
+                    low[node] = min(low[node], number[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(path.pop())
+                    on_path.difference_update(members)
+                    if len(members) > 1:
+                        name = min(members)
+                        rows += [(x, name) for x in members]
+    return pd.DataFrame(rows, columns=["id", "component"])
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """``(id, component)`` of every node of a strongly connected component with more than one node; the component is its smallest id.
 
-    Colouring: nodes without an edge in or out are trimmed away, the smallest reachable-from id is spread forward, and from
-    every root the nodes of its colour that reach it backward make one component and leave the graph.
+    A graph of at most ``small`` edges is taken apart in one task. Beyond, by colouring: nodes without an edge in or out are trimmed away, the
+    smallest reachable-from id is spread forward, and from every root the nodes of its colour that reach it backward make one component and leave the graph.
+    Each round is one write, which counts what is left as well.
     """
-    live = written(edges.where("src <> dst").select("src", "dst").distinct(), "live")
+    kind = _kind(edges, "src")
+    live, left = counted(edges.where("src <> dst").select("src", "dst").distinct(), "live")
+    if left <= small:
+        return written(_together(live, _tarjan, f"id {kind}, component {kind}"), "components")
     done = None
-    left = live.count()
-    while True:
-        while left:
-            sources, targets = live.select(F.col("src").alias("id")).distinct(), live.select(F.col("dst").alias("id")).distinct()
-            inner = sources.join(targets, "id", "left_semi")
-            live = written(live.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live")
-            before, left = left, live.count()
-            if left == before:
-                break
+    while left:
+        before = None
+        while left and left != before:
+            inner = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+            old, before = live, left
+            live, left = counted(live.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live")
+            discard(old)
         if not left:
             break
-        colour = written(live.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
-        while True:
-            two = _spread(_spread(colour.withColumn("was", F.col("colour")), live), live)
-            new = written(two.select("id", "colour", (F.col("colour") < F.col("was")).alias("moved")), "colour")
-            colour = new.drop("moved")
-            if new.where("moved").isEmpty():
-                break
+        colour, moved = written(live.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour"), 1
+        while moved:
+            step = _spread(_spread(colour.withColumn("was", F.col("colour")), live), live)
+            colour, moved = counted(step.select("id", "colour", "was"), "colour", F.col("colour") < F.col("was"))
+            colour = colour.drop("was")
         same = written(live.join(colour.select(F.col("id").alias("src"), "colour"), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other").select("src", "dst", "colour"), "same")
-        reached = written(colour.where("id = colour").select("id", "colour"), "reached")
+        reached, more = counted(colour.where("id = colour").select("id", "colour"), "reached")
         front = reached
-        while not front.isEmpty():
+        while more:
             back = same.join(front.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
-            front = written(back.join(reached, ["id", "colour"], "left_anti"), "front")
-            reached = written(reached.unionByName(front), "reached")
+            front, more = counted(back.join(reached, ["id", "colour"], "left_anti"), "front")
+            reached = written(reached.unionByName(front), "reached") if more else reached
         done = reached if done is None else done.unionByName(reached)
         gone = reached.select("id")
-        live = written(live.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "live")
-        left = live.count()
+        live, left = counted(live.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "live")
     if done is None:
-        kind = edges.schema["src"].dataType
-        return edges.sparkSession.createDataFrame([], "id long, component long").select(F.col("id").cast(kind), F.col("component").cast(kind))
+        return edges.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     sizes = done.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return done.join(sizes, "colour").select("id", F.col("colour").alias("component"))
 
 
+def _spread(colour: DataFrame, live: DataFrame) -> DataFrame:
+    """Colours after one step along the edges, the smallest winning."""
+    sent = live.join(colour.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("got"))
+    return colour.join(sent, "id", "left").select("id", F.least("colour", F.coalesce("got", "colour")).alias("colour"), "was")
+
+
 def cycle_witnesses(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """``(component, cycle)``: for each component one directed loop from its smallest member back to it.
+    """``(component, cycle)``: for each component a shortest directed loop from its smallest member back to it, always the same one.
 
-    A breadth-first search inside all components at once keeps each node's parent; the loop follows parents back from the first node
-    with an edge to the start. Rounds are bounded by the longest shortest path.
+    A breadth-first search inside all components at once keeps each node's smallest parent; a component leaves it once a node of
+    its frontier has an edge to the start. The loops are then read off the parents, backwards and all at once. Rounds are bounded by the longest loop.
     """
-    a, b = components.select(F.col("id").alias("src"), "component"), components.select(F.col("id").alias("dst"), F.col("component").alias("other"))
-    inside = written(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("component = other").select("src", "dst", "component"), "inside")
-    front = written(components.where("id = component").select("id", "component", F.array("id").alias("path")), "front")
-    seen, found = front.select("id"), None
-    while not front.isEmpty():
-        step = inside.join(front.select(F.col("id").alias("src"), "path"), "src").select("dst", "component", "path")
-        closed = step.where("dst = component").select("component", F.concat("path", F.array("dst")).alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
-        fresh = step.join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti").groupBy(F.col("dst").alias("id"), "component").agg(F.min("path").alias("path"))
-        fresh = fresh.withColumn("path", F.concat("path", F.array("id")))
-        front = written(fresh, "front")
-        seen = written(seen.unionByName(front.select("id")), "seen")
-    if found is None:
-        return components.select("component", F.array("id").alias("cycle")).limit(0)
-    return found.groupBy("component").agg(F.min_by("cycle", F.struct(F.size("cycle"), "cycle")).alias("cycle"))
+    member, other = components.select(F.col("id").alias("src"), "component"), components.select(F.col("id").alias("dst"), F.col("component").alias("other"))
+    inside = written(edges.select("src", "dst").distinct().join(member, "src").join(other, "dst").where("component = other").select("src", "dst", "component"), "inside")
+    front, left = counted(components.where("id = component").select("component", "id"), "front")
+    parents = seen = None
+    ends = components.select("component", F.col("id").alias("last")).limit(0)
+    while left:
+        seen = front if seen is None else written(seen.unionByName(front), "seen")
+        step = inside.join(front.select("component", F.col("id").alias("src")), ["component", "src"])
+        closed = written(step.where("dst = component").groupBy("component").agg(F.min("src").alias("last")), "closed")
+        ends = ends.unionByName(closed)
+        fresh = step.join(closed.select("component"), "component", "left_anti").join(seen.select("component", F.col("id").alias("dst")), ["component", "dst"], "left_anti")
+        found, left = counted(fresh.groupBy("component", F.col("dst").alias("id")).agg(F.min("src").alias("parent")), "parents")
+        parents = found if parents is None else parents.unionByName(found)
+        front = found.select("component", "id")
+    open_, left = counted(ends.select("component", F.col("last").alias("at"), F.array("last", "component").alias("cycle")), "loops")
+    whole = open_.where("at = component").select("component", "cycle")
+    while left and parents is not None:
+        back = open_.where("at <> component").join(parents.select("component", F.col("id").alias("at"), "parent"), ["component", "at"])
+        open_, left = counted(back.select("component", F.col("parent").alias("at"), F.concat(F.array("parent"), "cycle").alias("cycle")), "loops")
+        whole = whole.unionByName(open_.where("at = component").select("component", "cycle"))
+    return whole
 
 
 def surface_paths(reached: DataFrame, edges: DataFrame, top: DataFrame) -> DataFrame:

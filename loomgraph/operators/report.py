@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .activity import iso_date
+from .files import LOGIC_EXT
 
 
 def by_extension(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,6 +39,24 @@ def warnings(counts: DataFrame, languages: DataFrame) -> DataFrame:
     return found.unionByName(unparsed).unionByName(broken)
 
 
+def totals(files: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
+    """One row: files, files with logic, their bytes, edges, value edges, commits and authors; each table is aggregated once, with map-side combining."""
+    f = files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("ext").isin(*LOGIC_EXT)).alias("logic_files"), F.sum(F.col("bytes").cast("long")).alias("bytes"))
+    e = edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if("is_value").alias("value_edges"))
+    c = commits.agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("author").alias("authors"))
+    return f.crossJoin(e).crossJoin(c)
+
+
+def field(record: Column, name: str) -> Column:
+    """A field of a JSON object as text; null where it is absent or the text is no object."""
+    return F.from_json(record, "map<string,string>")[name]
+
+
+def as_json(fields: dict[str, Column]) -> Column:
+    """One JSON object with these fields, in this order."""
+    return F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+
+
 def records(files: DataFrame) -> DataFrame:
     """The report's record of each joined file row: missing numbers are 0, missing hops and dates stay null."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

@@ -102,7 +102,20 @@ def resolve_python(imports: DataFrame, files: DataFrame, blocked: DataFrame) ->
 
 def first_party(spec: Column, repo_dirs: Column, workspace: Column, declared: Column, repo_name: str) -> Column:
     """Whether an unresolved specifier is the repository's own: relative, a top directory, a workspace package, not declared, or the repository's name."""
-    return F.when(spec.startswith("."), True).when(repo_dirs, True).when(workspace, True).when(declared, False).otherwise(F.substring_index(spec, "/", 1) == repo_name)
+    return F.when(spec.startswith("."), True).when(repo_dirs, True).when(workspace, True).when(declared, False).otherwise(F.substring_index(F.substring_index(spec, "/", 1), ".", 1) == repo_name)
+
+
+def with_first_party(specs: DataFrame, folders: DataFrame, packages: DataFrame, declared: DataFrame, repo_name: str) -> DataFrame:
+    """Adds ``own`` to ``(spec, ...)`` rows: ``first_party`` by joins of the specifier's head with ``(name)`` tables of top folders, workspace and declared packages.
+
+    The head is the first segment or dotted part, of a scoped package the first two segments.
+    """
+    head = F.when(F.col("spec").startswith("@"), F.substring_index("spec", "/", 2)).otherwise(F.substring_index(F.substring_index("spec", "/", 1), ".", 1))
+    rows = specs.withColumn("name", head)
+    for mark, names in (("of_folder", folders), ("of_package", packages), ("of_declared", declared)):
+        rows = rows.join(names.select("name").distinct().withColumn(mark, F.lit(True)), "name", "left")
+    known = [F.coalesce(mark, F.lit(False)) for mark in ("of_folder", "of_package", "of_declared")]
+    return rows.withColumn("own", first_party(F.col("spec"), *known, repo_name)).drop("name", "of_folder", "of_package", "of_declared")
 
 
 def edges(resolved: DataFrame) -> DataFrame:

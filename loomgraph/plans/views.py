@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import resolve
 from ..sources.tables import table
+from .storage import written
 
 EXTENSIONS = (".ts", ".py", ".sql", ".js")
 
@@ -36,25 +38,32 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
 COMMITS = "v_commits AS (SELECT event_id AS sha, (props->>'$.k')::BIGINT AS path, floor(epoch(ts))::BIGINT AS sec, ts, user_id AS author, event_type AS subject FROM events)"
 
 
-def edges(spark: SparkSession, folder: str, every: int = 10) -> DataFrame:
-    """``(src, dst, is_value, is_lazy)``: a user's error followed by the next user's, every tenth event as in ``EDGES``.
+def edges(spark: SparkSession, folder: str) -> DataFrame:
+    """``(src, dst, is_value, is_lazy)``: a user's error followed by the next user's, as in ``EDGES``, through the library's ``resolve.edges``."""
+    return resolve.edges(edge_rows(spark, folder)).drop("is_static")
 
-    The window runs over all error events in time order, as the view is defined; it holds two ids for each, a third of one small table.
+
+def edge_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``(src, dst, is_type, is_lazy)``, one row for each error event and the next in time.
+
+    Events are dealt by ranges of time and looked ahead from inside each range; the last of a range takes the first of the next one that has any, from one
+    small row of the first events of all ranges.
     """
-    e = table(spark, folder, "events").where("event_type = 'error'")
-    following = F.lead("user_id").over(Window.orderBy("ts", "event_id"))
-    rows = e.select("event_id", F.col("user_id").alias("src"), following.alias("dst")).where((F.col("event_id") % every == 0) & F.expr("dst IS NOT NULL AND src <> dst"))
-    return rows.groupBy("src", "dst").agg(F.bool_or(F.col("event_id") % 70 != 0).alias("is_value"), F.bool_or(F.col("event_id") % 30 == 0).alias("is_lazy"))
+    e = table(spark, folder, "events").where("event_type = 'error'").select("ts", "event_id", F.col("user_id").alias("src"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(e.repartitionByRange(ranges, "ts", "event_id").withColumn("part", F.spark_partition_id()), "dealt")
+    firsts = dealt.groupBy("part").agg(F.min_by("src", F.struct("ts", "event_id")).alias("head"))
+    firsts = firsts.agg(F.sort_array(F.collect_list(F.struct("part", "head"))).alias("heads"))
+    following = F.lead("src").over(Window.partitionBy("part").orderBy("ts", "event_id"))
+    rows = dealt.withColumn("inside", following).crossJoin(F.broadcast(firsts))
+    later = F.get(F.filter("heads", lambda h: h["part"] > F.col("part")), F.lit(0))["head"]
+    rows = rows.select("event_id", "src", F.coalesce("inside", later).alias("dst")).where("dst IS NOT NULL")
+    return rows.select("src", "dst", (F.col("event_id") % 70 == 0).alias("is_type"), (F.col("event_id") % 30 == 0).alias("is_lazy"))
 
 
 EDGES = """v_edges AS (SELECT src, dst, bool_or(event_id % 70 <> 0) AS is_value, bool_or(event_id % 30 = 0) AS is_lazy FROM
   (SELECT event_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error')
-  WHERE event_id % 10 = 0 AND dst IS NOT NULL AND src <> dst GROUP BY src, dst), v_nodes AS (SELECT DISTINCT user_id AS id FROM events)"""
-
-
-def all_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for every event."""
-    return edges(spark, folder, every=1)
+  WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst), v_nodes AS (SELECT DISTINCT user_id AS id FROM events)"""
 
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph
@@ -37,6 +39,38 @@ def test_pagerank_keeps_mass(spark):
     assert abs(sum(x["rank"] for x in r) - 1) < 1e-9 and len(r) == 5
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_loops_and_one_task_agree(spark, seed):
+    """The distributed loops on graphs that the small path would take."""
+    rng = random.Random(seed)
+    pairs = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(40)})
+    e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.range(28)
+    seeds = spark.createDataFrame([(k,) for k in (0, 3, 4, 7, 9)], "id long")
+    for f in (lambda small: graph.pagerank(n, e, small=small).select("id", F.round("rank", 12)), lambda small: graph.hops(n, e, seeds, small=small), lambda small: graph.strong_components(e, small=small)):
+        assert sorted(map(tuple, f(0).collect())) == sorted(map(tuple, f(graph.SMALL).collect()))
+    want = {}
+    for k in range(30):
+        inside = [j for j in range(30) if j != k and j in _reach(pairs, k) and k in _reach(pairs, j)]
+        if inside:
+            want[k] = min(k, *inside)
+    found = graph.strong_components(e, small=0)
+    assert {r["id"]: r["component"] for r in found.collect()} == want
+    cycles = {r["component"]: r["cycle"] for r in graph.cycle_witnesses(e, found).collect()}
+    assert cycles.keys() == set(want.values())
+    for k, c in cycles.items():
+        assert c[0] == c[-1] == k and all(p in pairs for p in zip(c, c[1:], strict=False))
+        shortest = next(d for d in range(2, 40) if any(len(w) == d for w in _loops(pairs, k, d)))
+        assert len(c) - 1 == shortest
+
+
+def _loops(pairs, start, length):
+    """One walk of that many edges from ``start`` back to it, if there is one without the edge to itself."""
+    at = {start}
+    for _ in range(length):
+        at = {b for a, b in pairs if a in at and a != b}
+    return [range(length)] if start in at else []
+
+
 def test_hops_and_empty_graphs(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (5, 2), (2, 3)], "src long, dst long")
     got = {r["id"]: (r["hops"], r["via"]) for r in graph.hops(spark.range(7), e, spark.createDataFrame([(0,), (5,)], "id long")).collect()}

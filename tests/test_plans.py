@@ -45,3 +45,10 @@ def test_globs_claim_their_literal_start(spark):
     found = spark.createDataFrame([("s", ["src/a*", "lib/**", "**"])], "id string, files array<string>")
     paths = spark.createDataFrame([("src/ab.ts",), ("src/b.ts",), ("lib/x/y.ts",), ("top.ts",)], "path string")
     assert {r["path"] for r in staleness.uncovered(paths, found).collect()} == {"src/b.ts", "top.ts"}
+
+
+@pytest.mark.parametrize("name", ["edge_flags", "fan_in_out", "global_counts"])
+def test_no_window_over_a_whole_table(spark, sf_dir, name):
+    p = plan(registry.queries()[name](spark, sf_dir))
+    windows = [line for line in p.split("\n") if "Window [" in line]
+    assert all("windowspecdefinition(part" in line for line in windows)

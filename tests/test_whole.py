@@ -15,11 +15,11 @@ def _names(line):
             yield m[0]
 
 
-def test_py_names_whole(spark, sf_dir, tmp_path):
+def test_py_names(spark, sf_dir, tmp_path):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     docs += [(-1, "(a, b as c, \\\r\n  d.e)\n*, f\n"), (-2, None), (-3, "")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["doc_id"], r["name"]): r["n"] for r in registry.queries()["py_names_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["name"]): r["n"] for r in registry.queries()["py_names_explode"](spark, str(tmp_path)).collect()}
     assert got == Counter((k, name) for k, text in docs for line in (text or "").split("\n") for name in _names(line))
     assert {name for k, name in got if k == -1} == {"a", "b", "d.e", "f"}
 
@@ -52,7 +52,7 @@ def test_strip_comments_whole(spark, tmp_path):
 _MD = [("plain `x`", "plain `x`"), ("> ```\n~~~\n``` no\n> ```", "\n" * 12), ("   `````\nb\n```", "\n" * 8), ("", "")]
 
 
-def test_fence_strip_whole(spark, sf_dir, tmp_path):
+def test_fence_strip(spark, sf_dir, tmp_path):
     rng = random.Random(6)
     docs, want = [], {}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
@@ -64,7 +64,7 @@ def test_fence_strip_whole(spark, sf_dir, tmp_path):
         parts = rng.choices(_MD, k=500 if k % 10 == 0 else 10)
         docs.append((k, "\n".join(a for a, _ in parts)))
         want[k] = "\n\n\n\n".join(b for _, b in parts)
-    got = {r["doc_id"]: (r["clean"], r["unclosed"]) for r in registry.queries()["fence_strip_whole"](spark, _files(spark, tmp_path, docs)).collect()}
+    got = {r["doc_id"]: (r["clean"], r["unclosed"]) for r in registry.queries()["fence_strip"](spark, _files(spark, tmp_path, docs)).collect()}
     assert got == {k: (t + "\n\n" * (k % 4 == 3), k % 4 == 3) for k, t in want.items()}
 
 
@@ -77,7 +77,7 @@ def test_graph_over_all_edges(spark, sf_dir):
         if a != b:
             value, lazy = flags.get((a, b), (False, False))
             flags[a, b] = value or k % 70 != 0, lazy or k % 30 == 0
-    q = lambda name: registry.queries()[f"{name}_all"](spark, sf_dir).collect()
+    q = lambda name: registry.queries()[name](spark, sf_dir).collect()
     assert {(r["src"], r["dst"]): (r["is_value"], r["is_lazy"], r["is_static"]) for r in q("edge_flags")} == {e: (v, z, v and not z) for e, (v, z) in flags.items()}
     assert {r["id"]: (r["fan_out"], r["fan_in"]) for r in q("fan_in_out")} == {n: (sum(a == n for a, _ in flags), sum(b == n for _, b in flags)) for n in {x for e in flags for x in e}}
 
@@ -106,7 +106,8 @@ def test_graph_over_all_edges(spark, sf_dir):
             via[n] = sorted({v for a, b in flags if b == n and hops.get(a) == hops[n] - 1 for v in via[a]})[:3]
     assert {r["id"]: r["via"] for r in q("bfs_provenance")} == {n: ",".join(map(str, via.get(n, []))) for n in nodes}
     assert {(r["via"], r["id"], r["hops"]) for r in q("surface_paths")} == {(via[n][0], n, h) for n, h in hops.items() if h}
-    assert {r["id"] for r in q("orphans")} == {n for n in nodes if n not in hops and n % 5}
+    more = {r["c_custkey"] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
+    assert {r["id"] for r in q("orphans")} == {n for n in nodes | more if n not in hops and n % 5}
     ahead = {n: set(reach([n])) for n in nodes}
     ring = {n: {m for m in ahead[n] if n in ahead[m]} for n in nodes}
     assert {r["id"]: r["component"] for r in q("scc")} == {n: min(ring[n]) for n in nodes if len(ring[n]) > 1}
