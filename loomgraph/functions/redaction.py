@@ -34,6 +34,23 @@ RULES: list[tuple[str, str]] = [
 ]
 
 
+# What a text must hold, in small or capital letters as they are, for the rule of the same place to find anything.
+NEEDLES: list[tuple[str, ...]] = [
+    ("://",), ("github_pat_",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("glpat-",), ("npm_",), ("hf_",), ("GOCSPX-",), ("whsec_",), ("SG.",), ("sk-",), ("xox",), ("https://hooks.slack.com/",), ("AKIA",), ("ASIA",), ("AIza",), ("eyJ",),
+    ("sk_", "pk_", "rk_", "mk_", "ak_"), ("PASSWORD", "SECRET", "TOKEN", "APIKEY", "API_KEY", "PRIVATE_KEY", "ACCESS_KEY"), ("_",), ("PRIVATE KEY-----",),
+]
+
+
 def redact(text: Column) -> Column:
-    """Text with everything that has a secret's shape replaced; other text is unchanged; null stays null."""
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), RULES, text)
+    """Text with everything that has a secret's shape replaced; other text is unchanged; null stays null.
+
+    A pattern runs only over texts that hold one of its needles: byte searches cost a fraction of a pattern with a look behind it. No replacement makes a needle, so
+    the original text tells. Each step is a function of one variable, as an expression that names its input twice would double with each rule.
+    """
+
+    def step(done: Column, rule: tuple[tuple[str, str], tuple[str, ...]]) -> Column:
+        (pattern, put), needles = rule
+        held = reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
+        return F.get(F.transform(F.array(done), lambda x: F.when(held, F.regexp_replace(x, pattern, put)).otherwise(x)), F.lit(0))
+
+    return reduce(step, zip(RULES, NEEDLES, strict=True), text)

@@ -108,14 +108,23 @@ def first_party(spec: Column, repo_dirs: Column, workspace: Column, declared: Co
 def with_first_party(specs: DataFrame, folders: DataFrame, packages: DataFrame, declared: DataFrame, repo_name: str) -> DataFrame:
     """Adds ``own`` to ``(spec, ...)`` rows: ``first_party`` by joins of the specifier's head with ``(name)`` tables of top folders, workspace and declared packages.
 
-    The head is the first segment or dotted part, of a scoped package the first two segments.
+    Folders and declared packages are looked up by the first segment or dotted part without a scope's sign, packages by the first two segments of a scoped
+    name. Adds ``head`` as well, which names what didn't resolve.
     """
-    head = F.when(F.col("spec").startswith("@"), F.substring_index("spec", "/", 2)).otherwise(F.substring_index(F.substring_index("spec", "/", 1), ".", 1))
-    rows = specs.withColumn("name", head)
-    for mark, names in (("of_folder", folders), ("of_package", packages), ("of_declared", declared)):
-        rows = rows.join(names.select("name").distinct().withColumn(mark, F.lit(True)), "name", "left")
-    known = [F.coalesce(mark, F.lit(False)) for mark in ("of_folder", "of_package", "of_declared")]
-    return rows.withColumn("own", first_party(F.col("spec"), *known, repo_name)).drop("name", "of_folder", "of_package", "of_declared")
+    scoped = F.when(F.col("spec").startswith("@"), F.substring_index("spec", "/", 2))
+    first = F.regexp_extract("spec", "^@?([^./]*)", 1)
+    rows = specs.withColumns({"_first": first, "_scoped": F.coalesce(scoped, F.substring_index("spec", "/", 1)), "_plain": F.coalesce(scoped, F.replace(F.lower(first), F.lit("-"), F.lit("_")))})
+    for key, mark, names in (("_first", "_folder", folders), ("_scoped", "_package", packages), ("_plain", "_declared", declared)):
+        rows = rows.join(names.select(F.col("name").alias(key)).distinct().withColumn(mark, F.lit(True)), key, "left")
+    known = [F.coalesce(mark, F.lit(False)) for mark in ("_folder", "_package", "_declared")]
+    head = F.coalesce(scoped, F.when(F.col("_first") != "", F.col("_first")).otherwise(F.col("spec")))
+    rows = rows.withColumn("own", first_party(F.col("spec"), *known, repo_name)).withColumn("head", head)
+    return rows.drop("_first", "_scoped", "_plain", "_folder", "_package", "_declared")
+
+
+def heaviest(unresolved: DataFrame, most: int = 6) -> DataFrame:
+    """``(head, n)``: what unresolved specifiers of one's own begin with most often."""
+    return unresolved.where("own").groupBy("head").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "head").limit(most)
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -67,10 +67,16 @@ def stale(found: DataFrame, commits: DataFrame, commit_files: DataFrame, shown:
     return later.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("changed"), newest.alias("commits"))
 
 
-def unverifiable(found: DataFrame, commits: DataFrame, known_paths: DataFrame) -> DataFrame:
-    """``(id, why)``: no commit, unknown commit, no files, or files that exist neither then nor now; ``files="-"`` is exempt. The first reason counts."""
+def unverifiable(found: DataFrame, commits: DataFrame, known_paths: DataFrame, trees: DataFrame | None = None) -> DataFrame:
+    """``(id, why)``: no commit, unknown commit, no files, or files that exist neither then nor now; ``files="-"`` is exempt. The first reason counts.
+
+    ``known_paths(path)`` are those of now, ``trees(sha, path)`` those of each stamp's commit.
+    """
     known = found.join(commits.select("sha", F.lit(True).alias("seen")), "sha", "left")
-    bogus = claims(found).where("NOT is_glob AND pattern <> '-'").join(known_paths.select(F.col("path").alias("pattern")).distinct(), "pattern", "left_anti").groupBy("id").agg(F.sort_array(F.collect_set("pattern")).alias("bogus"))
+    named = claims(found).where("NOT is_glob AND pattern <> '-'").join(known_paths.select(F.col("path").alias("pattern")).distinct(), "pattern", "left_anti")
+    if trees is not None:
+        named = named.join(found.select("id", "sha"), "id").join(trees.select("sha", F.col("path").alias("pattern")), ["sha", "pattern"], "left_anti")
+    bogus = named.groupBy("id").agg(F.sort_array(F.collect_set("pattern")).alias("bogus"))
     rows = known.join(bogus, "id", "left")
     why = (
         F.when(F.col("sha") == "", "no commit")
@@ -89,7 +95,7 @@ def uncovered(paths: DataFrame, found: DataFrame) -> DataFrame:
 
 def oldest_stamp(found: DataFrame, commits: DataFrame) -> DataFrame:
     """One row: the stamp furthest back in the log."""
-    return found.join(commits, "sha").agg(F.max_by("sha", "ord").alias("sha"), F.max("ord").alias("ord"))
+    return found.select("sha").join(commits.select("sha", "ord"), "sha").agg(F.max_by("sha", "ord").alias("sha"), F.max("ord").alias("ord"))
 
 
 def first_heading(docs: DataFrame, most_chars: int = 90, most_docs: int = 30) -> DataFrame:

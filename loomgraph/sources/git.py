@@ -1,13 +1,14 @@
 """A git repository as DataFrames, through Python data sources: ``git_tracked``, ``git_commits`` and ``git_commit_files``.
 
-A repository is a folder of one machine, so these readers have one partition; all that follows is distributed. Failures of
+A repository is a folder of one machine, so these readers have one partition, but for trees, which have one for each commit asked for; all that
+follows is distributed. Failures of
 git give no rows, as degraded input must lead to warnings and not to a crash.
 """
 
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,32 +27,102 @@ def git(root: str, *args: str) -> str:
 def _log(root: str, since: str | None) -> Iterator[tuple[int, str, int, int, str, str, list[str]]]:
     form = _FIELD.join(("%H", "%at", "%ct", "%an", "%s"))
     span = [f"--since={since}"] if since else []
-    text = git(root, "log", *span, "--no-merges", "--name-only", "-z", f"--pretty=format:{_MARK}{form}{_FIELD}")
+    text = git(root, "log", *span, "--no-merges", "--no-renames", "--name-only", "-z", f"--pretty=format:{_MARK}{form}{_FIELD}")
     for k, part in enumerate(text.split(_MARK)[1:]):
         sha, authored, committed, author, subject, names = part.split(_FIELD, 5)
         yield k, sha, int(authored), int(committed), author, subject, [x for x in names.strip("\n\0").split("\0") if x]
 
 
+def default_branch(root: str) -> str:
+    """The upstream's main branch as a remote name; ``origin/main`` if the remote doesn't say."""
+    return git(root, "symbolic-ref", "--short", "refs/remotes/origin/HEAD").strip() or "origin/main"
+
+
+def _lines(text: str, end: str = "\n") -> list[str]:
+    return [x for x in text.split(end) if x]
+
+
+def _tracked(root: str, _: str) -> Iterator[tuple]:
+    yield from enumerate(_lines(git(root, "ls-files", "-z"), "\0"))
+
+
+def _commits(root: str, since: str) -> Iterator[tuple]:
+    yield from (row[:6] for row in _log(root, since))
+
+
+def _commit_files(root: str, since: str) -> Iterator[tuple]:
+    yield from ((row[1], name) for row in _log(root, since) for name in row[6])
+
+
+def _order(root: str, _: str) -> Iterator[tuple]:
+    yield from enumerate(_lines(git(root, "log", "--pretty=format:%H")))
+
+
+def _added(root: str, _: str) -> Iterator[tuple]:
+    for part in git(root, "log", "--no-renames", "--diff-filter=A", "--name-only", "-z", f"--pretty=format:{_MARK}%H{_FIELD}").split(_MARK)[1:]:
+        sha, names = part.split(_FIELD, 1)
+        yield from ((sha, x) for x in _lines(names.strip("\n\0"), "\0"))
+
+
+def _found(root: str, names: str) -> Iterator[tuple]:
+    for name in names.split(","):
+        if name and (full := git(root, "rev-parse", "--verify", "--quiet", f"{name}^{{commit}}").strip()):
+            yield name, full
+
+
+def _trees(root: str, sha: str) -> Iterator[tuple]:
+    yield from ((sha, x) for x in _lines(git(root, "ls-tree", "-r", "--name-only", "-z", sha), "\0") if sha)
+
+
+def _status(root: str, _: str) -> Iterator[tuple]:
+    yield from ((line[:2], line[3:].strip('"')) for line in _lines(git(root, "status", "--porcelain")))
+
+
+def _diffstat(root: str, _: str) -> Iterator[tuple]:
+    for line in _lines(git(root, "diff", "--numstat", "--no-renames", "-z", "HEAD"), "\0"):
+        more, less, path = line.split("\t", 2)
+        yield path, int(more) if more.isdigit() else None, int(less) if less.isdigit() else None
+
+
+def _ahead(root: str, _: str) -> Iterator[tuple]:
+    for k, line in enumerate(_lines(git(root, "log", f"--pretty=format:%h{_FIELD}%s", f"{default_branch(root)}..HEAD"))):
+        yield k, *line.split(_FIELD, 1)
+
+
+def _branch_files(root: str, _: str) -> Iterator[tuple]:
+    yield from ((x,) for x in _lines(git(root, "diff", "--name-only", "-z", f"{default_branch(root)}...HEAD"), "\0"))
+
+
+#: Rows and schema of each table; ``since`` or the names asked for come in the second argument.
+TABLES: dict[str, tuple[Callable[[str, str], Iterator[tuple]], str]] = {
+    "tracked": (_tracked, "ord long, path string"),
+    "commits": (_commits, "ord long, sha string, at long, committed_at long, author string, subject string"),
+    "commit_files": (_commit_files, "sha string, path string"),
+    "order": (_order, "ord long, sha string"),
+    "added": (_added, "sha string, path string"),
+    "found": (_found, "sha string, full string"),
+    "trees": (_trees, "sha string, path string"),
+    "status": (_status, "code string, path string"),
+    "diffstat": (_diffstat, "path string, added long, deleted long"),
+    "ahead": (_ahead, "ord long, sha string, subject string"),
+    "branch_files": (_branch_files, "path string"),
+}
+
+
+class _Part(InputPartition):
+    def __init__(self, asked: str):
+        self.asked = asked
+
+
 class _Reader(DataSourceReader):
     def __init__(self, kind: str, options: dict[str, str]):
-        self.kind, self.root, self.since = kind, options["root"], options.get("since")
+        self.kind, self.root, self.asked = kind, options["root"], options.get("asked", "")
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        return [_Part(x) for x in (self.asked.split(",") if self.kind == "trees" else [self.asked])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if self.kind == "tracked":
-            yield from enumerate(x for x in git(self.root, "ls-files", "-z").split("\0") if x)
-        elif self.kind == "commits":
-            for k, sha, authored, committed, author, subject, _ in _log(self.root, self.since):
-                yield k, sha, authored, committed, author, subject
-        elif self.kind == "commit_files":
-            for _, sha, _, _, _, _, names in _log(self.root, self.since):
-                yield from ((sha, n) for n in names)
-        else:
-            for line in git(self.root, "status", "--porcelain").split("\n"):
-                if line:
-                    yield line[:2], line[3:].strip('"')
+        yield from TABLES[self.kind][0](self.root, partition.asked)
 
 
 def _source(kind: str, schema: str) -> type[DataSource]:
@@ -69,19 +140,15 @@ def _source(kind: str, schema: str) -> type[DataSource]:
     return Git
 
 
-SCHEMAS = {"tracked": "ord long, path string", "commits": "ord long, sha string, at long, committed_at long, author string, subject string", "commit_files": "sha string, path string", "status": "code string, path string"}
-
-
 def register(spark: SparkSession) -> None:
-    for kind, schema in SCHEMAS.items():
+    for kind, (_, schema) in TABLES.items():
         spark.dataSource.register(_source(kind, schema))
 
 
-def read(spark: SparkSession, root: str, kind: str, since: str | None = None) -> DataFrame:
-    """One of the tables in SCHEMAS; ``since`` is passed to git as it is."""
+def read(spark: SparkSession, root: str, kind: str, asked: str | None = None) -> DataFrame:
+    """One of TABLES. ``asked`` is git's ``--since`` for commits and their files, and the names of commits, by commas, for found commits and trees."""
     register(spark)
-    r = spark.read.format(f"git_{kind}").option("root", root)
-    return (r.option("since", since) if since else r).load()
+    return spark.read.format(f"git_{kind}").option("root", root).option("asked", asked or "").load()
 
 
 def probe(root: str) -> dict[str, object]:

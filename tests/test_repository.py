@@ -92,3 +92,72 @@ def test_stream(spark, tmp_path):
     q = commits.run_available(commits.stale_on_arrival(commits.touched(spark, str(tmp_path / "in")), claims), lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [(r["id"], r["path"]) for r in got] == [("sec", "a")]
+
+
+def _git(root, *a):
+    return subprocess.run(["git", "-C", str(root), "-c", "user.name=Ann O.", "-c", "user.email=a@x", *a], check=True, capture_output=True, text=True).stdout
+
+
+@pytest.fixture(scope="module")
+def branched(tmp_path_factory):
+    """A clone that is behind its upstream and has work of its own: a rename, an added and a changed file, a merge, declared entry points."""
+    top = tmp_path_factory.mktemp("upstream")
+    _git(top, "init", "-q", "-b", "main")
+    for path, text in {"src/a.py": "from src import b\nfrom .gone import x\nimport missing_local.sub\nimport numpy\n", "src/b.py": "x = 1\n", "src/old.py": "y = 1\n" * 9, "tests/test_a.py": "import src.only_tested\n", "src/only_tested.py": "z = 1\n", "missing_local/x.css": "", "docs/x.md": "intro\n# Head of x\n", "package.json": '{"scripts": {"build": "make"}}', "página ñ.py": "q = 1\n"}.items():
+        (top / path).parent.mkdir(parents=True, exist_ok=True)
+        (top / path).write_text(text)
+    _git(top, "add", ".")
+    _git(top, "commit", "-qm", "one")
+    root = tmp_path_factory.mktemp("clones") / "demo"
+    _git(top, "clone", "-q", str(top), str(root))
+    (top / "src/newer.py").write_text("w = 1\n")
+    _git(top, "add", ".")
+    _git(top, "commit", "-qm", "upstream only")
+    _git(root, "fetch", "-q")
+    _git(root, "checkout", "-qb", "work")
+    _git(root, "mv", "src/old.py", "src/renamed.py")
+    (root / "src/fresh.py").write_text("v = 1\n")
+    _git(root, "add", ".")
+    _git(root, "commit", "-qm", "own work API_TOKEN=abcdef123")
+    _git(root, "branch", "-q", "--set-upstream-to", "origin/main")
+    (root / ".loomgraph").mkdir()
+    (root / ".loomgraph/surfaces.txt").write_text("src/a.py cron # why\n./página ñ.py\ngone.py x\n")
+    (root / "src/b.py").write_text("x = 2\n")
+    return root
+
+
+def test_points_in_time(spark, branched):
+    first = _git(branched, "rev-list", "--max-parents=0", "HEAD").strip()
+    text = f'<!-- loom:section id="old" sha="{first[:8]}" files="src/old.py, src/b.py" -->\n<!-- loom:section id="typo" sha="{first[:8]}" files="src/b.py, src/never.py" -->\n<!-- loom:section id="x" sha="{first}" files="docs/**" -->\n'
+    found = refresh.refresh(spark, str(branched), text)
+    # src/old.py is gone now but was there at the stamp; src/never.py is at neither end
+    assert [(r["id"], r["why"]) for r in found["unverifiable"].collect()] == [("typo", "no such file: src/never.py")]
+    assert [(r["id"], r["changed"]) for r in found["stale"].collect()] == [("old", ["src/old.py"])]
+    assert {r["path"] for r in found["added"].collect()} == {"src/renamed.py", "src/fresh.py"}
+    assert {r["path"] for r in found["uncovered"].collect()} > {"src/a.py", "src/renamed.py", "src/fresh.py"}
+
+
+def test_activity_digest(spark, branched):
+    requests = spark.createDataFrame([(7, "Newer", "bo", "merged", "2026-01-02", "Why so\n\nbecause"), (8, "Later", "cy", "open", "2026-01-03", None)], "id long, title string, author string, state string, at string, body string")
+    files = spark.createDataFrame([(7, "src/newer.py", 1, 0), (7, "src/a.py", 2, 3)], "id long, path string, added long, deleted long")
+    text = refresh.recon(spark, str(branched), since="10 years ago", author="ann", requests=requests, request_files=files)
+    for part in ("behind 1", "1 commits behind", "- M src/b.py", "- src/b.py +1 -1", "own work API_TOKEN=***", "src/fresh.py", "#8 Later (cy", "### #7 Newer", "  - src/a.py (+2/-3)", "  > because", "not in this checkout\n- src/newer.py", "docs/x.md: Head of x", "build: make"):
+        assert part in text, part
+    assert "## Merges" in refresh.recon(spark, str(branched), since="10 years ago")
+
+
+def test_scan_digest(spark, branched, tmp_path):
+    config = scan.ScanConfig(str(branched), since="10 years ago", author="ann")
+    result = scan.scan_repository(spark, config)
+    kinds = {r["path"]: r["kind"] for r in result.surfaces.collect()}
+    assert kinds["src/a.py"] == "cron" and kinds["página ñ.py"] == "declared" and kinds["tests/test_a.py"] == "test"
+    health = result.counts.first()
+    assert health["unresolved"] == 2  # .gone and missing_local, which is a folder here; numpy is a package of others
+    assert {(r["head"], r["n"]) for r in result.heads.collect()} == {(".gone", 1), ("missing_local", 1)}
+    scan.write_report(result, str(tmp_path), config, "2026-01-01T00:00:00Z")
+    digest = (tmp_path / "scan.md").read_text()
+    parts = digest.split("## ")
+    of = {p.split("\n")[0]: p for p in parts}
+    assert "src/only_tested.py (imported by 1)" in of["Reached only from tests"] and "src/fresh.py" in of["Imported by nothing"]
+    assert "cron (1): src/a.py" in of["Surfaces"] and "test" not in of["Surfaces"].replace("tests", "")
+    assert "src/a.py → 1 → src/b.py" in of["From surfaces to these"] and "src/a.py (1" in of["Yours"] and "missing_local (1)" in digest
