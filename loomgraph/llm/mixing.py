@@ -40,14 +40,14 @@ def _small_hash(c: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, rows: int, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, cap: float = 2.0, seed: str = "mix", bucket_rows: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, rows: int, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, cap: float = 2.0, seed: str = "mix", bucket_rows: int = 2_000) -> DataFrame:
     """Adds size, source_size, target and copies to ``(doc_id, source, size)`` rows.
 
     A document of a source is expected ``target / source_size`` times, at most ``cap``. Documents of a source lie in
     the order of their size class (bit length), a bucket by a hash of doc_id and size, their size and doc_id; a document is emitted once for
     each integer that the running sum of expected copies, plus one offset for each source, crosses. Because the order
     goes by size, the words taken stay within about one document of the target. The running sum is the place times
-    the rate, so the place alone is needed: counts of (source, class, bucket) are summed up over buckets and rows are
+    the rate, so the place alone is needed: counts are summed up over the classes of a source and over the buckets of a class, and rows are
     numbered inside their own bucket only. ``rows`` (the row count) sets the number of buckets, about ``bucket_rows``
     rows each, so that a source with most rows, or a doc_id that many rows of different sizes share, is spread over many tasks. Null sources make a source of their own,
     null doc_ids come first, tied rows are interchangeable, documents without words are never taken.
@@ -57,11 +57,15 @@ def mix(docs: DataFrame, rows: int, weights: Sequence[float] = (3, 1, 2), total_
     d = d.withColumn("class", F.length(F.bin("size"))).withColumn("bucket", _small_hash(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("size").cast("string"))) % buckets)
     key = ["source", "class", "bucket"]
     counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    earlier = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda *by: F.coalesce(F.sum("n").over(before(*by)), F.lit(0))
+    classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("class_start", sum_before("source", "class")).drop("n")
     targets = source_targets(counts, weights, total_share, cap)
-    same_source = F.col("s.source").eqNullSafe(F.col("t.source"))
-    plan = starts.alias("s").join(targets.alias("t"), same_source).select("s.source", "class", "bucket", "start", "source_size", "target")
+    of_source = classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.*", "source_size", "target")
+    starts = counts.withColumn("inside", sum_before("source", "class", "bucket"))
+    same_class = F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.class") == F.col("o.class"))
+    start = (F.col("class_start") + F.col("inside")).alias("start")
+    plan = starts.alias("s").join(of_source.alias("o"), same_class).select("s.source", "s.class", "bucket", start, "source_size", "target")
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     # 16 bits, so that adding whole numbers to it is exact
     plan = plan.withColumn("offset", (_small_hash(F.concat(F.lit(seed + "/"), F.coalesce("source", F.lit("\x00")))) % 65536) / F.lit(65536.0))

@@ -96,7 +96,7 @@ FROM ranked GROUP BY conv_id
 OP2 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
-), n AS (SELECT greatest(1, ceil(count(*) / 50000.0))::BIGINT AS buckets FROM d
+), n AS (SELECT greatest(1, ceil(count(*) / 2000.0))::BIGINT AS buckets FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source
 ), o AS (
