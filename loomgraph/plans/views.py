@@ -68,7 +68,3 @@ EDGES = """v_edges AS (SELECT src, dst, bool_or(event_id % 70 <> 0) AS is_value,
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").alias("id")).distinct()
-
-
-def sections(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), epoch(F.col("o_orderdate")).alias("stamped"), "o_orderstatus")

@@ -161,3 +161,27 @@ def test_scan_digest(spark, branched, tmp_path):
     assert "src/only_tested.py (imported by 1)" in of["Reached only from tests"] and "src/fresh.py" in of["Imported by nothing"]
     assert "cron (1): src/a.py" in of["Surfaces"] and "test" not in of["Surfaces"].replace("tests", "")
     assert "src/a.py → 1 → src/b.py" in of["From surfaces to these"] and "src/a.py (1" in of["Yours"] and "missing_local (1)" in digest
+
+
+def test_running_churn(spark, tmp_path):
+    """Touches of two triggers add up by day; a row behind the watermark no longer counts."""
+    from loomgraph.streaming import commits
+
+    def land(name, rows):
+        spark.createDataFrame(rows, "sha string, path string, at string, author string").selectExpr("sha", "path", "timestamp(at) at", "author").coalesce(1).write.parquet(str(tmp_path / "new" / name))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for k, f in enumerate((tmp_path / "new" / name).glob("*.parquet")):
+            f.rename(tmp_path / "in" / f"{name}-{k}.parquet")
+
+    got: dict = {}
+
+    def run():
+        churn = commits.running_churn(commits.touched(spark, str(tmp_path / "in")))
+        q = commits.run_available(churn, lambda b, _: got.update({(str(r["window"]["start"])[:10], r["path"]): (r["churn"], r["authors"]) for r in b.collect()}), str(tmp_path / "ck"), "update")
+        assert q.awaitTermination(120) and q.exception() is None
+
+    land("a", [("1", "x", "2026-01-01 01:00", "p"), ("2", "x", "2026-01-01 02:00", "q"), ("3", "y", "2026-01-09 00:00", "p")])
+    run()
+    land("b", [("4", "y", "2026-01-09 05:00", "p"), ("5", "x", "2026-01-01 03:00", "r")])
+    run()
+    assert got == {("2026-01-01", "x"): (2, 2), ("2026-01-09", "y"): (2, 1)}
