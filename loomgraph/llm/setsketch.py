@@ -280,7 +280,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch: SetSketch | None = None, broadcast_rows: int = 1_000_000, tile: int = 768, task_rows: int = 50_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch: SetSketch | None = None, broadcast_rows: int = 1_000_000, tile: int = 384, task_rows: int = 50_000) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, row_key)`` for every row of ``docs(doc_id, text)``.
 
     Documents with ``100 * intersection >= percent * union`` of their shingle sets are linked; component_id is the smallest
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
     classes are compared by registers: first every class gives its few nearest partners, whose links join nearly all of
     a group of near copies, so such a group costs a few verifications for each member; then every pair that is still in different
     components and may reach the threshold by the joint likelihood is compared where it lies, on short hash sets, so that only
-    links leave a task. All are settled on full sets. The first pass cuts large buckets into blocks (a third of ``tile``) that meet none but themselves, dealt
+    links leave a task. All are settled on full sets. The first pass cuts large buckets into blocks (half of ``tile``) that meet none but themselves, dealt
     anew in each band; the second leaves out pairs of a bucket's commonest component.
     Texts of classes in shared buckets are fetched once, by a broadcast of their keys if those are at most ``broadcast_rows``, else by
     a shuffle. All tables are written to the shared folder and deleted once no step reads them, but the two that the result is
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, sketch:
     keys = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = written(docs.select(row_key(), "text").join(keys, "row_key").dropDuplicates(["c"]).select("c", "text"), "texts")
     alone = shared.join(sketched, "c").withColumn("root", F.col("c")).withColumn("items", F.lit(None).cast("binary"))
-    near = written(_compared(alone, sketch, threshold, nearest=2, tile=max(2, tile // 3), within=True, tasks=shared.count() // task_rows), "pairs")
+    near = written(_compared(alone, sketch, threshold, nearest=2, tile=max(2, tile // 2), within=True, tasks=shared.count() // task_rows), "pairs")
     links = written(_verified(near, texts, percent, words), "links")
     roots = components(links)
 
