@@ -402,8 +402,9 @@ def hotspot_score(spark: SparkSession, sf: str) -> DataFrame:
     c = views.commits(spark, sf)
     rank = graph.pagerank(views.nodes(spark, sf), e.where("is_value"))
     churned = c.groupBy(F.col("path").alias("id")).agg(F.count(F.lit(1)).alias("churn"), F.max("at").alias("last_touch"), F.count_if(F.col("author") % 10 == 1).alias("my_churn"))
-    t = _indented(F.col("content"))
-    d = views.files(spark, sf).select(F.col("doc_id").alias("id"), files.loc(t).alias("loc"), files.decisions(t, F.col("ext")).alias("complexity"), files.max_depth(t).alias("max_depth"))
+    t = F.col("t")
+    d = views.files(spark, sf).select("doc_id", "ext", _indented(F.col("content")).alias("t"))
+    d = d.select(F.col("doc_id").alias("id"), files.loc(t).alias("loc"), files.decisions(t, F.col("ext")).alias("complexity"), files.max_depth(t).alias("max_depth"))
     rows = d.join(rank, "id", "left").join(graph.fan(e), "id", "left").join(churned, "id", "left")
     as_of = c.agg(F.max("at")).first()[0]
     scored = scoring.hotspots(rows, F.lit(as_of)).select("id", F.round("score", 7).alias("score"), "why")
