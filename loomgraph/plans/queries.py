@@ -642,12 +642,12 @@ def missing_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(
-    """WITH u AS (SELECT DISTINCT user_id AS path FROM events WHERE user_id % 3 <> 0), o AS (SELECT max(event_id) AS oldest FROM events WHERE event_id % 97 = 0),
-a AS (SELECT user_id AS path, min(event_id) AS ord FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT path FROM u WHERE path IN (SELECT path FROM a, o WHERE ord < oldest)"""
+    """WITH u AS (SELECT DISTINCT user_id AS path FROM events), o AS (SELECT max(event_id) AS oldest FROM events WHERE event_type = 'signup'),
+a AS (SELECT user_id AS path, min(event_id) AS ord FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT path FROM u WHERE path IN (SELECT path FROM a, o WHERE ord < oldest)"""
 )
 def added_since(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("sha"))
-    stamps = e.where("ord % 97 = 0").select(F.lit("s").alias("id"), "sha")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("sha"), "event_type")
+    stamps = e.where("event_type = 'signup'").select(F.lit("s").alias("id"), "sha")
     oldest = staleness.oldest_stamp(stamps, e.select("ord", "sha"))
-    first = e.where("path % 2 = 0").groupBy("path").agg(F.min("ord").alias("ord"))
-    return staleness.added_since(e.where("path % 3 <> 0").select("path").distinct(), first, oldest)
+    first = e.where("event_type = 'purchase'").groupBy("path").agg(F.min("ord").alias("ord"))
+    return staleness.added_since(e.select("path").distinct(), first, oldest)
