@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, setsketch, style_tree, toxicity, vectors, warc
+from . import chat, clusters, exact_dedup, mixing, packing, quality, repeats, setsketch, style_tree, toxicity, vectors, warc
 from .common import small_batches, table, written
 
 
@@ -69,8 +69,18 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 finite components with its cluster; see ``clusters.clusters``."""
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages that an earlier one holds; see ``repeats.without_repeats``."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat, op2_mixing, op3_html, op4_warc, op5_exact_dedup, op6_packing, op7_quality, op8_near_dedup, op9_toxicity, op10_vectors)
+    own = (op1_chat, op2_mixing, op3_html, op4_warc, op5_exact_dedup, op6_packing, op7_quality, op8_near_dedup, op9_toxicity, op10_vectors, op12_clusters, op13_repeats)
     return {f.__name__: f for f in own}
 
 
@@ -131,5 +141,28 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
 """
 
 
+def _op12(k: int = 16, rounds: int = 3) -> str:
+    """The rounds of ``clusters`` written out: assignment a and centroids c of each."""
+    near = "SELECT vec_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT vec_id, k, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{n} c) GROUP BY vec_id"
+    mean = "SELECT k, list(m ORDER BY i) AS q FROM (SELECT k, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT a.k, unnest(v.q) AS x, generate_subscripts(v.q, 1) AS i FROM a{n} a JOIN v USING (vec_id)) GROUP BY k, i) GROUP BY k"
+    out = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, q FROM v QUALIFY k < """ + f"{k})"
+    for n in range(rounds):
+        out += f",\na{n} AS ({near.format(n=n)}), m{n} AS ({mean.format(n=n)}), c{n + 1} AS (SELECT k, coalesce(m.q, c.q) AS q FROM c{n} c LEFT JOIN m{n} m USING (k))"
+    return out + f""",\na{rounds} AS ({near.format(n=rounds)})
+SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+x AS (SELECT doc_id, p, n, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS span FROM t),
+g AS (SELECT doc_id, p, word, p + 12 <= n AND min(doc_id) OVER (PARTITION BY span, p + 12 <= n) < doc_id AS starts FROM x),
+k AS (SELECT doc_id, p, word, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM g),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1, "op2_mixing": OP2, "op4_warc": OP4, "op5_exact_dedup": OP5}
+    return {"op1_chat": OP1, "op2_mixing": OP2, "op4_warc": OP4, "op5_exact_dedup": OP5, "op12_clusters": _op12(), "op13_repeats": OP13}
