@@ -43,6 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, for frames that no one runs again: the shuffle files of the write go with its end, not with the driver's next garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = df.sparkSession.conf.get(key, None)
+    df.sparkSession.conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        df.sparkSession.conf.set(key, before) if before is not None else df.sparkSession.conf.unset(key)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables from ``written`` that no later step reads."""
     for t in tables:

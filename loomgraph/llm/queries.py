@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clusters, exact_dedup, mixing, packing, quality, repeats, setsketch, style_tree, toxicity, vectors, warc
+from . import alignment, chat, clusters, exact_dedup, mixing, packing, quality, repeats, setsketch, style_tree, toxicity, vectors, warc
 from .common import small_batches, table, written
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its groups of aligned tokens and its links' counts; see ``alignment.align``."""
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *map(tokenizer_path, names))
+
+
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector of 64 finite components with its cluster; see ``clusters.clusters``."""
     return clusters.clusters(table(spark, sf_dir, "embeddings"))
@@ -80,7 +86,7 @@ def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat, op2_mixing, op3_html, op4_warc, op5_exact_dedup, op6_packing, op7_quality, op8_near_dedup, op9_toxicity, op10_vectors, op12_clusters, op13_repeats)
+    own = (op1_chat, op2_mixing, op3_html, op4_warc, op5_exact_dedup, op6_packing, op7_quality, op8_near_dedup, op9_toxicity, op10_vectors, op11_alignment, op12_clusters, op13_repeats)
     return {f.__name__: f for f in own}
 
 
