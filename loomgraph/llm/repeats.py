@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, written
+from .common import discard, settled, small_batches
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -133,7 +133,7 @@ class CountMin:
         return left
 
 
-def _estimated(texts: DataFrame, sketch: CountMin, size: int, flush: int = 4_000_000) -> DataFrame:
+def _estimated(texts: DataFrame, sketch: CountMin, size: int, flush: int = 2_000_000) -> DataFrame:
     """``(row, slab, bits)``: a bit for each cell that at least two documents' windows fall on, from the merged sketches of all partitions.
 
     A task keeps the hash values of at most about ``flush`` windows; a merging task streams through the partial sketches of one slab at a time.
@@ -185,14 +185,14 @@ def without_repeats(docs: DataFrame, size: int = 13, most_cells: int = 1 << 28)
     documents share is in no single task.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000, 8 << 20)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     text = docs.select("text")
     n = (text.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // 6  # about so many words
     sketch = CountMin(min(most_cells, max(1 << 16, 1 << (2 * n).bit_length())))
     bits = np.zeros((sketch.rows, (sketch.cells + 7) // 8), np.uint8)
-    slabs = written(_estimated(text, sketch, size), "slabs")
-    for r in slabs.toLocalIterator() if n < 1000 else slabs.collect():
+    slabs = settled(_estimated(text, sketch, size), "slabs")
+    for r in slabs.toLocalIterator():  # a few files' slabs at a time
         bits[r["row"], r["slab"] * sketch.slab // 8 :][: sketch.slab // 8] = np.frombuffer(r["bits"], np.uint8)
     discard(slabs)
     shared = spark.sparkContext.broadcast(bits)
@@ -217,9 +217,9 @@ def without_repeats(docs: DataFrame, size: int = 13, most_cells: int = 1 << 28)
     found = rows.mapInArrow(candidates, "one long, two long, doc_id long, text_hash long, place int")
     least = F.min("doc_id").alias("least")
     repeated = found.groupBy("one", "two").agg(least, F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("least < most OR least IS NOT NULL AND unnamed").select("one", "two", "least")
-    repeated = written(repeated, "repeated")
+    repeated = settled(repeated, "repeated")
     later = found.join(repeated, ["one", "two"]).where("doc_id IS NULL OR doc_id > least")
-    removed = written(later.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places")), "removed")
+    removed = settled(later.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places")), "removed")
     discard(repeated)
     shared.destroy()
 
