@@ -1,138 +1,126 @@
-"""Graph operators. Small graphs are settled in one task; larger ones by driver loops over DataFrames, whose rounds are written to the shared folder."""
+"""Graph operators: driver loops over DataFrames, whose rounds are written to the shared folder. No step gathers a graph, whatever its size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+import posixpath
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import counted, discard, written
+from ..plans.storage import counted, discard, shared_dir, written
 
-#: Edges that one task takes, some hundred megabytes there; graphs of source repositories seldom have more.
-SMALL = 1_000_000
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """``(id, fan_out, fan_in)`` from distinct ``edges(src, dst)``, summed up before anything is shuffled; nodes without edges are absent."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("end")
+    return edges.select(ends).groupBy("end.id").agg(F.sum("end.out").alias("fan_out"), F.sum("end.into").alias("fan_in"))
 
-def fan(edges: DataFrame) -> DataFrame:
-    """``(id, fan_out, fan_in, imported_by)`` from distinct ``edges(src, dst)``; nodes without edges are absent."""
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("fan_out"))
-    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"), F.sort_array(F.collect_list("src")).alias("imported_by"))
-    return out.join(into, "id", "full").select("id", F.coalesce("fan_out", F.lit(0)).alias("fan_out"), F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("imported_by", F.array().cast(into.schema["imported_by"].dataType)).alias("imported_by"))
-
-
-def _together(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``work`` over all rows of a small table at once, in one task."""
-
-    columns = rows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        yield work(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns))
-
-    return rows.repartition(1).mapInPandas(run, schema)
+def fan(edges: DataFrame) -> DataFrame:
+    """``(id, fan_out, fan_in, imported_by)`` from distinct ``edges(src, dst)``: the degrees and every importer's name. For reports; ``degrees`` has the counts alone."""
+    into = edges.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_list("src")).alias("imported_by"))
+    return degrees(edges).join(into, "id", "left").select("id", "fan_out", "fan_in", F.coalesce("imported_by", F.array().cast(into.schema["imported_by"].dataType)).alias("imported_by"))
 
 
 def _kind(frame: DataFrame, column: str) -> str:
     return frame.schema[column].dataType.simpleString()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, small: int = SMALL) -> DataFrame:
+def _bucketed(links: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """A table in the shared folder, dealt into buckets by ``keys`` as a shuffle would deal them, so that joins on them leave it where it is."""
+    spark = links.sparkSession
+    name = f"loomgraph_links_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = links.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", posixpath.join(shared_dir(spark), name)).saveAsTable(name)
+    return spark.table(name), name
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, stride: int = 6, most_links: int | None = None) -> DataFrame:
     """``(id, rank)``: fixed iterations from 1/n; dangling mass is spread evenly; edges from or to unknown nodes are ignored.
 
-    A graph of at most ``small`` nodes and edges is ranked in one task. Beyond, each iteration is linear in the ranks, and what it adds to all
-    nodes alike is one number. So only the powers of the link matrix applied to ones are computed, a join and a map-side combined aggregation each over
-    nodes that are still reached; their totals give the coefficients of every power on the driver, and one last aggregation adds them up.
+    An iteration is linear in the ranks, and what it adds to all nodes alike is one number. So only the powers of the link matrix applied to ones are computed,
+    and their totals, one number each, give the coefficients of all powers on the driver; one last aggregation adds them up.
+
+    Links lie in buckets by source. A power comes out of its aggregation dealt the same way, so an iteration shuffles its messages alone, combined by target before. ``stride``
+    iterations are one job and one written table. A source with more than ``most_links`` links (a quarter of a bucket's share if unset, so
+    there are few such sources) has them spread over buckets by a salt, and its value is sent to each.
     """
-    ids, n = counted(nodes.select("id").distinct(), "nodes")
-    links, m = counted(edges.select("src", "dst").distinct(), "links")
-    if n + m <= small:
-
-        def work(f: pd.DataFrame) -> pd.DataFrame:
-            node = f["node"].to_numpy(bool)
-            index = pd.Index(f["src"][node])
-            src, dst = index.get_indexer(f["src"][~node]), index.get_indexer(f["dst"][~node])
-            src, dst = src[known := (src >= 0) & (dst >= 0)], dst[known]
-            degree, size = np.bincount(src, minlength=len(index)), max(1, len(index))
-            rank = np.full(len(index), 1 / size)
-            for _ in range(iterations):
-                sent = np.bincount(dst, rank[src] / degree[src], len(index))
-                rank = (1 - damping) / size + damping * (sent + rank[degree == 0].sum() / size)
-            return pd.DataFrame({"id": index, "rank": rank})
-
-        both = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("node")).unionByName(links.withColumn("node", F.lit(False)))
-        return written(_together(both, work, f"id {_kind(ids, 'id')}, rank double"), "ranks")
-    known = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    spark = nodes.sparkSession
+    ids = written(nodes.select("id").distinct(), "nodes")
+    n = ids.count()
+    known = edges.select("src", "dst").distinct()
+    known = known.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    known = written(known, "known")
     degree = known.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    weighed = written(known.join(degree, "src"), "weighed")  # joins with it are plain shuffles, so a hub's links can be split
-    power = written(ids.withColumn("x", F.lit(1.0)), "power")
-    powers = [power]
-    for _ in range(iterations):
-        sent = weighed.join(powers[-1].select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") / F.col("degree")).alias("x"))
-        powers.append(written(sent, "power"))
-    every = reduce(DataFrame.unionByName, [p.withColumn("power", F.lit(k)) for k, p in enumerate(powers)])
+    all_links, largest = degree.agg(F.coalesce(F.sum("degree"), F.lit(0)), F.coalesce(F.max("degree"), F.lit(0))).first()
+    most_links = most_links or max(1000, all_links // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = F.ceil(F.col("degree") / most_links).cast("int")
+    hubs = degree.where(F.col("degree") > most_links).select(F.col("src").alias("id"), salts.alias("salts"))
+    keys = ["src", "salt"] if largest > most_links else ["src"]
+    weighed = known.join(degree, "src").select("src", "dst", (1 / F.col("degree")).alias("weight"), F.pmod(F.xxhash64("dst"), salts).cast("int").alias("salt"))
+    links, name = _bucketed(weighed.select(*keys, "dst", "weight"), keys)
+    links.written_to = posixpath.join(shared_dir(spark), name)
+    whole = links.where("src IS NOT NULL AND dst IS NOT NULL")  # said at once, each power's shuffle is the same wherever it is read, and runs once
+    power, powers = ids.withColumn("x", F.lit(1.0)), []
+    spread = "(SELECT /*+ BROADCAST(h) */ q.id, x, explode(sequence(0, coalesce(salts, 1) - 1)) AS salt FROM p{0} q LEFT JOIN {{hubs}} h ON q.id = h.id)" if "salt" in keys else "p{0}"
+    met = " AND ".join(["l.src = p.id", "l.salt = p.salt"][: len(keys)])
+    for first in range(0, iterations, stride):
+        last = min(first + stride, iterations)
+        steps = [f"p{k + 1} AS (SELECT l.dst AS id, sum(p.x * l.weight) AS x FROM {{links}} l JOIN {spread.format(k)} p ON {met} GROUP BY l.dst)" for k in range(first, last)]
+        union = " UNION ALL ".join(f"SELECT id, x, {k + 1} AS power FROM p{k + 1}" for k in range(first, last))
+        used = {"links": whole, "power": power} | ({"hubs": hubs} if "salt" in keys else {})
+        powers.append(written(spark.sql(f"WITH p{first} AS (SELECT id, x FROM {{power}}), {', '.join(steps)} {union}", **used), "powers"))
+        power = powers[-1].where(F.col("power") == last).select("id", "x")
+    every = reduce(DataFrame.unionByName, powers, ids.withColumns({"x": F.lit(1.0), "power": F.lit(0)}))
     total = {r["power"]: r["s"] for r in every.groupBy("power").agg(F.sum("x").alias("s")).collect()}
-    share = [1.0 / max(1, n)]
+    part = [1.0 / max(1, n)]
     for _ in range(iterations):
-        lost = 1 - sum(a * total.get(k + 1, 0.0) for k, a in enumerate(share))
-        share = [(1 - damping + damping * lost) / max(1, n), *(damping * a for a in share)]
-    of_power = F.element_at(F.array(*[F.lit(a) for a in share]), F.col("power") + 1)
+        lost = 1 - sum(a * total.get(k + 1, 0.0) for k, a in enumerate(part))
+        part = [(1 - damping + damping * lost) / max(1, n), *(damping * a for a in part)]
+    of_power = F.element_at(F.array(*[F.lit(a) for a in part]), F.col("power") + 1)
     ranks = written(every.groupBy("id").agg(F.sum(of_power * F.col("x")).alias("rank")), "ranks")
-    discard(ids, links, weighed, *powers)
+    spark.sql(f"DROP TABLE {name}")
+    discard(ids, known, links, *powers)
     return ranks
 
 
-def hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_seeds: int = 3, small: int = SMALL) -> DataFrame:
+def _smallest(rows: DataFrame, most: int) -> DataFrame:
+    """``(id, hops, via)``: the ``most`` smallest seeds of each id in ``rows(id, hops, seed)``. Every batch keeps its smallest ones only, so what is shuffled and gathered of an id doesn't grow with its rows."""
+
+    def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            yield f.drop_duplicates(["id", "seed"]).sort_values(["id", "seed"]).groupby("id", sort=False).head(most)
+
+    parts = rows.mapInPandas(combined, rows.schema)
+    return parts.groupBy("id").agg(F.min("hops").alias("hops"), F.slice(F.array_sort(F.collect_set("seed")), 1, most).alias("via"))
+
+
+def hops(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most_seeds: int = 3) -> DataFrame:
     """``(id, hops, via)``: level of a breadth-first search from all seeds at once, null where unreachable, and at most three seeds that lead there.
 
     Seeds reach a node only through parents one level up; of several the smallest ids stay, so the result doesn't depend on
-    any order of visits. A graph of at most ``small`` edges is searched in one task. Beyond, a level is one join with the frontier, and the loop ends
-    when the frontier is empty; the seeds of a node are cut to the smallest in parts first, so no hub's are in one task.
+    any order of visits. A level is one join with the frontier, and the loop ends when the frontier is empty.
     """
-    links, m = counted(edges.select("src", "dst").distinct(), "links")
-    first = seeds.select("id").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("via"))
-    if m <= small:
-        kind = _kind(links, "src")
-
-        def work(f: pd.DataFrame) -> pd.DataFrame:
-            seed = f["seed"].to_numpy(bool)
-            after: dict = {}
-            for a, b in zip(f["src"][~seed], f["dst"][~seed], strict=True):
-                after.setdefault(a, []).append(b)
-            level = dict.fromkeys(f["src"][seed], 0)
-            via, front, k = {s: [s] for s in level}, list(level), 0
-            while front:
-                k += 1
-                found: dict = {}
-                for a in front:
-                    for b in after.get(a, ()):
-                        if b not in level:
-                            found.setdefault(b, set()).update(via[a])
-                for b, through in found.items():
-                    level[b], via[b] = k, sorted(through)[:most_seeds]
-                front = list(found)
-            return pd.DataFrame({"id": list(level), "hops": list(level.values()), "via": [via[x] for x in level]})
-
-        both = first.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("seed")).unionByName(links.withColumn("seed", F.lit(False)))
-        seen = written(_together(both, work, f"id {kind}, hops int, via array<{kind}>"), "seen")
-    else:
-        front, left = counted(first, "front")
-        fronts, seen = [front], None
-        while left:
-            old, seen = seen, front if seen is None else written(seen.unionByName(front), "seen")
-            step = links.join(front.select(F.col("id").alias("src"), "hops", "via"), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-            each = step.select(F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops"), F.explode("via").alias("seed")).distinct()
-            for part in (["id", "part"], ["id"]):
-                place = F.row_number().over(Window.partitionBy(*part).orderBy("seed"))
-                each = each.withColumn("part", F.pmod(F.xxhash64("seed"), F.lit(64))).withColumn("place", place).where(F.col("place") <= most_seeds).drop("place", "part")
-            front, left = counted(each.groupBy("id", "hops").agg(F.sort_array(F.collect_list("seed")).alias("via")), "front")
-            fronts.append(front)
-            if old is not None and old.written_to != fronts[0].written_to:
-                discard(old)
-        seen = front if seen is None else seen
-    return nodes.select("id").distinct().join(seen, "id", "left").select("id", "hops", F.coalesce("via", F.array().cast(seen.schema["via"].dataType)).alias("via"))
+    links = written(edges.select("src", "dst").distinct(), "links")
+    front, left = counted(seeds.select("id").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("via")), "front")
+    seen = [front]
+    while left:
+        step = links.join(front.select(F.col("id").alias("src"), "hops", "via"), "src").join(reduce(DataFrame.unionByName, [s.select(F.col("id").alias("dst")) for s in seen]), "dst", "left_anti")
+        each = step.select(F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops"), F.explode("via").alias("seed"))
+        front, left = counted(_smallest(each, most_seeds), "front")
+        seen.append(front)
+        if len(seen) > 16:
+            old, seen = seen, [written(reduce(DataFrame.unionByName, seen), "seen")]
+            front = seen[0].where(F.col("hops") == front.agg(F.max("hops")).first()[0])
+            discard(*old)
+    found = reduce(DataFrame.unionByName, seen)
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", "hops", F.coalesce("via", F.array().cast(front.schema["via"].dataType)).alias("via"))
 
 
 def _tarjan(f: pd.DataFrame) -> pd.DataFrame:
@@ -172,25 +160,69 @@ def _tarjan(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "component"])
 
 
-def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def _contracted(live: DataFrame, chunks: int, turn: int) -> tuple[DataFrame, int, DataFrame]:
+    """Edges after each task has merged the components among its own, how many are left, and ``(was, now)`` of every merged node.
+
+    Edges are dealt by the unordered pair of their ends. Nodes that one task joins are in one component of the whole graph. A node joined in several tasks takes
+    the smallest name, and names that belong together by then are tied by edges both ways, which the next turn merges.
+    """
+    kind = _kind(live, "src")
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            yield _tarjan(pd.concat(parts, ignore_index=True))
+
+    pair = F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(turn))
+    merged = written(live.repartition(chunks, pair).mapInPandas(merge, f"id {kind}, component {kind}"), "merged")
+    names = written(merged.groupBy(F.col("id").alias("was")).agg(F.min("component").alias("now")), "names")
+
+    def named(frame: DataFrame, column: str) -> DataFrame:
+        return frame.join(names.withColumnRenamed("was", column), column, "left").withColumn(column, F.coalesce("now", column)).drop("now")
+
+    ties = named(named(merged.select(F.col("id").alias("src"), F.col("component").alias("dst")), "src"), "dst")
+    left = named(named(live, "src"), "dst").select("src", "dst").unionByName(ties.select("src", "dst")).unionByName(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    out, n = counted(left.where("src <> dst").distinct(), "live")
+    discard(merged)
+    return out, n, names
+
+
+def strong_components(edges: DataFrame, most: int = 500_000, least: int = 2_000) -> DataFrame:
     """``(id, component)`` of every node of a strongly connected component with more than one node; the component is its smallest id.
 
-    A graph of at most ``small`` edges is taken apart in one task. Beyond, by colouring: nodes without an edge in or out are trimmed away, the
-    smallest reachable-from id is spread forward, and from every root the nodes of its colour that reach it backward make one component and leave the graph.
-    Each round is one write, which counts what is left as well.
+    First the graph is contracted by partitions: every task merges the components among its own edges, at most about ``most`` (and, as long as all
+    cores have work, not fewer than ``least``), and passes the rest on under the merged names, until nothing shrinks. What is left then is taken apart by
+    colouring: nodes without an edge in or out are trimmed away, the smallest reachable-from name is spread forward, and from every
+    root the nodes of its colour that reach it backward make one component and leave the graph.
     """
-    kind = _kind(edges, "src")
+    spark = edges.sparkSession
     live, left = counted(edges.where("src <> dst").select("src", "dst").distinct(), "live")
-    if left <= small:
-        return written(_together(live, _tarjan, f"id {kind}, component {kind}"), "components")
-    done = None
+    names = written(live.select(F.col("src").alias("id")).union(live.select("dst")).distinct().withColumn("name", F.col("id")), "names")
+    turn, before = 0, None
+    while left and (before is None or left < 0.8 * before):
+        chunks = max(math.ceil(left / most), min(spark.sparkContext.defaultParallelism, math.ceil(left / least)))
+        old, before, turn = (live, names), left, turn + 1
+        live, left, moved = _contracted(live, chunks, turn)
+        names = written(names.join(moved.withColumnRenamed("was", "name"), "name", "left").select("id", F.coalesce("now", "name").alias("name")), "names")
+        discard(*old, moved)
+        if chunks == 1:
+            left = 0  # one task has seen all edges
+    if left:
+        coloured = _coloured(live, left)
+        names = names.join(coloured.select(F.col("id").alias("name"), "component"), "name", "left").select("id", F.coalesce("component", "name").alias("name"))
+    sizes = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("component")).where("n > 1")
+    return written(names.join(sizes, "name").select("id", "component"), "components")
+
+
+def _coloured(live: DataFrame, left: int) -> DataFrame:
+    """``(id, component)`` by colouring, single nodes included if they were not trimmed. Each round is one write, which counts what is left as well."""
+    done = live.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
     while left:
         before = None
         while left and left != before:
             inner = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-            old, before = live, left
+            before = left
             live, left = counted(live.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live")
-            discard(old)
         if not left:
             break
         colour, moved = written(live.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour"), 1
@@ -205,13 +237,10 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
             back = same.join(front.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
             front, more = counted(back.join(reached, ["id", "colour"], "left_anti"), "front")
             reached = written(reached.unionByName(front), "reached") if more else reached
-        done = reached if done is None else done.unionByName(reached)
+        done = done.unionByName(reached.withColumnRenamed("colour", "component"))
         gone = reached.select("id")
         live, left = counted(live.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "live")
-    if done is None:
-        return edges.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
-    sizes = done.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return done.join(sizes, "colour").select("id", F.col("colour").alias("component"))
+    return done
 
 
 def _spread(colour: DataFrame, live: DataFrame) -> DataFrame:

@@ -296,7 +296,7 @@ SELECT r.id, round(coalesce(rank * (0.25 + 0.75 * loc / (loc + 60)) * fan_in / (
 def importance_damped(spark: SparkSession, sf: str) -> DataFrame:
     rank = graph.pagerank(views.nodes(spark, sf), views.edges(spark, sf).where("is_value"))
     loc = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), files.loc(F.col("text")).alias("loc"))
-    rows = rank.join(loc, "id").join(graph.fan(views.edges(spark, sf)), "id", "left")
+    rows = rank.join(loc, "id").join(graph.degrees(views.edges(spark, sf)), "id", "left")
     return rows.select("id", F.round(scoring.damped(F.col("rank"), F.col("loc"), F.col("fan_in")), 9).alias("importance"))
 
 
@@ -343,7 +343,7 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
     n = views.nodes(spark, sf)
     both = n.unionByName(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
     e = views.edges(spark, sf)
-    return graph.orphans(graph.hops(both, e, n.where("id % 17 = 0")), graph.fan(e), both.where("id % 5 = 0").distinct())
+    return graph.orphans(graph.hops(both, e, n.where("id % 17 = 0")), graph.degrees(e), both.where("id % 5 = 0").distinct())
 
 
 @registered(
@@ -405,7 +405,7 @@ def hotspot_score(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("t")
     d = views.files(spark, sf).select("doc_id", "ext", _indented(F.col("content")).alias("t"))
     d = d.select(F.col("doc_id").alias("id"), files.loc(t).alias("loc"), files.decisions(t, F.col("ext")).alias("complexity"), files.max_depth(t).alias("max_depth"))
-    rows = d.join(rank, "id", "left").join(graph.fan(e), "id", "left").join(churned, "id", "left")
+    rows = d.join(rank, "id", "left").join(graph.degrees(e), "id", "left").join(churned, "id", "left")
     as_of = c.agg(F.max("at")).first()[0]
     scored = scoring.hotspots(rows, F.lit(as_of)).select("id", F.round("score", 7).alias("score"), "why")
     return scored.orderBy(F.desc("score"), "id").limit(100)

@@ -50,8 +50,7 @@ def edge_rows(spark: SparkSession, folder: str) -> DataFrame:
     small row of the first events of all ranges.
     """
     e = table(spark, folder, "events").where("event_type = 'error'").select("ts", "event_id", F.col("user_id").alias("src"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(e.repartitionByRange(ranges, "ts", "event_id").withColumn("part", F.spark_partition_id()), "dealt")
+    dealt = written(e.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()), "dealt")
     firsts = dealt.groupBy("part").agg(F.min_by("src", F.struct("ts", "event_id")).alias("head"))
     firsts = firsts.agg(F.sort_array(F.collect_list(F.struct("part", "head"))).alias("heads"))
     following = F.lead("src").over(Window.partitionBy("part").orderBy("ts", "event_id"))
