@@ -81,13 +81,12 @@ class SumOfSquaresPacker:
     Ties go to the fullest window. A window with less than ``step`` tokens of room is closed.
     A document of more than ``size`` tokens gives whole windows first; the rule places the rest, never cut.
 
-    Only the fills of open windows are needed for the rule. Their pieces are held back for the end in at most ``held`` windows;
-    beyond that a window's pieces come out as they are placed, which bounds memory and changes no choice. ``finish`` pours the emptiest held windows
-    into what room the fullest have, cutting where needed; the last of them is cut into powers of two, which need no padding.
-    ``moved`` counts the pieces that it gives another place.
+    The pieces of open windows are held back. With more than ``held`` open windows, and at the end, the emptiest are poured into what room the
+    fullest have, cutting where needed, until half of them are left, or none; so windows are given out full, whatever the documents' lengths, and memory is bounded
+    by ``held`` windows. The last window is cut into powers of two, which need no padding. ``moved`` counts the pieces that pouring gives another place.
     """
 
-    def __init__(self, size: int, first_id: int, step: int = 32, held: int = 512):
+    def __init__(self, size: int, first_id: int, step: int = 32, held: int = 2048):
         self.size, self.next_id, self.step, self.most_held = size, first_id, step, held
         self.count = [0] * (size // step + 1)
         self.filled: list[int] = []  # levels with open windows, in order
@@ -149,27 +148,23 @@ class SumOfSquaresPacker:
         if start == total:
             return
         piece, found = (doc, start, total, ids[4 * start :]), self._best(total - start)
-        if found is None:
-            fill, window = 0, self._open()
-            if len(self.held) < self.most_held:
-                self.held[window] = []
-        else:
-            fill, window = found
-        if window in self.held:
-            self.held[window].append(piece)
-        else:
-            yield self._piece(window, fill, piece)
+        fill, window = (0, self._open()) if found is None else found
+        self.held.setdefault(window, []).append(piece)
         fill += total - start
         if fill <= size - self.step:
             self._keep(fill, window)
-        elif window in self.held:
+        else:
             yield from self._pieces(window, self.held.pop(window))
-
-    def finish(self) -> Iterator[tuple]:
-        windows = [(fill, w) for level in self.level for fill, w in level if w in self.held]
-        fullest, emptiest = len(windows) - 1, 0
-        while emptiest < fullest:
-            (gap, into), (_, out) = (self.size - windows[fullest][0], windows[fullest][1]), windows[emptiest]
+        if len(self.held) > self.most_held:
+            yield from self._pour(self.most_held // 2)
+
+    def _pour(self, left: int) -> Iterator[tuple]:
+        """Fills the fullest windows with the pieces of the emptiest until at most ``left`` are open, or one if that is 0."""
+        windows = [(fill, w) for level in self.level for fill, w in level]
+        emptiest, fullest = 0, len(windows) - 1
+        while emptiest < fullest and fullest - emptiest >= left:
+            (fill, into), (rest, out) = windows[fullest], windows[emptiest]
+            gap = self.size - fill
             while gap and self.held[out]:
                 doc, start, total, ids = self.held[out].pop()
                 cut = min(gap, len(ids) // 4)
@@ -177,16 +172,24 @@ class SumOfSquaresPacker:
                 self.moved += 1
                 if 4 * cut < len(ids):
                     self.held[out].append((doc, start + cut, total, ids[4 * cut :]))
-                gap -= cut
+                gap, rest = gap - cut, rest - cut
+            windows[fullest], windows[emptiest] = (self.size - gap, into), (rest, out)
             if not self.held[out]:
                 del self.held[out]
                 emptiest += 1
             if not gap:
                 fullest -= 1
                 yield from self._pieces(into, self.held.pop(into))
+        self.filled, self.count, self.level = [], [0] * len(self.count), [[] for _ in self.count]
+        for fill, window in windows[emptiest : fullest + 1]:
+            if fill <= self.size - self.step:
+                self._keep(fill, window)
             else:
-                windows[fullest] = (self.size - gap, into)
-        for _, pieces in sorted(self.held.items()):  # one window at most
+                yield from self._pieces(window, self.held.pop(window))
+
+    def finish(self) -> Iterator[tuple]:
+        yield from self._pour(0)
+        for pieces in self.held.values():  # one window at most
             left = sum(len(p[3]) // 4 for p in pieces)
             for size in [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]:
                 part = []
