@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -75,7 +76,7 @@ def _trees(df):
     of_tag = {r["tag"]: r["importance"] for r in tags.collect()}
     for r in trees.collect():
         styles = {k: (v["m"], v["importance"], v["styles"]) for k, v in (r["styles"] or {}).items()}
-        out[r["host"]] = SiteTree(styles, set(r["noise"] or ()), set(r["main_noise"] or ()), of_tag)
+        out[r["host"]] = SiteTree(styles, set(r["noise"] or ()), set(r["main_noise"] or ()), of_tag, set(r["fixed"] or ()), set(r["words"] or ()))
     return out, of_tag
 
 
@@ -152,3 +153,77 @@ def test_repeated_rows_and_empty_tables(spark):
     got = sorted((-1 if r["page_id"] is None else r["page_id"], r["text"]) for r in st.extract(df).collect())
     assert len(got) == 52 and [t for k, t in got if k in (-1, 9)] == ["", ""] and [t for k, t in got if k == 3] == ["Own 3"] * 10
     assert st.extract(df.limit(0)).count() == 0 and st.extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_content_inside_telling_names_stays():
+    """Where nothing else on the page is content, names of what lies around it don't take it away."""
+    for page in (
+        '<form id="aspnetForm"><main><p>Text here</p></main></form>', '<form><div class="content"><p>Text here</p></div></form>', '<body class="single-post comments-open"><article><p>Text here</p></article></body>',
+        '<html class="no-js search"><body><p>Text here</p></body></html>', '<div class="layout with-sidebar"><div class="content"><p>Text here</p></div><div class="sidebar">no</div></div>',
+        '<div class="hfeed site comments-closed"><article>Text here</article></div>', '<main id="search">Text here</main>', '<article class="news social">Text here</article>', '<article class="post related">Text here</article>',
+        '<div class="social-policy">Text here</div>', '<article>Text here</article><section class="comments"><article>a reader who has far more to say than the article</article></section>',
+    ):
+        assert st.main_text(page) == "Text here", page
+    assert st.main_text('<p>Text <span class="share">100 shares</span> here <span class="ad">buy</span></p>') == "Text 100 shares here"
+    rest = '<div class="comments"><div class="content">a reader who has far more to say than the page itself</div></div>'
+    assert st.main_text(f'<div id="content">Text here, and more</div>{rest}') == "Text here, and more"
+    assert st.main_text('<div class="sidebar-left"><p>one two three</p></div><p>x</p>') == "x"
+
+
+def _without_names(html):
+    html = re.sub(r' (?:class|id|role)="[^"]*"', "", html)
+    return re.sub(r"<(/?)(?:nav|header|footer)\b", r"<\1div", html)
+
+
+def test_the_tree_removes_the_template_of_pages_without_names(spark, sf_dir):
+    """Navigation and footer are divisions like any other here, and their texts differ from page to page."""
+    rows = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/pages.parquet").select("page_id", "url", "html", st.host_of("url").alias("host")).collect()
+    on_host = Counter(r["host"] for r in rows)
+    df = spark.createDataFrame([(r["page_id"], r["url"], _without_names(r["html"])) for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in st.extract(df).collect()}
+    seen = 0
+    for r in rows:
+        alone = st.main_text(_without_names(r["html"])).split("\n")
+        nav = re.findall(r"<a [^>]*>([^<]*)</a>", r["html"].split("</nav>")[0]) if "<nav>" in r["html"] else []
+        body = st.main_text(r["html"]).split("\n")
+        if on_host[r["host"]] < 8 or not nav or len("".join(nav)) > 0.1 * len("".join(body)):
+            continue
+        seen += 1
+        left = got[r["page_id"]]
+        assert alone[: len(nav)] == nav and left[: len(nav)] != nav and len(left) < len(alone)
+        assert not any(x.startswith("©") for x in left)
+        it = iter(left)
+        assert all(any(x == y for y in it) for x in body)  # the main text is all there, in order
+    assert seen > 40
+
+
+def test_template_against_the_definitions(spark):
+    page = "<body><div><ul><li>{a}</li><li>{b}</li></ul></div><div>{body}</div><div>Made by {b} for all</div><p>" + "Long text {a} {b} that is most of the page. " * 8 + "</p></body>"
+    rows = [(k, "http://t.example/", page.format(a=k * 7, b=k % 5, body="".join(f"<b>{k}.{j}</b><p>x{k}.{j}</p>" for j in range(k % 4)))) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    (tree,) = _trees(df)[0].values()
+    paths = defaultdict(list)
+
+    def walk(n, above):
+        spot = st._spot(above, n)
+        paths[spot].append(n)
+        for c in n.children:
+            if c.text is None:
+                walk(c, spot)
+
+    for _, _, html in rows:
+        walk(st.parse(html), 0)
+    fixed = set()
+    for p, nodes in paths.items():
+        kinds = Counter(st._sequence([c.key for c in n.children]) for n in nodes)
+        m = len(nodes)
+        if m >= 8 and -sum(v / m * math.log(v / m) for v in kinds.values()) / math.log(m) < 0.4:
+            fixed.add(p)
+    assert tree.fixed == fixed and fixed
+    assert {"Made", "by", "for", "all"} == {w for w in "Made by for all 3 14".split() for p in fixed if p ^ (xxhash.xxh64_intdigest(w) - (1 << 63)) in tree.words}
+    got = {r["page_id"]: r["text"].split("\n") for r in st.extract(df).collect()}
+    for k in range(20):
+        assert got[k][-1] == " ".join([f"Long text {k * 7} {k % 5} that is most of the page."] * 8) and not any("Made by" in x for x in got[k])
+        assert got[k][:-1] == [x for j in range(k % 4) for x in (f"{k}.{j}", f"x{k}.{j}")]
+    copies = spark.createDataFrame([(k, "http://c.example/", rows[0][2]) for k in range(20)], "page_id long, url string, html string")
+    assert all("Made by" in r["text"] for r in st.extract(copies).collect())  # copies of one page say nothing of a template
