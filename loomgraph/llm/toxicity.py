@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -372,11 +374,20 @@ def fit_bigru(
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1000, max_chars: int = 20_000) -> BiGru:
-    """Fits on labelled rows whose crc32(doc_id) mod 5 isn't 0: at most ``per_class`` of either label, texts of at most ``max_chars``."""
+    """Fits on labelled rows whose crc32(doc_id) mod 5 isn't 0: at most ``per_class`` of either label, texts of at most ``max_chars``.
+
+    A task fits on this bounded sample, so that neither its texts nor the training's arrays are in the driver, which gets the model alone.
+    """
     keep = id_crc() % 5 != 0
-    sample = label_sample(docs, labels, label, keep, per_class, max_chars).toPandas().sort_values("doc_id")
-    share = labels.where(keep & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
-    return fit_bigru(sample["text"].tolist(), sample["y"].tolist(), float(share or 0.0))
+    share = float(labels.where(keep & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0] or 0.0)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := list(batches):
+            rows = pd.concat(parts, ignore_index=True).sort_values("doc_id")
+            yield pd.DataFrame({"model": [pickle.dumps(fit_bigru(rows["text"].tolist(), rows["y"].tolist(), share))]})
+
+    fitted = label_sample(docs, labels, label, keep, per_class, max_chars).repartition(1).mapInPandas(fit, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit_bigru([], [], share)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit) -> DataFrame:
