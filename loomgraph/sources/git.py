@@ -1,17 +1,18 @@
-"""A git repository as DataFrames, through Python data sources: ``git_tracked``, ``git_commits`` and ``git_commit_files``.
+"""A git repository as DataFrames, through Python data sources: ``git_tracked``, ``git_commits``, ``git_commit_files`` and so on, and ``git_touched`` as a stream.
 
-A repository is a folder of one machine, so these readers have one partition, but for trees, which have one for each commit asked for; all that
-follows is distributed. Failures of
-git give no rows, as degraded input must lead to warnings and not to a crash.
+History is read in partitions of ``SPAN`` commits each, wherever every executor sees the repository's folder, and options for author, commit time and path
+narrow what git looks at. Trees have a partition for each commit asked for, small tables one. Failures of git give no rows, as degraded input must lead to warnings and
+not to a crash.
 """
 
 from __future__ import annotations
 
 import subprocess
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 _MARK, _FIELD = "\x1e", "\x1f"
 
@@ -24,11 +25,14 @@ def git(root: str, *args: str) -> str:
         return ""
 
 
-def _log(root: str, since: str | None) -> Iterator[tuple[int, str, int, int, str, str, list[str]]]:
+#: Commits of one partition.
+SPAN = 1000
+
+
+def _log(root: str, args: list[str], skip: int, most: int) -> Iterator[tuple[int, str, int, int, str, str, list[str]]]:
     form = _FIELD.join(("%H", "%at", "%ct", "%an", "%s"))
-    span = [f"--since={since}"] if since else []
-    text = git(root, "log", *span, "--no-merges", "--no-renames", "--name-only", "-z", f"--pretty=format:{_MARK}{form}{_FIELD}")
-    for k, part in enumerate(text.split(_MARK)[1:]):
+    text = git(root, "log", f"--skip={skip}", f"--max-count={most}", "--no-renames", "--name-only", "-z", f"--pretty=format:{_MARK}{form}{_FIELD}", *args)
+    for k, part in enumerate(text.split(_MARK)[1:], skip):
         sha, authored, committed, author, subject, names = part.split(_FIELD, 5)
         yield k, sha, int(authored), int(committed), author, subject, [x for x in names.strip("\n\0").split("\0") if x]
 
@@ -46,22 +50,29 @@ def _tracked(root: str, _: str) -> Iterator[tuple]:
     yield from enumerate(_lines(git(root, "ls-files", "-z"), "\0"))
 
 
-def _commits(root: str, since: str) -> Iterator[tuple]:
-    yield from (row[:6] for row in _log(root, since))
+def _commits(root: str, args: list[str], skip: int, most: int) -> Iterator[tuple]:
+    yield from (row[:6] for row in _log(root, args, skip, most))
 
 
-def _commit_files(root: str, since: str) -> Iterator[tuple]:
-    yield from ((row[1], name) for row in _log(root, since) for name in row[6])
+def _commit_files(root: str, args: list[str], skip: int, most: int) -> Iterator[tuple]:
+    yield from ((row[1], name) for row in _log(root, args, skip, most) for name in row[6])
 
 
-def _order(root: str, _: str) -> Iterator[tuple]:
-    yield from enumerate(_lines(git(root, "log", "--pretty=format:%H")))
+def _order(root: str, args: list[str], skip: int, most: int) -> Iterator[tuple]:
+    yield from enumerate(_lines(git(root, "log", f"--skip={skip}", f"--max-count={most}", "--pretty=format:%H", *args)), skip)
 
 
-def _added(root: str, _: str) -> Iterator[tuple]:
-    for part in git(root, "log", "--no-renames", "--diff-filter=A", "--name-only", "-z", f"--pretty=format:{_MARK}%H{_FIELD}").split(_MARK)[1:]:
+def _added(root: str, args: list[str], skip: int, most: int) -> Iterator[tuple]:
+    log = git(root, "log", f"--skip={skip}", f"--max-count={most}", "--no-renames", "--name-status", "-z", f"--pretty=format:{_MARK}%H{_FIELD}", *args)
+    for part in log.split(_MARK)[1:]:
         sha, names = part.split(_FIELD, 1)
-        yield from ((sha, x) for x in _lines(names.strip("\n\0"), "\0"))
+        codes = _lines(names.strip("\n\0"), "\0")
+        yield from ((sha, path) for code, path in zip(codes[::2], codes[1::2], strict=True) if code.strip() == "A")
+
+
+def _touched(root: str, args: list[str], skip: int, most: int) -> Iterator[tuple]:
+    for _, sha, at, _, author, _, names in _log(root, args, skip, most):
+        yield from ((sha, name, datetime.fromtimestamp(at, UTC), author) for name in names)
 
 
 def _found(root: str, names: str) -> Iterator[tuple]:
@@ -96,10 +107,6 @@ def _branch_files(root: str, _: str) -> Iterator[tuple]:
 #: Rows and schema of each table; ``since`` or the names asked for come in the second argument.
 TABLES: dict[str, tuple[Callable[[str, str], Iterator[tuple]], str]] = {
     "tracked": (_tracked, "ord long, path string"),
-    "commits": (_commits, "ord long, sha string, at long, committed_at long, author string, subject string"),
-    "commit_files": (_commit_files, "sha string, path string"),
-    "order": (_order, "ord long, sha string"),
-    "added": (_added, "sha string, path string"),
     "found": (_found, "sha string, full string"),
     "trees": (_trees, "sha string, path string"),
     "status": (_status, "code string, path string"),
@@ -109,20 +116,80 @@ TABLES: dict[str, tuple[Callable[[str, str], Iterator[tuple]], str]] = {
 }
 
 
+#: The same of history, which is read in spans: rows of ``most`` commits beyond ``skip``, the schema, and how git is asked for the commits.
+HISTORY: dict[str, tuple[Callable[[str, list[str], int, int], Iterator[tuple]], str, list[str]]] = {
+    "commits": (_commits, "ord long, sha string, at long, committed_at long, author string, subject string", ["--no-merges"]),
+    "commit_files": (_commit_files, "sha string, path string", ["--no-merges"]),
+    "order": (_order, "ord long, sha string", []),
+    "added": (_added, "sha string, path string", []),
+    "touched": (_touched, "sha string, path string, at timestamp, author string", ["--no-merges"]),
+}
+
+
+def spans(root: str, args: list[str], span: int = SPAN) -> list[tuple[int, int]]:
+    """``(skip, most)`` of the partitions of what ``git log`` shows with these arguments; one, empty, if that is nothing."""
+    paths = args.index("--") if "--" in args else len(args)
+    ends = [] if any(".." in x for x in args[:paths]) else ["HEAD"]
+    n = git(root, "rev-list", "--count", *args[:paths], *ends, *args[paths:]).strip()
+    return [(at, span) for at in range(0, int(n or 0), span)] or [(0, 0)]
+
+
 class _Part(InputPartition):
-    def __init__(self, asked: str):
-        self.asked = asked
+    def __init__(self, asked: str, skip: int = 0, most: int = 0):
+        self.asked, self.skip, self.most = asked, skip, most
 
 
 class _Reader(DataSourceReader):
+    """Reads a table. Options narrow the log of ``commits``, ``commit_files`` and ``touched``: ``author`` (part of a name or address), ``since`` and ``until`` in
+    seconds of commit time, both included, and ``path``, a file or, with a slash behind it, a folder.
+
+    They are options and not ``pushFilters``, because Spark 4.1.2 keeps what a filter pushed with the frame: a second scan of the same frame without that
+    filter would miss rows.
+    """
+
     def __init__(self, kind: str, options: dict[str, str]):
         self.kind, self.root, self.asked = kind, options["root"], options.get("asked", "")
+        self.span = int(options.get("span", SPAN))
+        self.args = [*HISTORY[kind][2], *([f"--since={self.asked}"] if self.asked else [])] if kind in HISTORY else []
+        if author := options.get("author"):
+            self.args += ["--fixed-strings", f"--author={author}"]
+        self.args += [f"{flag}=@{options[name]}" for name, flag in (("since", "--since-as-filter"), ("until", "--until")) if options.get(name)]
+        if path := options.get("path"):
+            self.args += ["--full-history", "--", f":(top,literal){path}"]
 
     def partitions(self) -> list[InputPartition]:
+        if self.kind in HISTORY:
+            return [_Part(self.asked, *x) for x in spans(self.root, self.args, self.span)]
         return [_Part(x) for x in (self.asked.split(",") if self.kind == "trees" else [self.asked])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from TABLES[self.kind][0](self.root, partition.asked)
+        if self.kind in HISTORY:
+            yield from HISTORY[self.kind][0](self.root, self.args, partition.skip, partition.most)
+        else:
+            yield from TABLES[self.kind][0](self.root, partition.asked)
+
+
+class _Arrivals(DataSourceStreamReader):
+    """Files touched by commits as they arrive. An offset is the head commit, so a trigger reads what the new head has and the last one hadn't, and a restart goes on from there."""
+
+    def __init__(self, options: dict[str, str]):
+        self.root, self.span = options["root"], int(options.get("span", SPAN))
+
+    def initialOffset(self) -> dict:
+        return {"head": ""}
+
+    def latestOffset(self) -> dict:
+        return {"head": git(self.root, "rev-parse", "--verify", "--quiet", "HEAD").strip()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if start["head"] == end["head"]:
+            return []
+        new = f"{start['head']}..{end['head']}" if start["head"] else end["head"]
+        n = int(git(self.root, "rev-list", "--count", "--no-merges", new).strip() or 0)
+        return [_Part(new, at, self.span) for at in range(0, n, self.span)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from _touched(self.root, ["--no-merges", partition.asked], partition.skip, partition.most)
 
 
 def _source(kind: str, schema: str) -> type[DataSource]:
@@ -137,18 +204,24 @@ def _source(kind: str, schema: str) -> type[DataSource]:
         def reader(self, schema: object) -> DataSourceReader:
             return _Reader(kind, dict(self.options))
 
+        def streamReader(self, schema: object) -> DataSourceStreamReader:
+            if kind != "touched":
+                raise NotImplementedError("only git_touched is a stream")
+            return _Arrivals(dict(self.options))
+
     return Git
 
 
 def register(spark: SparkSession) -> None:
-    for kind, (_, schema) in TABLES.items():
+    for kind, (_, schema, *_) in (TABLES | HISTORY).items():
         spark.dataSource.register(_source(kind, schema))
 
 
-def read(spark: SparkSession, root: str, kind: str, asked: str | None = None) -> DataFrame:
-    """One of TABLES. ``asked`` is git's ``--since`` for commits and their files, and the names of commits, by commas, for found commits and trees."""
+def read(spark: SparkSession, root: str, kind: str, asked: str | None = None, **narrow: str | int) -> DataFrame:
+    """One of TABLES or HISTORY. ``asked`` is git's ``--since`` for history, and the names of commits, by commas, for found commits and trees; ``narrow`` are the reader's options."""
     register(spark)
-    return spark.read.format(f"git_{kind}").option("root", root).option("asked", asked or "").load()
+    reader = spark.read.format(f"git_{kind}").option("root", root).option("asked", asked or "")
+    return reader.options(**{k: str(v) for k, v in narrow.items()}).load()
 
 
 def probe(root: str) -> dict[str, object]:
@@ -169,3 +242,9 @@ def branches(root: str, most: int = 15) -> list[str]:
 def merges(root: str, most: int = 20) -> list[tuple[str, str]]:
     """Merge commits, newest first, for repositories whose pull requests can't be asked for."""
     return [tuple(x.split(_FIELD, 1)) for x in git(root, "log", "--merges", f"-{most}", f"--pretty=format:%h{_FIELD}%s").split("\n") if _FIELD in x]  # type: ignore[misc]
+
+
+def arrivals(spark: SparkSession, root: str) -> DataFrame:
+    """``(sha, path, at, author)`` of commits as they arrive, each once, for the operators of ``streaming``."""
+    register(spark)
+    return spark.readStream.format("git_touched").option("root", root).load()
