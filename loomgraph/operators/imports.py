@@ -10,15 +10,17 @@ _NO_NAME = "(?<![A-Za-z0-9_$.])", "(?![A-Za-z0-9_$])"
 _JS_CUT = _NO_NAME[0] + "(?=(?:import|export|require)" + _NO_NAME[1] + ")"
 _PY_CUT = r"(?m)^[ \t]*(?=(?:from|import)[ \t])"
 _STRING = r"""["']([^"']+)["']"""
+#: The braces of a statement's list: names in them may be strings.
+_LIST = r"(?s)^((?:import|export)(?:\s+type)?(?:\s+[A-Za-z_$][A-Za-z0-9_$]*\s*,)?\s*)\{[^}]*\}"
 
 
 def js_imports(files: DataFrame) -> DataFrame:
     """``(path, spec, is_type, is_lazy)`` for every import, export-from, require and dynamic import of ``(path, nocomment)`` rows.
 
     The text is cut before each word that may begin one; the specifier is the piece's first string, if nothing but a bracket, or a list that ends in
-    ``from``, stands before it. Lists may be of any length. Type-only if the statement says ``type`` next; lazy if it is a call of ``import``.
+    ``from``, stands before it. Lists may be of any length, and of strings. Type-only if the statement says ``type`` next; lazy if it is a call of ``import``.
     """
-    pieces = files.select("path", F.explode(F.split("nocomment", _JS_CUT)).alias("piece"))
+    pieces = files.select("path", F.explode(F.split("nocomment", _JS_CUT)).alias("piece")).withColumn("piece", F.regexp_replace("piece", _LIST, "$1{}"))
     before = F.regexp_extract("piece", r"""^([^"']*)["']""", 1)  # all up to the first string
     lead, rest = F.regexp_extract(before, "^([a-z]+)", 1), F.regexp_extract(before, r"(?s)^[a-z]+\s*(.*?)\s*$", 1)
     call = (rest == "(") & lead.isin("import", "require")

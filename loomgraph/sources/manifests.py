@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.comments import read_jsonc
+from ..plans.storage import written
 
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 
@@ -99,6 +100,7 @@ def declared(texts: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round reads the included files that no round has read; it ends when there are none.
     """
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(p, n, i) for p, t in zip(b["path"], b["content"], strict=True) for names, inc in [manifest_names(p, t or "")] for n, i in [*((n, None) for n in names), *((None, i) for i in inc)]]
@@ -106,13 +108,14 @@ def declared(texts: DataFrame, rounds: int = 50) -> DataFrame:
 
     pattern = r"(?:^|/)(?:package\.json|constraints\.txt|pyproject\.toml|Pipfile|setup\.cfg|requirements[^/]*\.(?:txt|in)|requirements/[^/]+\.(?:txt|in))$"
     schema = "path string, name string, include string"
-    found = texts.where(F.col("path").rlike(pattern)).mapInPandas(parse, schema).persist()
+    found = texts.where(F.col("path").rlike(pattern)).mapInPandas(parse, schema)
+    found = written(found, "manifests")
     names, read = found.select("name").where("name IS NOT NULL"), texts.where(F.col("path").rlike(pattern)).select("path")
     for _ in range(rounds):
         wanted = found.select(F.col("include").alias("path")).where("path IS NOT NULL").distinct().join(read, "path", "left_anti")
         if wanted.isEmpty():
             break
-        found = texts.join(wanted, "path", "left_semi").mapInPandas(parse, schema).persist()
+        found = written(texts.join(wanted, "path", "left_semi").mapInPandas(parse, schema), "manifests")
         names, read = names.unionByName(found.select("name").where("name IS NOT NULL")), read.unionByName(wanted)
     return names.distinct()
 

@@ -21,6 +21,9 @@ export const from = 'not one', y = notimport('./no'), z = a.require('./no');
 export default function () { return 'no' }
 import * as ns
   from 'ns'
+import d, { 'y z' as x, type 'q' as Q } from './strings'
+export { x as "y 'z" } from './strings-out'
+export { x as 'not from' };
 """
 
 
@@ -28,7 +31,7 @@ def test_js_imports(spark):
     long = "import { " + ", ".join(f"name{k}" for k in range(3000)) + " } from 'long';\n"
     df = spark.createDataFrame([("f", JS), ("g", long + "import y from 'z'"), ("h", ""), ("i", None)], "path string, nocomment string")
     got = [(r["path"], r["spec"], r["is_type"], r["is_lazy"]) for r in imports.js_imports(df).collect()]
-    want = [("./a", 0, 0), ("./t", 1, 0), ("./b.js", 0, 0), ("../up", 0, 0), ("./u", 1, 0), ("./side.css", 0, 0), ("tight", 0, 0), ("old", 0, 0), ("old/two", 0, 0), ("./lazy", 0, 1), ("./other", 0, 1), ("ns", 0, 0)]
+    want = [("./a", 0, 0), ("./t", 1, 0), ("./b.js", 0, 0), ("../up", 0, 0), ("./u", 1, 0), ("./side.css", 0, 0), ("tight", 0, 0), ("old", 0, 0), ("old/two", 0, 0), ("./lazy", 0, 1), ("./other", 0, 1), ("ns", 0, 0), ("./strings", 0, 0), ("./strings-out", 0, 0)]
     assert [x for x in got if x[0] == "f"] == [("f", s, bool(t), bool(z)) for s, t, z in want]
     assert [x[1] for x in got if x[0] != "f"] == ["long", "z"]
 
