@@ -26,6 +26,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with how many of its words the mix takes; see ``mixing.mix``."""
     docs = table(spark, sf_dir, "documents")
     sizes = written(mixing.with_size(docs).select("doc_id", "source", "size"), "sizes")
     m = mixing.mix(sizes, sizes.count())
@@ -33,39 +34,47 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; see ``style_tree.extract``."""
     small_batches(spark)
     return style_tree.extract(table(spark, sf_dir, "pages"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to packaged archives and read back; see ``warc.round_trip``."""
     small_batches(spark)
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts; see ``exact_dedup.exact_groups``."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; see ``packing.pack``."""
     small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; see ``quality.quality_scores``."""
     small_batches(spark)
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates; see ``setsketch.near_duplicates``."""
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; see ``toxicity.toxicity_scores``."""
     small_batches(spark)
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links; see ``vectors.near_vectors``."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
