@@ -64,20 +64,28 @@ GENERATED: list[tuple[str, str, str]] = [
 ]
 
 
-def generated_reason(path: Column, text: Column) -> Column:
-    """Why a file counts as generated, or null; the first rule that holds decides: GENERATED, bundler traces, very long lines, very short names."""
+#: All rules of ``generated_reason`` that aren't in GENERATED.
+TRACES = ("bundler", "long lines", "short names")
+
+
+def generated_reason(path: Column, text: Column, traces: tuple[str, ...] = TRACES) -> Column:
+    """Why a file counts as generated, or null; the first rule that holds decides: GENERATED, then those of ``traces``: bundler traces, very long lines, very short names.
+
+    Short names tell code that was minified from code that wasn't; a text that isn't code can have them too, by repeating a word of one letter.
+    """
     lines = F.greatest(F.lit(1), F.size(F.split(text, "\n")))
     parts = {"path": path, "head": F.substring(text, 1, 4000), "top": F.array_join(F.slice(F.split(text, "\n"), 1, 4), "\n")}
     names = F.regexp_count(parts["head"], F.lit(r"(?<![A-Za-z0-9_$])[A-Za-z_$][A-Za-z0-9_$]*"))
     single = F.regexp_count(parts["head"], F.lit(r"(?<![A-Za-z0-9_$])[A-Za-z_$](?![A-Za-z0-9_$])"))
     indented = F.regexp_count(text, F.lit(r"(?m)^[ \t]+\S"))
     rules = [(parts[part].rlike(pattern), reason) for part, pattern, reason in GENERATED]
-    rules += [
-        (F.regexp_count(text, F.lit("__webpack_require__")) > 3, "generated"),
-        (F.substring(text, -2000, 2000).contains("sourceMappingURL=data:application/json;base64"), "generated"),
-        (F.length(text) / lines > 300, "minified"),
-        ((names > 200) & (single / F.greatest(F.lit(1), names) > 0.45) & (indented / lines < 0.2), "minified"),
-    ]
+    bundler = (F.regexp_count(text, F.lit("__webpack_require__")) > 3) | F.substring(text, -2000, 2000).contains("sourceMappingURL=data:application/json;base64")
+    others = {
+        "bundler": (bundler, "generated"),
+        "long lines": (F.length(text) / lines > 300, "minified"),
+        "short names": ((names > 200) & (single / F.greatest(F.lit(1), names) > 0.45) & (indented / lines < 0.2), "minified"),
+    }
+    rules += [others[t] for t in TRACES if t in traces]
     return F.coalesce(*[F.when(holds, reason) for holds, reason in rules])
 
 

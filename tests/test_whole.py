@@ -6,7 +6,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+from pyspark.sql import functions as F
+
 from loomgraph import registry
+from loomgraph.operators import files
+from tests.compare import rows
 
 
 def _names(line):
@@ -138,3 +143,22 @@ def test_staleness_sections_runs_the_operator(spark, sf_dir, monkeypatch):
         changed.setdefault(k, set()).add(x)
     got = {r["id"]: (r["changes"], r["changed"]) for r in registry.queries()["staleness_sections"](spark, sf_dir).collect()}
     assert calls and got == {k: (n[k], ",".join(sorted(changed[k]))) for k in n}
+
+
+def _sql(tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return con.execute(registry.oracle_sql()[name]).df()
+
+
+def test_generated_classifier_on_prose_of_short_words(spark, tmp_path):
+    """Repeated words of one letter, or of one beside an accent, in lines of ordinary length."""
+    docs = [(2, "A A A A A A A A A A\n" * 30), (4, "\u00c9l \u00c9l \u00c9l \u00c9l\n" * 60), (7, "a b\n" * 150), (8, "x" * 400), (9, None), (12, ""), (13, "one word\n" * 200)]
+    got = registry.queries()["generated_classifier"](spark, _files(spark, tmp_path, docs)).toPandas()
+    assert rows(got) == rows(_sql(tmp_path, "generated_classifier"))
+
+
+def test_short_names_are_minified_code(spark):
+    code = [("a.js", "var a=b(c,d);e.f=g\n" * 60), ("b.js", "  var a=b(c,d);e.f=g\n" * 60), ("c.js", "var one=two(three)\n" * 60)]
+    df = spark.createDataFrame(code, "path string, text string").select("path", files.generated_reason(F.col("path"), F.col("text")).alias("r"))
+    assert {r["path"]: r["r"] for r in df.collect()} == {"a.js": "minified", "b.js": None, "c.js": None}
