@@ -162,3 +162,14 @@ def test_short_names_are_minified_code(spark):
     code = [("a.js", "var a=b(c,d);e.f=g\n" * 60), ("b.js", "  var a=b(c,d);e.f=g\n" * 60), ("c.js", "var one=two(three)\n" * 60)]
     df = spark.createDataFrame(code, "path string, text string").select("path", files.generated_reason(F.col("path"), F.col("text")).alias("r"))
     assert {r["path"]: r["r"] for r in df.collect()} == {"a.js": "minified", "b.js": None, "c.js": None}
+
+
+def test_redact_takes_the_secrets_of_the_texts_too(spark, tmp_path):
+    """The SQL leaves texts as they are; apart from their own secrets the rows are the same."""
+    key, token = "AKIA" + "Q" * 16, "9233A8ECF7C5B09F"
+    docs = [(20, f"the {key} of"), (21, f'A TOKEN = "{token}"!! B'), (22, "no secret"), (23, f"two {key}\n{key} z"), (24, ""), (25, None)]
+    got = registry.queries()["redact"](spark, _files(spark, tmp_path, docs)).toPandas()
+    want = _sql(tmp_path, "redact")
+    want["clean"] = [t if t is None else t.replace(key, "AKIA***").replace(f'TOKEN = "{token}"', 'TOKEN=***"') for t in want["clean"]]
+    assert rows(got) == rows(want)
+    assert not any(key in t or token in t for t in got["clean"] if t)
