@@ -10,6 +10,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from loomgraph import registry
+from loomgraph.functions import comments
 from loomgraph.operators import files
 from tests.compare import rows
 
@@ -53,6 +54,22 @@ def test_strip_comments_whole(spark, tmp_path):
     assert got == want
 
 
+def test_strippers_take_small_batches(spark):
+    """More rows than a batch, and than are held as strings at once; settings of the user's that are smaller stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    texts = [(k, None if k % 97 == 0 else f"a{k} // b", ".js") for k in range(2500)]
+    df = spark.createDataFrame(texts, "k int, t string, e string").coalesce(1)
+    before = spark.conf.get(key)
+    try:
+        for rows_, want in (("10000", "1000"), ("7", "7")):
+            spark.conf.set(key, rows_)
+            got = df.select("k", comments.clean_text("t", "e").alias("c"), comments.fence_open("t").alias("f"))
+            assert spark.conf.get(key) == want
+            assert {(r["k"], r["c"], r["f"]) for r in got.collect()} == {(k, t and f"a{k} ", t and False) for k, t, _ in texts}
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Text with its own fences, and what is left of it with a fenced block of three lines at each end of a line.
 _MD = [("plain `x`", "plain `x`"), ("> ```\n~~~\n``` no\n> ```", "\n" * 12), ("   `````\nb\n```", "\n" * 8), ("", "")]
 
