@@ -37,32 +37,51 @@ def swallowed(docs: DataFrame, marker: str = MARKER) -> DataFrame:
     return docs.select("doc", (n("raw") - n("content")).alias("swallowed")).where("swallowed > 0")
 
 
-def claims(found: DataFrame) -> DataFrame:
-    """``(id, pattern, prefix, is_glob)``: each listed path; of a glob the literal part before its first star."""
-    rows = found.select("id", F.explode("files").alias("pattern"))
-    return rows.select("id", "pattern", F.substring_index("pattern", "*", 1).alias("prefix"), F.col("pattern").contains("*").alias("is_glob"))
+def claims(found: DataFrame, *more: str) -> DataFrame:
+    """``(id, pattern, prefix, is_glob)`` and columns of ``found``: each listed path; of a glob the literal part before its first star."""
+    rows = found.select("id", *more, F.explode("files").alias("pattern"))
+    return rows.select("id", *more, "pattern", F.substring_index("pattern", "*", 1).alias("prefix"), F.col("pattern").contains("*").alias("is_glob"))
 
 
-def matched(claimed: DataFrame, paths: DataFrame) -> DataFrame:
-    """Pairs of ``claims`` rows and ``paths(path)``: equal paths, and globs by an equality on their directory among the path's ancestors."""
-    exact = claimed.where(~F.col("is_glob")).select("id", "pattern", F.col("pattern").alias("path")).join(paths.select("path").distinct(), "path")
-    top = F.regexp_replace("prefix", "[^/]*$", "")
-    globs = claimed.where("is_glob AND prefix <> ''").withColumn("dir", top)
-    parts = F.split("path", "/")
-    up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
-    under = paths.select("path").distinct().withColumn("dir", F.explode(up)).join(globs, "dir").where(F.col("path").startswith(F.col("prefix")))
-    return exact.select("id", "pattern", "path").unionByName(under.select("id", "pattern", "path"))
+_USABLE = "NOT is_glob OR prefix <> ''"
+
+
+def _top() -> Column:
+    """The directory of a glob's literal part."""
+    return F.regexp_replace("prefix", "[^/]*$", "")
+
+
+def keyed(paths: DataFrame, claimed: DataFrame) -> DataFrame:
+    """``paths(path, ...)`` with ``_key``: a row for each kind of key that ``claimed`` has, the whole path or an ancestor of some depth.
+
+    There are as many kinds as directories lie in one another. No key that every path shares, such as the root, is made unless a glob asks for it.
+    """
+    kinds = claimed.where(_USABLE).agg(F.collect_set(F.when(F.col("is_glob"), F.size(F.split(_top(), "/")) - 1).otherwise(-1)))
+    depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
+    key = lambda k: F.when(k < 0, F.col("path")).when(k == 0, "").otherwise(F.concat(F.call_function("substring_index", F.col("path"), F.lit("/"), k), F.lit("/")))
+    asked = F.transform(F.filter("_kinds", lambda k: k <= depth), key)
+    return paths.withColumn("_kinds", kinds.scalar()).withColumn("_key", F.explode(asked)).drop("_kinds")
+
+
+def matched(claimed: DataFrame, paths: DataFrame, all_claims: DataFrame | None = None) -> DataFrame:
+    """Rows of ``claims`` beside those of ``paths(path, ...)`` that they name, by one equality join on ``keyed``.
+
+    ``all_claims``, if given, is read for the kinds of keys instead, where ``claimed`` is dear and part of it.
+    """
+    key = F.when(F.col("is_glob"), _top()).otherwise(F.col("pattern"))
+    hit = keyed(paths, all_claims or claimed).join(claimed.where(_USABLE).withColumn("_key", key), "_key")
+    return hit.where(F.when(F.col("is_glob"), F.col("path").startswith(F.col("prefix"))).otherwise(F.col("path") == F.col("pattern"))).drop("_key")
 
 
 def stale(found: DataFrame, commits: DataFrame, commit_files: DataFrame, shown: int = 8) -> DataFrame:
     """``(id, changed, commits)`` of sections with a listed file changed after their commit.
 
     ``commits(ord, sha)`` has 0 for the newest; a change is later if its ordinal is smaller than the stamp's. Sections at the newest commit and
-    those whose commit is unknown are left out. The join is on the path; the commit order is a filter on it.
+    those whose commit is unknown are left out. Changes meet claims in one join; the commit order is a filter on it.
     """
     at = found.join(commits.select("sha", F.col("ord").alias("at")), "sha").where("at > 0")
-    hit = matched(claims(at), commit_files.select("path")).join(at.select("id", "at"), "id")
-    later = hit.join(commit_files.join(commits, "sha").select("path", "ord", "sha"), "path").where("ord < at")
+    changes = commit_files.join(commits, "sha").select("path", "ord", "sha")
+    later = matched(claims(at, "at"), changes, claims(found)).where("ord < at")
     newest = F.transform(F.slice(F.sort_array(F.collect_set(F.struct("ord", "sha"))), 1, shown), lambda x: x["sha"])
     return later.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("changed"), newest.alias("commits"))
 
@@ -90,7 +109,7 @@ def unverifiable(found: DataFrame, commits: DataFrame, known_paths: DataFrame, t
 
 def uncovered(paths: DataFrame, found: DataFrame) -> DataFrame:
     """Paths that no section lists, by name or under the literal start of a glob."""
-    return paths.join(matched(claims(found), paths).select("path").distinct(), "path", "left_anti")
+    return paths.join(matched(claims(found), paths.select("path").distinct()).select("path").distinct(), "path", "left_anti")
 
 
 def oldest_stamp(found: DataFrame, commits: DataFrame) -> DataFrame:

@@ -47,6 +47,15 @@ def test_globs_claim_their_literal_start(spark):
     assert {r["path"] for r in staleness.uncovered(paths, found).collect()} == {"src/b.ts", "top.ts"}
 
 
+def test_changes_are_shuffled_by_the_keys_that_claims_have(spark):
+    """No row for the root, which all paths share, unless a glob starts there; and each change once, though paths come again."""
+    paths = spark.createDataFrame([("a/b/c.ts", 1), ("a/b/c.ts", 2), ("a/x.ts", 3), ("top.ts", 4)], "path string, n int")
+    for files, rows, want in ((["a/b/*"], 2, {1, 2}), (["a/b/*", "a/x.ts"], 6, {1, 2, 3}), (["t*"], 4, {4}), (["**"], 0, set())):
+        hit = staleness.matched(staleness.claims(spark.createDataFrame([("s", files)], "id string, files array<string>")), paths)
+        assert {r["n"] for r in hit.collect()} == want
+        assert staleness.keyed(paths, staleness.claims(spark.createDataFrame([("s", files)], "id string, files array<string>"))).count() == rows
+
+
 @pytest.mark.parametrize("name", ["edge_flags", "fan_in_out", "global_counts"])
 def test_no_window_over_a_whole_table(spark, sf_dir, name):
     p = plan(registry.queries()[name](spark, sf_dir))
